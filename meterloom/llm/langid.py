@@ -2,9 +2,11 @@
 
 Fitting passes over all labelled documents once for the document frequency of
 each n-gram bucket, and clusters a bounded sample of each language: its
-centroids are what a document is compared with, by cosine. A centroid's radius is
-the largest distance at which a sample document was assigned to it; a document
-farther from its nearest centroid than that is rejected.
+centroids are what a document is compared with, by cosine. A document is rejected
+if it is farther from its nearest centroid than the language's radius. That is
+wide, so that short or odd documents of a learned language stay: half the
+smallest cosine that a sample document had with its centroid, and NEAR at most,
+still lies inside.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
 #: Documents sampled for each language on average, and at most; centroids for each language.
 SAMPLE, MOST, CLUSTERS = 500, 1000, 4
+#: A cosine that is never rejected.
+NEAR = 0.1
 UNKNOWN = "und"
 
 
@@ -92,13 +96,8 @@ class Model:
 
 
 def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids by k-means on the sphere, begun with the vectors farthest from those chosen."""
-    chosen = [vectors.sum(axis=0)]
-    chosen[0] = vectors[int((vectors @ chosen[0]).argmax())]
-    while len(chosen) < min(k, len(vectors)):
-        nearest = (vectors @ np.array(chosen).T).max(axis=1)
-        chosen.append(vectors[int(nearest.argmin())])
-    centers = np.array(chosen)
+    """Centroids by k-means on the sphere, begun with vectors drawn at random."""
+    centers = vectors[np.random.default_rng(0).choice(len(vectors), min(k, len(vectors)), replace=False)].copy()
     for _ in range(rounds):
         own = (vectors @ centers.T).argmax(axis=1)
         for j in range(len(centers)):
@@ -156,10 +155,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
             return pa.Table.from_pylist([], schema)
         vectors = np.array(vectors)
         centers = _clusters(vectors, CLUSTERS)
-        cosines = vectors @ centers.T
-        own = cosines.argmax(axis=1)
+        nearest = (vectors @ centers.T).max(axis=1)
+        radius = 1 - min(NEAR, float(nearest.min()) / 2)
         lang = table.column("lang")[0].as_py()
-        return pa.Table.from_pylist([{"lang": lang, "center": c.tobytes(), "radius": float(1 - cosines[own == j, j].min())} for j, c in enumerate(centers) if (own == j).any()], schema)
+        return pa.Table.from_pylist([{"lang": lang, "center": c.tobytes(), "radius": radius} for c in centers], schema)
 
     found = picked.groupBy("lang").applyInArrow(cluster, "lang string, center binary, radius double").collect()
     found.sort(key=lambda r: (r.lang, r.center))
