@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, media, packing, token_files, topk
+from . import bpe, langid, line_dedup, media, packing, pii, token_files, topk
 from .shared import new_path
 
 
@@ -40,6 +40,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_frequent_lines(docs, min_docs=10, digest=True)
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_token_files": op4_token_files,
         "op5_bpe": op5_bpe,
+        "op6_pii": op6_pii,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_langid": op9_langid,
