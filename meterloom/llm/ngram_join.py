@@ -246,15 +246,18 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each component of similar rows: the one with the smallest id, of several with that id the one with the smallest hash of its text.
+    """docs with one row of each component of similar rows: the one with the smallest id.
 
-    Rows with empty sets are in no component and stay. All columns stay as they are.
+    Rows with empty sets are in no component and stay. Of several rows with the
+    kept id, one for each different text stays; rows with null ids stay in
+    components of their own kind only, or all of them where one does. All
+    columns stay as they are.
     """
     d, c, h = (fresh(docs, x) for x in ("_id", "_component", "_hash"))
     groups = similar_groups(docs, n, num, den, id_col, text_col).where("n_shingles > 0").select(F.col(id_col).alias(d), F.col("component_id").alias(c))
-    # An id belongs to one component unless several rows share it; then it may stay for each.
     kept = groups.where(F.col(d).eqNullSafe(F.col(c))).select(d).distinct()
     empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.where(~empty).withColumn(h, F.xxhash64(text_col))
-    winners = rows.join(kept, F.col(id_col).eqNullSafe(F.col(d)), "left_semi")
-    return winners.drop(h).unionByName(docs.where(empty))
+    winners = docs.where(~empty).join(kept, F.col(id_col).eqNullSafe(F.col(d)), "left_semi")
+    if groups.groupBy(d).count().where("count > 1").limit(1).count():
+        winners = winners.withColumn(h, F.xxhash64(text_col)).dropDuplicates([id_col, h]).drop(h)
+    return winners.unionByName(docs.where(empty))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, media, ngram_join, packing, pii, token_files, topk
+from . import bpe, langid, line_dedup, media, ngram_join, packing, pii, secrets, token_files, topk
 from .shared import new_path
 
 
@@ -64,6 +64,11 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", F.col("_start").alias("start"), F.col("_end").alias("end"), F.sha2("_value", 256).alias("value_sha256"), F.col("_score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_langid": op9_langid,
+        "op10_secrets": op10_secrets,
     }
 
 
