@@ -19,7 +19,7 @@ from .shared import fresh
 from .spans import matches
 
 #: A string of characters that keys are made of, begun where no such character stands before.
-_VALUE = r"(?:(?<![A-Za-z0-9+/_=.~-])|\G)(?=[A-Za-z+/_=.~-]{0,64}[0-9])[A-Za-z0-9+/_=.~-]{16,}+"
+_VALUE = r"(?:(?<![A-Za-z0-9+/_.~-])|\G)(?=[A-Za-z+/_.~-]{0,64}[0-9])[A-Za-z0-9+/_.~-]{16,}+={0,2}"
 #: Beginnings by which providers mark their keys. Fixed values.
 _PROVIDER = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|ghu_|github_pat_|glpat-|xox[baprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|SG\.)"
 #: Names that secrets are assigned to, and an assignment right before the value.
