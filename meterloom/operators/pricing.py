@@ -16,7 +16,7 @@ RULE_SCHEMA = (
     f"effective_from timestamp, effective_to timestamp, rates {RATES_TYPE}, threshold bigint, long_rates {RATES_TYPE}, ord int"
 )
 #: Bounds of rules without dates.
-_ALWAYS = ("0001-01-01 00:00:00", "9999-12-31 00:00:00")
+_ALWAYS = ("1000-01-01 00:00:00", "9999-01-01 00:00:00")
 _MILLIONTH = Decimal("0.000001")
 #: How a catalog document names the categories.
 _NAMES = dict(zip(TOKENS, ("input", "output", "cachedInput", "cacheRead", "cacheWrite5m", "cacheWrite1h")))
