@@ -45,7 +45,7 @@ def only_event_tables(files: DataFrame) -> DataFrame:
 def path_date(path: Column) -> Column:
     """The first date in a path that is written as directories of year, month and day."""
     part = lambda i: F.regexp_extract(path, r"(?:^|[/\\])(\d{4})[/\\](\d{2})[/\\](\d{2})(?:[/\\]|$)", i)
-    return F.try_to_date(F.nullif(F.concat_ws("-", part(1), part(2), part(3)), F.lit("--")), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.nullif(F.concat_ws("-", part(1), part(2), part(3)), F.lit("--"))))
+    return F.to_date(F.try_to_timestamp(F.nullif(F.concat_ws("-", part(1), part(2), part(3)), F.lit("--"))))
 
 
 def prune_files(files: DataFrame, span: TimeRange, provider: str) -> DataFrame:
@@ -85,7 +85,7 @@ def detect_sources(files: DataFrame, candidates: DataFrame) -> DataFrame:
     candidates has provider, root, priority and name_filter, a row for each
     place to look at.
     """
-    under = F.startswith(F.col("path"), F.concat(F.rtrim(F.col("root"), F.lit("/")), F.lit("/"))) & F.col("name").rlike(F.col("name_filter"))
+    under = F.startswith(F.col("path"), F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"))) & F.rlike("name", F.col("name_filter"))
     # A handful of candidate roots against a listing; the roots are the small side.
     found = files.join(candidates, under).groupBy("provider", "root", "priority").agg(F.count("*").alias("files"))
     first = Window.partitionBy("provider").orderBy("priority", "root")
