@@ -143,17 +143,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     most = 2 * sample
 
     def cluster(table: pa.Table) -> pa.Table:
-        vectors = []
-        for text in pc.utf8_lower(table.column("text").slice(0, most)).to_pylist():
-            found = buckets_of(text)
-            if found is not None:
-                v = np.zeros(BUCKETS, np.float32)
-                v[found[0]] = _weights(*found, idf)
-                vectors.append(v)
+        found = [x for x in map(buckets_of, pc.utf8_lower(table.column("text").slice(0, most)).to_pylist()) if x is not None]
         schema = pa.schema([("lang", pa.string()), ("center", pa.binary()), ("radius", pa.float64())])
-        if not vectors:
+        if not found:
             return pa.Table.from_pylist([], schema)
-        vectors = np.array(vectors)
+        vectors = np.zeros((len(found), BUCKETS), np.float32)
+        for row, x in zip(vectors, found):
+            row[x[0]] = _weights(*x, idf)
         centers = _clusters(vectors, CLUSTERS)
         nearest = (vectors @ centers.T).max(axis=1)
         radius = 1 - min(NEAR, float(nearest.min()) / 2)
@@ -166,8 +162,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return Model([r.lang for r in found], centers, np.array([r.radius for r in found]), idf)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected; columns of these names are replaced.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and rejected; columns of these names are replaced. The text can be left out.
 
     The language of a text that is null, empty or without a letter is `und`, its
     score 0, and it is rejected. Every row stands for itself; equal texts get
@@ -176,15 +172,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     added = ["lang_pred", "score", "rejected"]
     docs = docs.drop(*added)
     at = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in _lowered(batch, at):
                 done = [model.predict(t) for t in texts]
                 more = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, *added])
+                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept], *more], [*[rows.schema.names[i] for i in kept], *added])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    types = ", ".join(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in kept)
     return docs.mapInArrow(run, f"{types}, lang_pred string, score double, rejected boolean")
 
 

@@ -61,7 +61,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
     model = langid.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
-    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return langid.predict(docs.drop("lang"), model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
