@@ -2,7 +2,9 @@
 
 A document's tokens are the hashes of its shingles. They stand in one order for
 all documents, by how often the shingle is to be expected from its words'
-frequencies in the corpus. Two sets that are similar enough share their first
+frequencies in the corpus; shingles that seem to stand in the prefixes of
+several documents come after all others, which a bitmap of fixed size tells
+roughly. Any order gives all pairs, a good one gives few others. Two sets that are similar enough share their first
 common token within a short prefix of both. If that token is of the rare class,
 it is a signature of both alone. If it is of the frequent class, all common
 tokens are; then a prefix longer by m tokens holds m + 1 common ones, so two of
@@ -17,7 +19,8 @@ blocks of bounded size if it is large; each block gives a forest of links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,13 @@ from .shingles import mixed, shingle_sets, word_hashes
 _WORDS, _CHUNK = 1 << 18, 1 << 14
 #: A shingle of the frequent class is expected so often, were words independent.
 FREQUENT = 0.1
+#: Bits of the map of shingles in several prefixes, and bits of each row it is shipped in. At some size of the
+#: input the map is full; then the order is that of word frequencies alone.
+_SEEN, _SEEN_CHUNK = 1 << 26, 1 << 16
+#: Tables in rows are added up in two steps, the first in so many parts, so that no group grows with the number of tasks.
+_ADDERS = 64
+#: Added to the score of a shingle that the map shows.
+_LATE = 1 << 20
 #: Documents of a block, and parts of a group at most, as long as a part's tokens stay below the third.
 _BLOCK, _PARTS, _TOKENS = 128, 32, 4_000_000
 _STEP = 256
@@ -52,20 +62,92 @@ def word_scores(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
             h, _ = word_hashes(rows.column(0).to_pylist())
             total += np.bincount(_bucket(h), minlength=_WORDS)
         parts = [total[i : i + _CHUNK].tobytes() for i in range(0, _WORDS, _CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["chunk", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()])})
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["chunk", "data"])
 
     # As many rows as the table of counts has chunks come back, whatever the input.
-    rows = docs.select(F.col(text_col)).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    rows = _added(docs.select(F.col(text_col)).mapInArrow(count, "chunk int, data binary"), lambda parts: sum(np.frombuffer(x, np.int64) for x in parts).tobytes()).collect()
     total = np.zeros(_WORDS, np.int64)
     for r in rows:
-        total[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.int64)
+        total[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.data, np.int64)
     return np.rint(16 * np.log2(np.maximum(total, 1))).astype(np.int32), int(total.sum())
 
 
+def _added(rows: DataFrame, add: Callable[[list[bytes]], bytes]) -> DataFrame:
+    """One row for each chunk: what add() makes of all data of that chunk. add() can be applied to its own results."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "data": pa.array([add(table.column("data").to_pylist())])})
+
+    dealt = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_ADDERS)))
+    return dealt.groupBy("chunk", "part").applyInArrow(merge, "chunk int, data binary").groupBy("chunk").applyInArrow(merge, "chunk int, data binary")
+
+
+def _add_seen(parts: list[bytes]) -> bytes:
+    """Of pairs of bitmaps (held at all, held twice) their union."""
+    held, twice = np.zeros(_SEEN_CHUNK // 8, np.uint8), np.zeros(_SEEN_CHUNK // 8, np.uint8)
+    for p in parts:
+        own = np.frombuffer(zlib.decompress(p), np.uint8).reshape(2, -1)
+        twice |= own[1] | (held & own[0])
+        held |= own[0]
+    return zlib.compress(np.concatenate([held, twice]).tobytes(), 1)
+
+
+def _seen_bit(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens, 31) % np.uint64(_SEEN)).astype(np.int64)
+
+
+def prefix_map(docs: DataFrame, text_col: str, n: int, scores: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Packed bits: those of shingles that the prefixes of two or more different sets hold, and of some others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(_SEEN, np.uint8)
+        seen: set[int] = set()
+        for rows in _steps(batches):
+            for tokens, own in _sets_with_scores(rows.column(0).to_pylist(), n, scores):
+                d = digest_of(tokens)
+                if len(tokens) and d not in seen:
+                    seen.add(d)
+                    size = len(tokens)
+                    first = np.argpartition(own, spare)[: spare + 1] if (spare := size - -(-num * size // den)) + 1 < size else slice(None)
+                    bits = np.unique(_seen_bit(tokens[first]))
+                    count[bits] = np.minimum(count[bits] + 1, 2)
+        for i in range(0, _SEEN, _SEEN_CHUNK):
+            c = count[i : i + _SEEN_CHUNK]
+            if c.any():
+                data = zlib.compress(np.concatenate([np.packbits(c > 0), np.packbits(c > 1)]).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([i // _SEEN_CHUNK], pa.int32()), pa.array([data])], ["chunk", "data"])
+
+    out = np.zeros(_SEEN // 8, np.uint8)
+    size = _SEEN_CHUNK // 8
+    for r in _added(docs.select(F.col(text_col)).mapInArrow(mark, "chunk int, data binary"), _add_seen).collect():
+        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.data), np.uint8)[size:]
+    return out
+
+
+def _asked_map(digests: DataFrame) -> np.ndarray:
+    """Packed bits that hold all these digests and some others; of fixed size, so that only most other sets stay where they are."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(_SEEN, bool)
+        for rows in batches:
+            held[_seen_bit(rows.column(0).to_numpy().view(np.uint64))] = True
+        for i in range(0, _SEEN, _SEEN_CHUNK):
+            if held[i : i + _SEEN_CHUNK].any():
+                bits = np.packbits(held[i : i + _SEEN_CHUNK])
+                yield pa.RecordBatch.from_arrays([pa.array([i // _SEEN_CHUNK], pa.int32()), pa.array([zlib.compress(np.concatenate([bits, bits]).tobytes(), 1)])], ["chunk", "data"])
+
+    out, size = np.zeros(_SEEN // 8, np.uint8), _SEEN_CHUNK // 8
+    for r in _added(digests.mapInArrow(mark, "chunk int, data binary"), _add_seen).collect():
+        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.data), np.uint8)[:size]
+    return out
+
+
+def _late(tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Whether the map shows each token."""
+    bit = _seen_bit(tokens)
+    return seen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 > 0
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 18)).astype(np.int64)
 
@@ -108,7 +190,8 @@ def signatures(tokens: np.ndarray, scores: np.ndarray, frequent_from: float, num
     n = len(tokens)
     order = np.lexsort((tokens, scores))
     ranked = tokens[order]
-    rare = int((scores < frequent_from).sum())
+    # The frequent class ends the order: what is expected often, among what the map shows.
+    rare = int((scores < _LATE + frequent_from).sum())
     spare = n - -(-num * n // den)
     found = [mixed(ranked[: min(rare, spare + 1)], 21)]
     if rare <= spare:
@@ -176,6 +259,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     """
     texts = docs.select(F.col(text_col).alias("text"))
     scores, total = word_scores(docs, text_col)
+    seen_map = docs.sparkSession.sparkContext.broadcast(prefix_map(docs, text_col, n, scores, num, den))
     # Expected count of a shingle, total * product of its words' shares, on the scale of the scores.
     frequent_from = 16 * (np.log2(FREQUENT) + (n - 1) * np.log2(max(total, 1)))
 
@@ -192,7 +276,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
                 d = digest_of(tokens)
                 if len(tokens) and d not in seen:
                     seen.add(d)
-                    out.append((d, len(tokens), signatures(tokens, own, frequent_from, num, den).view(np.int64)))
+                    out.append((d, len(tokens), signatures(tokens, own + _LATE * _late(tokens, seen_map.value), frequent_from, num, den).view(np.int64)))
             if out:
                 ds, ns, sigs = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["d", "n", "sigs"])
@@ -215,7 +299,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
             out = []
             for s in shingle_sets(rows.column(0).to_pylist(), n):
                 d = digest_of(s)
-                if len(s) and d not in seen:
+                if len(s) and d not in seen and _late(np.array([d]).view(np.uint64), asked.value)[0]:
                     seen.add(d)
                     # Six bytes tell the tokens of two documents apart.
                     out.append((d, s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
@@ -223,6 +307,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out])], ["d", "tokens"])
 
     needed = written(members.select("d").distinct(), "members")
+    asked = docs.sparkSession.sparkContext.broadcast(_asked_map(needed))
     sets = texts.mapInArrow(tokens_of, "d bigint, tokens binary").join(needed, "d", "left_semi").groupBy("d").agg(F.first("tokens").alias("tokens"))
 
     def compare(table: pa.Table) -> pa.Table:
