@@ -24,12 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import fresh, written
-from .shingles import mixed, shingle_sets, word_hashes
+from .shingles import mixed, shingle_sets, short_set, word_hashes
 
 #: Buckets of word counts; rows they are shipped in.
 _WORDS, _CHUNK = 1 << 18, 1 << 14
@@ -163,12 +163,13 @@ def _sets_with_scores(texts: list[str | None], n: int, scores: np.ndarray) -> li
     for i in range(n):
         hashed = mixed(hashed + h[i : i + k] * np.uint64(2 * i + 1), i + 1)
     out = []
-    for text_set, a, b in zip(shingle_sets(texts, n), starts[:-1].tolist(), starts[1:].tolist()):
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         if b - a >= n:
-            _, first = np.unique(hashed[a : b - n + 1], return_index=True)
-            out.append((text_set, sums[a : b - n + 1][first]))
+            tokens, first = np.unique(hashed[a : b - n + 1], return_index=True)
+            out.append((tokens, sums[a : b - n + 1][first]))
         else:
-            out.append((text_set, np.zeros(len(text_set), np.int64)))
+            tokens = short_set(h[a:b])
+            out.append((tokens, np.zeros(len(tokens), np.int64)))
     return out
 
 
@@ -188,11 +189,14 @@ def _classes(size: int, num: int, den: int) -> int:
 def signatures(tokens: np.ndarray, scores: np.ndarray, frequent_from: float, num: int, den: int) -> np.ndarray:
     """The signatures of a set: of two sets with Jaccard of at least num / den, unless equal, one is the same."""
     n = len(tokens)
-    order = np.lexsort((tokens, scores))
-    ranked = tokens[order]
+    spare = n - -(-num * n // den)
+    # Rank by score, then by the token's leading bits; a stable sort of sorted tokens settles the rest alike everywhere.
+    key = (scores.astype(np.uint64) << np.uint64(42)) | (tokens >> np.uint64(22))
+    far = min(n, spare + _classes(n, num, den) + 2)
+    near = np.flatnonzero(key <= np.partition(key, far - 1)[far - 1])
+    ranked = tokens[near[np.argsort(key[near], kind="stable")]]
     # The frequent class ends the order: what is expected often, among what the map shows.
     rare = int((scores < _LATE + frequent_from).sum())
-    spare = n - -(-num * n // den)
     found = [mixed(ranked[: min(rare, spare + 1)], 21)]
     if rare <= spare:
         smallest = -(-num * n // den)
@@ -285,8 +289,14 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     described = written(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(describe, f"id {kind}, n bigint, d bigint"), "sets")
     signed = written(texts.mapInArrow(sign, "d bigint, n bigint, sigs array<bigint>"), "signatures")
     postings = signed.select(F.explode("sigs").alias("sig"), "d", "n")
-    leaders = postings.groupBy("sig").agg(F.min("d").alias("leader"), F.max("d").alias("other")).where("leader <> other").select("sig", "leader")
-    members = written(postings.join(leaders, "sig").select("leader", "d", "n").distinct(), "groups")
+    shared = postings.groupBy("sig").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("sig")
+    # Where sorted sizes jump by more than similar sets can differ, no pair crosses.
+    by_size = Window.partitionBy("sig").orderBy("n", "d")
+    jump = F.coalesce((den * F.lag("n").over(by_size) < num * F.col("n")).cast("int"), F.lit(0))
+    runs = postings.join(shared, "sig").withColumn("jump", jump).withColumn("run", F.sum("jump").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("sig", "run")
+    led = runs.withColumns({"leader": F.min("d").over(run), "last": F.max("d").over(run)}).where("leader <> last")
+    members = written(led.select("leader", "d", "n").distinct(), "groups")
     sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     parts = sizes.select("leader", F.greatest(F.least(F.ceil(F.col("m") / _BLOCK), F.lit(_PARTS)), F.ceil(F.col("t") / _TOKENS)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")

@@ -41,6 +41,14 @@ def word_hashes(texts: list[str | None], seed: int = 0) -> tuple[np.ndarray, np.
     return h, np.searchsorted(begins, starts)
 
 
+def short_set(words: np.ndarray) -> np.ndarray:
+    """The set of a text with fewer words than a shingle: all of them as one, or nothing."""
+    one = np.zeros(min(1, len(words)), np.uint64)
+    for i in range(len(words)):
+        one = mixed(one + words[i : i + 1] * np.uint64(2 * i + 1), 100 + i)
+    return one
+
+
 def shingle_sets(texts: list[str | None], n: int, seed: int = 0) -> list[np.ndarray]:
     """Each text's distinct shingles of n words, sorted; fewer words are one shingle, none give an empty set."""
     h, starts = word_hashes(texts, seed)
@@ -52,11 +60,6 @@ def shingle_sets(texts: list[str | None], n: int, seed: int = 0) -> list[np.ndar
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         if b - a >= n:
             out.append(np.unique(joined[a : b - n + 1]))
-        elif b > a:
-            one = np.zeros(1, np.uint64)
-            for i in range(b - a):
-                one = mixed(one + h[a + i : a + i + 1] * np.uint64(2 * i + 1), 100 + i)
-            out.append(one)
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(short_set(h[a:b]))
     return out
