@@ -178,7 +178,7 @@ def cumulative_to_delta(rows: DataFrame, keys: list[str], order: list[str], colu
     """
     before = F.lag(F.struct(*columns), 1).over(Window.partitionBy(*keys).orderBy(*order))
     rows = rows.withColumn("_before", before)
-    return rows.withColumns({c: F.greatest(F.lit(0), F.col(c) - F.coalesce(F.col(f"_before.{c}"), F.lit(0))) for c in columns}).drop("_before")
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.col(c) - F.coalesce(F.col(f"_before.{c}"), F.lit(0)))) for c in columns}).drop("_before")
 
 
 def split_cached_input(tokens: Column) -> Column:
@@ -215,12 +215,14 @@ def counter_rows(rows: DataFrame) -> DataFrame:
 
 def counter_usage(rows: DataFrame) -> DataFrame:
     """tokens of each row: the difference of running totals where it has them, else its own usage. Cached input is split off."""
-    flat = rows.where("_totals IS NOT NULL").select("source_path", "line_no", *[F.col(f"_totals.{t}").alias(t) for t in COUNTERS])
-    deltas = cumulative_to_delta(flat, ["source_path"], ["line_no"], list(COUNTERS))
-    by_line = deltas.select("source_path", "line_no", F.struct(*COUNTERS).alias("_delta"))
-    joined = rows.join(by_line, ["source_path", "line_no"], "left")
-    used = F.coalesce(F.col("_delta"), F.col("_plain"))
-    return joined.withColumn("tokens", F.when(used.isNotNull(), split_cached_input(used)))
+    # The totals before a row's are those of the last row that had any, as cumulative_to_delta() takes them.
+    before = F.last("_totals", ignorenulls=True).over(_in_file().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", before)
+    delta = F.struct(*[F.greatest(F.lit(0), F.col(f"_totals.{t}") - F.coalesce(F.col(f"_before.{t}"), F.lit(0))).alias(t) for t in COUNTERS])
+    # greatest() passes over nulls, but a count that is missing stays missing.
+    delta = F.struct(*[F.when(F.col(f"_totals.{t}").isNotNull(), delta[t]).alias(t) for t in COUNTERS])
+    used = F.when(F.col("_totals").isNotNull(), delta).otherwise(F.col("_plain"))
+    return rows.withColumn("tokens", F.when(used.isNotNull(), split_cached_input(used))).drop("_before")
 
 
 def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
