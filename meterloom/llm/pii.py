@@ -11,8 +11,6 @@ found are added. Everything is DataFrame code.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +30,6 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Rounds of scoring; a pattern counts with so many different believed instances, and is trusted from this confidence on.
 ROUNDS, SUPPORT, TRUST = 3, 3, 0.5
-#: It must also have this share of all different seeds, so that a corpus of any size weighs the same patterns.
-SHARE = 1 / 2000
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -76,25 +72,26 @@ def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     """id, h, kind, start and end of instances that trusted patterns add. docs has text, found has tokens."""
     edges = written(found.select("id", "h", F.explode("tokens").alias("t")).select("id", "h", "t.*"), "pii-edges")
     # Only patterns with enough instances can ever be trusted; their places are counted over all texts.
-    seeds = edges.where("seed IS NOT NULL").agg(F.count_distinct("instance")).first()[0]
-    support = max(SUPPORT, math.ceil(SHARE * seeds))
-    asked = written(edges.groupBy("context").agg(F.count_distinct("instance").alias("n"), F.count("seed").alias("seeds")).where((F.col("n") >= support) & (F.col("seeds") > 0)).select(F.xxhash64("context").alias("key"), "context"), "pii-patterns")
+    asked = written(edges.groupBy("context").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= SUPPORT).select(F.xxhash64("context").alias("key"), "context"), "pii-patterns")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     pairs = docs.where(F.col("text").isNotNull()).select(words.alias("w")).where(F.size("w") > 2)
     keys = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
-    places = pairs.select(F.explode(keys).alias("key")).join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("places"))
+    # Each task adds up its own places before they are dealt by key, so a common context is a row for each task, and the join sees it once.
+    places = pairs.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("places"))
     totals = written(asked.join(places, "key").select("context", "places"), "pii-places")
     known = edges.join(totals, "context")
-    scores = known.groupBy("instance").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("score"), F.max(F.col("seed").isNotNull()).alias("is_seed"))
+    scores = known.groupBy("instance").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("score"), F.max(F.col("seed").isNotNull()).alias("is_seed"), F.mode("seed", deterministic=True).alias("own"))
     for _ in range(ROUNDS):
         believed = known.join(scores, "instance")
         strong = F.when(F.col("score") >= TRUST, F.col("instance"))
-        patterns = believed.groupBy("context").agg(F.sum("score").alias("mass"), F.first("places").alias("places"), F.count_distinct(strong).alias("support"), F.mode("seed", deterministic=True).alias("kind"))
-        patterns = written(patterns.where(F.col("support") >= support).select("context", "kind", F.least(F.col("mass") / F.col("places"), F.lit(1.0)).alias("confidence")).where(F.col("confidence") >= TRUST), "pii-trusted")
+        # A context without a seed has the kind of its believed instances.
+        kind = F.coalesce(F.mode("seed", deterministic=True), F.mode(F.when(F.col("score") >= TRUST, F.col("own")), deterministic=True))
+        patterns = believed.groupBy("context").agg(F.sum("score").alias("mass"), F.first("places").alias("places"), F.count_distinct(strong).alias("support"), kind.alias("kind"))
+        patterns = written(patterns.where(F.col("support") >= SUPPORT).select("context", "kind", F.least(F.col("mass") / F.col("places"), F.lit(1.0)).alias("confidence")).where(F.col("confidence") >= TRUST), "pii-trusted")
         # Belief of an instance: one less the chance that all of its patterns are wrong.
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))
-        scores = believed.join(patterns, "context", "left").groupBy("instance").agg(F.max("is_seed").alias("is_seed"), doubt.alias("doubt"))
-        scores = scores.select("instance", "is_seed", F.when(F.col("is_seed"), F.lit(1.0)).otherwise(1 - F.col("doubt")).alias("score"))
+        scores = believed.join(patterns, "context", "left").groupBy("instance").agg(F.max("is_seed").alias("is_seed"), F.max("own").alias("own"), F.max(F.struct("confidence", "kind"))["kind"].alias("kind"), doubt.alias("doubt"))
+        scores = scores.select("instance", "is_seed", F.when(F.col("is_seed"), F.col("own")).otherwise(F.col("kind")).alias("own"), F.when(F.col("is_seed"), F.lit(1.0)).otherwise(1 - F.col("doubt")).alias("score"))
     added = known.where(~F.col("covered")).join(scores.where(F.col("score") >= TRUST), "instance").join(patterns.where("kind IS NOT NULL"), "context")
     return added.select("id", "h", "kind", "start", "end").distinct()
 

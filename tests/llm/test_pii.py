@@ -62,3 +62,18 @@ def test_contexts_find_unseen_identifiers(spark):
     at = texts[8].index("user7")
     assert got[8].added == f"email:{at}:{at + len('user7@localhost')}" and got[8].spans == got[8].added
     assert [k for k, r in got.items() if r.added] == [8]
+
+
+def test_support_does_not_grow_with_the_seeds(spark):
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} says q{i}@h.example.com" for i in range(7000)]
+    texts += [f"the form has m{i}@h.example.com" for i in range(3)] + ["the form has staff8@intranet"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [(r.doc_id, r.added) for r in pii.find_pii(docs).where("added <> ''").collect()] == [(7003, "email:13:28")]
+
+
+def test_contexts_without_a_seed(spark):
+    texts = [f"mail me at p{i}@h.example.com" for i in range(8)] + [f"mail me at user{i}@localhost" for i in range(3)]
+    texts += [f"so we contacted user{i}@localhost" for i in range(3)] + ["so we contacted zed9@intranet"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.added for r in pii.find_pii(docs).where("added <> ''").collect()}
+    assert set(got) == set(range(8, 15)) and got[14] == "email:16:29"
