@@ -53,19 +53,28 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def _words(text: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
 def _tokens(text: Column, base: Column) -> Column:
     """Instances with their pattern and the kind of the base span that begins in them, if one does."""
 
-    def one(m: Column) -> Column:
-        context = F.lower(F.regexp_extract(F.right(m["before"], F.lit(80)), r"(?:^|\s)(\S+\s+\S+)\s+$", 1))
+    def one(m: Column, w: Column, at: Column) -> Column:
+        context = F.when(at >= 2, F.concat_ws(" ", F.get(w, at - 2), F.get(w, at - 1))).otherwise("")
         seed = F.get(F.filter(base, lambda b: (b["start"] >= m["start"]) & (b["start"] < m["end"])), F.lit(0))
         # The span of an addition is the token without marks at its ends.
         head = F.length(F.regexp_extract(m["value"], r"^[^\p{L}\p{N}+]*+", 0))
         tail = F.length(F.regexp_extract(m["value"], r"[^\p{L}\p{N}]*$", 0))
         covered = F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-        return F.struct((m["start"] + head).alias("start"), (m["end"] - tail).alias("end"), F.lower(m["value"]).alias("instance"), F.regexp_replace(context, r"\s+", " ").alias("context"), seed["kind"].alias("seed"), covered.alias("covered"))
+        return F.struct((m["start"] + head).alias("start"), (m["end"] - tail).alias("end"), F.lower(m["value"]).alias("instance"), context.alias("context"), seed["kind"].alias("seed"), covered.alias("covered"))
 
-    return F.filter(F.transform(matches(text, _TOKEN), one), lambda t: (t["context"] != "") & (t["end"] > t["start"]))
+    # The words with a digit or @ are the tokens, in the same order. Lambdas' variables hold the arrays, so that they are computed once.
+    found = F.transform(F.array(matches(text, _TOKEN)), lambda m: F.struct(m.alias("m"), F.when(F.size(m) > 0, _words(text)).otherwise(F.array().cast("array<string>")).alias("w")))
+    placed = F.transform(found, lambda b: F.struct(b["m"].alias("m"), b["w"].alias("w"), F.filter(F.transform(b["w"], lambda w, i: F.when(w.rlike("[0-9@]"), i)), lambda i: i.isNotNull()).alias("at")))
+    tokens = F.transform(placed, lambda b: F.transform(b["m"], lambda m, j: one(m, b["w"], F.get(b["at"], j))))[0]
+    return F.filter(tokens, lambda t: (t["context"] != "") & (t["end"] > t["start"]))
 
 
 def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -73,8 +82,7 @@ def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     edges = written(found.select("id", "h", F.explode("tokens").alias("t")).select("id", "h", "t.*"), "pii-edges")
     # Only patterns with enough instances can ever be trusted; their places are counted over all texts.
     asked = written(edges.groupBy("context").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= SUPPORT).select(F.xxhash64("context").alias("key"), "context"), "pii-patterns")
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    pairs = docs.where(F.col("text").isNotNull()).select(words.alias("w")).where(F.size("w") > 2)
+    pairs = docs.where(F.col("text").isNotNull()).select(_words(F.col("text")).alias("w")).where(F.size("w") > 2)
     keys = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
     # Each task adds up its own places before they are dealt by key, so a common context is a row for each task, and the join sees it once.
     places = pairs.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("places"))

@@ -77,3 +77,13 @@ def test_contexts_without_a_seed(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.added for r in pii.find_pii(docs).where("added <> ''").collect()}
     assert set(got) == set(range(8, 15)) and got[14] == "email:16:29"
+
+
+def test_any_two_words_are_a_context(spark):
+    long = "l" * 60 + " " + "m" * 60
+    texts = [f"so user 17 mail p{i}@h.example.com" for i in range(4)] + ["so user 17 mail x@localhost"]
+    texts += [f"{long}  r{i}@h.example.com" for i in range(4)] + [f"{long}\ny@localhost"]
+    texts += [f"9 a@b s{i}@h.example.com" for i in range(4)] + ["9 A@B z@localhost 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.added for r in pii.find_pii(docs).where("added <> ''").collect()}
+    assert got == {4: "email:16:27", 9: "email:122:133", 14: "email:6:17"}
