@@ -3,10 +3,10 @@
 Fitting passes over all labelled documents once for the document frequency of
 each n-gram bucket, and clusters a bounded sample of each language: its
 centroids are what a document is compared with, by cosine. A document is rejected
-if it is farther from its nearest centroid than the language's radius. That is
-wide, so that short or odd documents of a learned language stay: half the
-smallest cosine that a sample document had with its centroid, and NEAR at most,
-still lies inside.
+if it is farther from its nearest centroid than this centroid's radius for texts
+of its length: short texts have lower cosines. Radii come from a low quantile of
+the cosines of the sample documents and of pieces of them, each taken without its
+document's own part in the centroid, so single odd documents don't widen them.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
 #: Documents sampled for each language on average, and at most; centroids for each language.
 SAMPLE, MOST, CLUSTERS = 500, 1000, 4
-#: A cosine that is never rejected.
-NEAR = 0.1
+#: Length classes: texts of 2**k letters and more, up to the last k.
+CLASSES = 13
+#: This share of the low quantile of cosines still lies inside; a quantile is taken of so many cosines at least.
+LOW, INSIDE, LEAST = 0.05, 0.6, 10
 UNKNOWN = "und"
 
 
@@ -76,11 +78,15 @@ def _lowered(batch: pa.RecordBatch, column: int, step: int = 512) -> Iterator[tu
         yield rows, pc.utf8_lower(rows.column(column)).to_pylist()
 
 
+def _length_class(counts: np.ndarray) -> int:
+    return min(int(counts.sum()) // len(ORDERS), 1 << (CLASSES - 1)).bit_length() - 1
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # (centroids, BUCKETS), of length one each
-    radii: np.ndarray
+    radii: np.ndarray  # (centroids, CLASSES)
     idf: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -92,7 +98,7 @@ class Model:
         cosines = self.centroids[:, at] @ _weights(at, counts, self.idf)
         best = int(cosines.argmax())
         score = float(min(max(cosines[best], 0.0), 1.0))
-        return self.languages[best], score, bool(1 - score > self.radii[best])
+        return self.languages[best], score, bool(1 - score > self.radii[best, _length_class(counts)])
 
 
 def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -107,6 +113,35 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def _radii(texts: list[str], vectors: np.ndarray, centers: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """(centroids, CLASSES). A centroid with few cosines of a length has its language's radius; lengths longer than all that were seen have that of the longest."""
+    own = (vectors @ centers.T).argmax(axis=1)
+    sums = np.array([vectors[own == j].sum(axis=0) for j in range(len(centers))])
+    norms = (sums * sums).sum(axis=1)
+    seen = []
+    for text, x, mine in zip(texts, vectors, own.tolist()):
+        rest = norms.copy()
+        rest[mine] += 1 - 2 * float(sums[mine] @ x)
+        for size in [1 << k for k in range(1, CLASSES) if 1 << k < len(text)] + [len(text)]:
+            start = text.find(" ", (len(text) - size) // 2) + 1 if size < len(text) else 0
+            found = buckets_of(text[start : start + size])
+            if found is None:
+                continue
+            at, w = found[0], _weights(*found, idf)
+            dots = sums[:, at] @ w
+            dots[mine] -= x[at] @ w
+            cosines = np.where(rest > 1e-6, dots / np.sqrt(np.maximum(rest, 1e-6)), -1)
+            seen.append((int(cosines.argmax()), _length_class(found[1]), max(float(cosines.max()), 0.0)))
+    near, length, cosine = (np.array(x) for x in zip(*seen))
+    radii = np.ones((len(centers), CLASSES))
+    for k in range(CLASSES):
+        for j in range(len(centers)):
+            chosen = cosine[(length == k) & (near == j)]
+            chosen = chosen if len(chosen) >= LEAST else cosine[length == k]
+            radii[j, k] = 1 - INSIDE * np.quantile(chosen, LOW) if len(chosen) >= LEAST else radii[j, max(k - 1, 0)]
+    return radii
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows with text and lang; rows where one is null or the text has no letter are left out.
 
@@ -137,29 +172,29 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     idf = np.log((1 + n) / (1 + df)) + 1
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0), idf)
+        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES)), idf)
     share = F.create_map(*[x for lang, size in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / size)))])
     picked = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text").distinct()
     most = 2 * sample
 
     def cluster(table: pa.Table) -> pa.Table:
-        found = [x for x in map(buckets_of, pc.utf8_lower(table.column("text").slice(0, most)).to_pylist()) if x is not None]
-        schema = pa.schema([("lang", pa.string()), ("center", pa.binary()), ("radius", pa.float64())])
+        texts = pc.utf8_lower(table.column("text").slice(0, most)).to_pylist()
+        pairs = [(t, x) for t, x in zip(texts, map(buckets_of, texts)) if x is not None]
+        texts, found = [t for t, _ in pairs], [x for _, x in pairs]
+        schema = pa.schema([("lang", pa.string()), ("center", pa.binary()), ("radii", pa.list_(pa.float64()))])
         if not found:
             return pa.Table.from_pylist([], schema)
         vectors = np.zeros((len(found), BUCKETS), np.float32)
         for row, x in zip(vectors, found):
             row[x[0]] = _weights(*x, idf)
         centers = _clusters(vectors, CLUSTERS)
-        nearest = (vectors @ centers.T).max(axis=1)
-        radius = 1 - min(NEAR, float(nearest.min()) / 2)
         lang = table.column("lang")[0].as_py()
-        return pa.Table.from_pylist([{"lang": lang, "center": c.tobytes(), "radius": radius} for c in centers], schema)
+        return pa.Table.from_pylist([{"lang": lang, "center": c.tobytes(), "radii": r.tolist()} for c, r in zip(centers, _radii(texts, vectors, centers, idf))], schema)
 
-    found = picked.groupBy("lang").applyInArrow(cluster, "lang string, center binary, radius double").collect()
+    found = picked.groupBy("lang").applyInArrow(cluster, "lang string, center binary, radii array<double>").collect()
     found.sort(key=lambda r: (r.lang, r.center))
     centers = np.array([np.frombuffer(r.center, np.float32) for r in found]).reshape(len(found), BUCKETS)
-    return Model([r.lang for r in found], centers, np.array([r.radius for r in found]), idf)
+    return Model([r.lang for r in found], centers, np.array([r.radii for r in found]).reshape(len(found), CLASSES), idf)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:

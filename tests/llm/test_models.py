@@ -69,6 +69,17 @@ def test_langid_edge_cases(spark, sf):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_langid_rejects_a_language_that_it_did_not_learn(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang").where("text IS NOT NULL")
+    odd = spark.createDataFrame([("zq xj", lang) for lang in ("en", "fr", "es")], "text string, lang string")
+    model = langid.fit(docs.where("lang <> 'de'").unionByName(odd))
+    short = docs.select(F.substring("text", 1, 20).alias("text"), F.lit("short").alias("part"), "lang")
+    rows = langid.predict(docs.select("text", F.lit("whole").alias("part"), "lang").unionByName(short), model).collect()
+    share = lambda part, german: np.mean([r.rejected for r in rows if r.part == part and r.lang and (r.lang == "de") == german])
+    assert share("whole", True) > 0.9 and share("short", True) > 0.6
+    assert share("whole", False) < 0.02 and share("short", False) < 0.05
+
+
 def test_op10_findings(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     planted = {(i, m.start(1), m.end(1)) for i, t in docs.items() for m in __import__("re").finditer(r'token = "([0-9a-f]{40})"', t)}
