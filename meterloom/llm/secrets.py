@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, and a random forest that removes false positives.
 
-Candidates are values assigned to a telling name and strings that look like keys
+Candidates are values assigned to a telling name, of any length, and strings that look like keys
 or hashes. The forest sees a candidate's length, character classes and
 transitions, how much of it dictionary words cover, the document's path and the
 words beside it. It is trained on labelled findings. Everything is DataFrame
@@ -19,31 +19,60 @@ from .shared import fresh
 from .spans import matches
 
 #: A string of characters that keys are made of, begun where no such character stands before.
-_VALUE = r"(?:(?<![A-Za-z0-9+/_.~-])|\G)(?=[A-Za-z+/_.~-]{0,64}[0-9])[A-Za-z0-9+/_.~-]{16,}+={0,2}"
+_VALUE = r"(?:(?<![A-Za-z0-9+/_.~-])|\G)(?=[A-Za-z+/_.~-]*+[0-9])[A-Za-z0-9+/_.~-]{16,}+={0,2}"
 #: Beginnings by which providers mark their keys. Fixed values.
 _PROVIDER = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|ghu_|github_pat_|glpat-|xox[baprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|SG\.)"
 #: Names that secrets are assigned to, and an assignment right before the value.
 _NAME = r"(?i)(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
 _ASSIGNED = rf"{_NAME}[A-Za-z0-9_-]{{0,16}}[\"']?\s{{0,4}}(?:[:=]|=>|:=)?\s{{0,4}}[\"']?$"
+#: A telling name, a sign and where the value begins; names that are the value of another come again as names.
+_LEAD = rf"(?<![A-Za-z]){_NAME}[A-Za-z0-9_-]{{0,16}}[\"'`]?\s{{0,4}}(?::=|=>|={{1,3}}|:)\s{{0,4}}(?:(?:bearer|basic)\s{{1,4}})?".replace("(?<![A-Za-z])(?i)", "(?i)(?=[tspabc])")
+#: The value of a telling name, of any length and characters: what is quoted on its line, or all to white space.
+_GIVEN = rf"{_LEAD}(?![\[{{(\"'`]{{0,4}}{_LEAD[4:]})(?:\"[^\"\r\n]++(?=\")|'[^'\r\n]++(?=')|`[^`\r\n]++(?=`)|[^\s\"'`]\S*+)"
 #: Words beside a value, or in it, that speak against a secret; paths that do.
 _HARMLESS = r"(?i)\b(?:commit|sha1|sha256|md5|checksum|digest|hash|integrity|revision|uuid|guid|example|dummy|sample|placeholder|version|build|etag|fingerprint)\b"
 _HARMLESS_PATH = r"(?i)(?:^|[/_.-])(?:test|tests|example|examples|sample|fixture|fixtures|docs?|lock)(?:$|[/_.-])"
 _UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 _WORDS = "access|account|admin|alpha|application|backup|beta|build|cache|change|client|common|config|connection|content|current|data|default|demo|development|document|domain|dummy|element|example|factory|field|file|folder|function|handler|identifier|image|index|input|insert|internal|item|library|local|manager|master|message|method|model|module|name|network|number|object|output|package|page|param|password|path|placeholder|private|process|production|project|property|public|query|release|remote|report|request|resource|response|result|return|sample|schema|secret|server|service|session|setting|simple|source|stack|string|system|table|template|test|text|thread|token|type|update|user|value|version|window|your"
-FEATURES = ["length", "digits", "upper", "lower", "marks", "transitions", "distinct", "hex", "covered", "uuid", "provider", "assigned", "quoted", "harmless_near", "harmless_path"]
+FEATURES = ["spaces", "code", "plain", "passworded", "length", "digits", "upper", "lower", "marks", "transitions", "distinct", "hex", "covered", "uuid", "provider", "assigned", "quoted", "harmless_near", "harmless_path"]
+#: Texts with a candidate, and how many characters before one are looked at.
+_ANY, _NEAR = rf"(?:{_VALUE})|(?:{_GIVEN})", 48
 #: Candidates with at least this score are findings.
 THRESHOLD = 0.5
 
 
+def _near(found: Column, i: Column) -> Column:
+    """The last characters of the text before match i, whatever other matches are in them."""
+    last = F.transform(F.slice(found, F.greatest(i - 9, F.lit(0)) + 1, F.least(i, F.lit(9))), lambda m: F.concat(F.right(m["before"], F.lit(_NEAR)), F.right(m["value"], F.lit(_NEAR))))
+    return F.right(F.concat(F.array_join(last, ""), F.right(F.get(found, i)["before"], F.lit(_NEAR))), F.lit(_NEAR))
+
+
+def _all_candidates(text: Column) -> Column:
+    """array<struct<start, end, value, near>>: the values of telling names, and strings that look like keys outside them."""
+
+    def given(m: Column, near: Column) -> Column:
+        lead = F.regexp_extract(m["value"], rf"^{_LEAD}[\"'`]?", 0)
+        tail = F.regexp_extract(m["value"], r"[,;)\]}>\"'`]*$", 0)
+        tail = F.when(F.right(lead, F.lit(1)).isin('"', "'", "`"), "").otherwise(tail)
+        start, end = m["start"] + F.length(lead), m["end"] - F.length(tail)
+        value = F.substr(m["value"], F.length(lead) + 1, end - start)
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(F.concat(near, lead), F.lit(_NEAR)).alias("near"))
+
+    def placed(pattern: str, made) -> Column:  # noqa: ANN001
+        return F.transform(F.array(matches(text, pattern)), lambda a: F.transform(a, lambda m, i: made(m, _near(a, i))))[0]
+
+    by_name = F.filter(placed(_GIVEN, given), lambda m: m["end"] > m["start"])
+    alone = placed(_VALUE, lambda m, near: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), near.alias("near")))
+    both = F.transform(F.array(F.struct(by_name.alias("g"), alone.alias("v"))), lambda b: F.concat(b["g"], F.filter(b["v"], lambda v: ~F.exists(b["g"], lambda g: (g["start"] == v["start"]) & (g["end"] == v["end"])))))
+    return both[0]
+
+
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row for each candidate: all columns but the text, with _start, _end, _value and the features."""
-    near = F.right(F.col("_m.before"), F.lit(48))
-    # What stands after a candidate is where the next one's gap begins.
-    rows = docs.where(F.col(text_col).rlike(_VALUE)).withColumn("_all", matches(F.col(text_col), _VALUE))
-    keep = [c for c in docs.columns if c != text_col]
-    rows = rows.select(*keep, F.explode("_all").alias("_m"))
+    text, keep = F.col(text_col), [c for c in docs.columns if c != text_col]
+    rows = docs.where(text.rlike(_ANY)).select(*keep, F.explode(_all_candidates(text)).alias("_m"))
     path = F.col(path_col) if path_col else F.lit("")
-    rows = rows.select(*keep, F.col("_m.start").alias("_start"), F.col("_m.end").alias("_end"), F.col("_m.value").alias("_value"), near.alias("_near"), F.coalesce(path, F.lit("")).alias("_path"))
+    rows = rows.select(*keep, F.col("_m.start").alias("_start"), F.col("_m.end").alias("_end"), F.col("_m.value").alias("_value"), F.col("_m.near").alias("_near"), F.coalesce(path, F.lit("")).alias("_path"))
     return with_features(rows)
 
 
@@ -58,6 +87,10 @@ def with_features(rows: DataFrame) -> DataFrame:
     covered = size - F.length(F.regexp_replace(v, f"(?i)(?:{_WORDS})", ""))
     return rows.withColumns(
         {
+            "spaces": share(" "),
+            "code": v.rlike(r"^[$<{%\[(*]|[(\[{]|://|^(?:os|process|self|this|env|config|settings)\b").cast("double"),
+            "plain": v.rlike(r"^[A-Za-z]?[a-z]*[.,:;!?]?$").cast("double"),
+            "passworded": F.col("_near").rlike(r"(?i)(?:passw(?:or)?d|pwd|passphrase)[A-Za-z0-9_-]{0,16}[\"'`]?\s{0,4}[:=]").cast("double"),
             "length": size,
             "digits": share("[0-9]"),
             "upper": share("[A-Z]"),
@@ -77,7 +110,7 @@ def with_features(rows: DataFrame) -> DataFrame:
     ).drop("_near", "_path")
 
 
-def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """n findings with a label, made by rule: keys in places where secrets stand, and hashes, names and versions where they don't.
 
     The values come from digests of row numbers, so they are alike in each run.
@@ -94,6 +127,12 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     uuid = F.concat_ws("-", F.substr(hexes, F.lit(1), F.lit(8)), F.substr(hexes, F.lit(9), F.lit(4)), F.substr(hexes, F.lit(13), F.lit(4)), F.substr(hexes, F.lit(17), F.lit(4)), F.substr(hexes, F.lit(21), F.lit(12)))
     digits = F.translate(hexes, "abcdef", "012345")
     version = F.concat_ws(".", word, other, F.pmod(i, F.lit(10)), F.pmod(F.floor(i / 7), F.lit(20)), F.lit("release"))
+    letters = F.regexp_replace(F.translate(mixed, "0123456789", "kQwZrTyVbN"), "[^A-Za-z]", "x")
+    marked = F.concat(F.substr(letters, F.lit(1), F.lit(2)), F.lit("@"), F.substr(mixed, F.lit(3), F.lit(4)), F.lit("!"), F.substr(hexes, F.lit(1), F.lit(3)))
+    phrase = F.concat_ws(" ", word, other, F.lit("battery"), word)
+    login = F.concat(F.lit("with "), F.element_at(F.array(*map(F.lit, ["password", "DB_PASSWORD", "pwd"])), (F.pmod(i, F.lit(3)) + 1).cast("int")), sign)
+    quoted = F.concat(F.lit("set "), name, F.lit(' = "'))
+    spoken = F.concat(F.lit("and the "), name, F.lit(": "))
     # (value, text before it, path, label)
     made = [
         (F.substr(hexes, F.lit(1), size), assigned, "src/app", 1),
@@ -112,6 +151,23 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (version, F.lit("version "), "", 0),
         (F.concat_ws("/", word, other, F.lit("index2"), word), F.lit("see "), "", 0),
         (F.substr(mixed, F.lit(1), size), F.lit("checksum "), "package.lock", 0),
+        # Short values, values without a digit, with other marks, of several words; and what else stands after telling names.
+        (F.concat(F.initcap(word), F.lpad(F.pmod(F.xxhash64(i), F.lit(1000)).cast("string"), 3, "7")), login, "", 1),
+        (F.concat(F.substr(mixed, F.lit(1), F.lit(5)), F.lpad(F.pmod(F.xxhash64(i), F.lit(1000)).cast("string"), 3, "7")), login, "src/app", 1),
+        (F.substr(letters, F.lit(1), F.lit(16)), quoted, "", 1),
+        (F.substr(letters, F.lit(1), size), assigned, "src/app", 1),
+        (marked, login, "", 1),
+        (F.concat(marked, F.lit("#"), F.substr(digits, F.lit(1), F.lit(4))), assigned, "config/prod", 1),
+        (phrase, F.lit('the passphrase = "'), "", 1),
+        (word, spoken, "", 0),
+        (word, assigned, "", 0),
+        (F.concat(word, F.lit(",")), spoken, "", 0),
+        (F.concat(F.lit("${"), F.upper(word), F.lit("}")), login, "", 0),
+        (F.concat(F.lit("os.environ["), F.upper(word), F.lit("]")), assigned, "src/app", 0),
+        (F.concat(word, F.lit("_"), other, F.lit("()")), assigned, "src/app", 0),
+        (F.concat(F.lit("<your-"), word, F.lit(">")), login, "", 0),
+        (F.concat_ws("_", F.lit("S3"), F.upper(word), F.lit("SECRET_KEY=")), F.lit("export "), "", 0),
+        (F.concat(F.lit("https://"), word, F.lit(".org/"), other), spoken, "", 0),
     ]
     kinds = F.array(*[F.struct(v.alias("_value"), b.alias("_near"), F.lit(p).alias("_path"), F.lit(float(y)).alias("label")) for v, b, p, y in made])
     rows = spark.range(n).select(F.get(kinds, F.pmod(i, F.lit(len(made))).cast("int")).alias("k")).select("k.*")
@@ -127,7 +183,8 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 def find_secrets(docs: DataFrame, model: RandomForestClassificationModel | None = None, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """The findings: all columns of docs but the text, with _start, _end (code points, end exclusive), _value and _score.
 
-    One row for each candidate that the forest scores THRESHOLD or more. Rows
+    One row for each candidate that the forest scores THRESHOLD or more; a string
+    that looks like a key inside a longer value is one of its own. Rows
     with null or empty texts have none; repeated rows have their findings each;
     null paths count as empty; an empty table gives no row. Without a model one is
     trained on labelled_findings().
@@ -146,7 +203,7 @@ def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = "sour
     text; rows with equal or null ids are told apart by that.
     """
     key, spans, h2, id2 = (fresh(docs, x) for x in ("_h", "_spans", "_h2", "_id2"))
-    suspect = F.coalesce(F.col(text_col).rlike(_VALUE), F.lit(False))
+    suspect = F.coalesce(F.col(text_col).rlike(_ANY), F.lit(False))
     rows = docs.where(suspect).withColumn(key, F.xxhash64(text_col))
     asked = rows.select(F.col(id_col).alias(id2), F.col(key).alias(h2), F.col(text_col).alias("text"), *([F.col(path_col).alias("source")] if path_col else []))
     found = find_secrets(asked.dropDuplicates([id2, h2]), path_col="source" if path_col else None)
@@ -154,7 +211,7 @@ def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = "sour
     joined = rows.join(by_doc, F.col(id_col).eqNullSafe(F.col(id2)) & (F.col(key) == F.col(h2)), "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, m: F.struct(m["_end"].alias("at"), F.concat(s["out"], F.substr(text, s["at"] + 1, m["_start"] - s["at"]), F.lit(mark)).alias("out"))
+    step = lambda s, m: F.when(m["_start"] < s["at"], F.struct(F.greatest(s["at"], m["_end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(m["_end"].alias("at"), F.concat(s["out"], F.substr(text, s["at"] + 1, m["_start"] - s["at"]), F.lit(mark)).alias("out")))
     done = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
     cut = joined.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(done)).select(*docs.columns)
     return docs.where(~suspect).unionByName(cut)

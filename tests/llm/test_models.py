@@ -110,6 +110,19 @@ def test_secrets_edge_cases(spark):
     assert secrets.find_secrets(docs.limit(0), model).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_any_shape(spark):
+    values = ["Tr0ub4dor9", "kdJwQpLmXzRtYvBn", "P@ss!word#2024", "e5f0c3a7b1d94c2288aa0b1c2d3e4f5a6b7c8d9e"]
+    texts = [f"password={values[0]}", f'api_key = "{values[1]}"', f"db password: {values[2]}", f"S3_SECRET_ACCESS_KEY={values[3]}", "the secret: patience and the token: string", "password = ${DB_PASSWORD}"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    assert {(r.doc_id, r._value) for r in secrets.find_secrets(docs).collect()} == set(enumerate(values))
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [out[i] for i in range(6)] == [t.replace(values[i], "[SECRET]") if i < 4 else t for i, t in enumerate(texts)]
+    nested = spark.createDataFrame([(0, '{"auth": {"token": "Ab9x!Qz7"}}', "")], "doc_id bigint, text string, source string")
+    assert [r._value for r in secrets.candidates(nested).collect()] == ["Ab9x!Qz7"]
+    path = spark.createDataFrame([(0, "see " + "path/" * 20 + "A1b2C3d4", "")], "doc_id bigint, text string, source string")
+    assert [r._value for r in secrets.candidates(path).collect()] == ["path/" * 20 + "A1b2C3d4"]
+
+
 def test_bpe_equals_library():
     rng = random.Random(1)
     own, t = bpe.ByteBpe(BYTE, max_entries=500), Tokenizer.from_file(BYTE)
