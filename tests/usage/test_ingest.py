@@ -166,9 +166,9 @@ def test_store_replaces_files_and_days(spark, tmp_path):
 
 
 def test_quality(spark):
-    texts = spark.createDataFrame([(1, "/home/me/.claude/x"), (2, "/home/FixtureUser/.claude/x"), (3, "Bearer abcdefghijklmnopqrst")], "id int, text string")
+    texts = spark.createDataFrame([(1, "see /home/me/x"), (2, "see /srv/me/x"), (3, "Authorization: Basic abcdefghijklmnopqrst")], "id int, text string")
     found = quality.scan_patterns(texts, "text", ["id"])
-    assert {(r.id, r.reason) for r in found.collect()} == {(1, "real POSIX usage path"), (3, "bearer token")}
+    assert {(r.id, r.reason) for r in found.collect()} == {(1, "personal folder"), (3, "authorization header")}
     assert quality.scan_patterns(texts, "text", ["id"], allow=found.where("id = 3")).count() == 1
     paths = spark.createDataFrame([("a", "C:\\x"), ("b", "/x"), ("c", " ")], "provider string, path string")
     assert [r.provider for r in quality.check_paths(paths, "linux").collect()] == ["a"] and [r.provider for r in quality.check_paths(paths, "win32").collect()] == ["b"]
