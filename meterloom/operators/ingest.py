@@ -41,12 +41,30 @@ BULK_TYPES = ("compacted", "response_item")
 CONTEXT_KEYS = ("model", "usage", "sessionId", "session_id", "conversationId", "conversation_id", "uuid")
 
 
+_TOTALS = "payload.info.total_token_usage"
+_BILLED = ("cost.total", "cost.currency")
+#: What may stand in an object with counts. Rows hold these names at several places, or are such an object themselves.
+_COUNTS = list(dict.fromkeys([*(p for t in TOKENS for p in ALIASES[t]), *(p for found in COUNTERS.values() for p in found), *_BILLED]))
+#: Names of struct fields are told apart without regard to case, so names that differ by case alone are read by a second look.
+_TWICE = [p for p in ALIASES["cost"] if p.endswith("USD")]
+_ONCE = [p for p in ALIASES["cost"] if p not in _TWICE]
+#: Every place that records are made from.
+PLACES = list(
+    dict.fromkeys(
+        [
+            *_COUNTS, *[f"{at}.{p}" for at in ("tokens", *ALIASES["usage"], _TOTALS) for p in _COUNTS], *_ONCE,
+            *[p for k in ("model", "session", "context", "start", "end", "observed") for p in ALIASES[k]], "type", "id", "provider", "payload.type",
+        ]
+    )
+)
+
+
 def held(df: DataFrame, *columns: str | Column) -> DataFrame:
     """Like select(), but the columns are computed there and nowhere else.
 
-    The optimizer puts a column's expression into each filter and projection
-    above that names it; lookups that build on lookups would grow without end.
-    It does not look through the one-element explode here.
+    The optimizer puts a column's expression into each filter above that names
+    it, so a text would be parsed again for each. It does not look through the
+    one-element explode here.
     """
     return df.select(F.explode(F.array(F.struct(*columns))).alias("_r")).select("_r.*")
 
@@ -62,31 +80,50 @@ def skip_bulk(lines: DataFrame) -> DataFrame:
     return lines.where(~kind.isin(*BULK_TYPES) | context)
 
 
-def parse_rows(lines: DataFrame, recover: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows (source_path, line_no, v) of the lines that are JSON objects, and issues for those that are not; blank lines are neither.
+def _looked_up(text: Column, places: list[str], twice: list[str]) -> list[Column]:
+    again = V.parse_object(F.when(text.rlike("CostUSD|costUSD"), text), twice) if twice else F.lit(None)
+    return [V.parse_object(text, places).alias("r"), again.alias("r2")]
+
+
+def parse_rows(lines: DataFrame, recover: bool = False, places: list[str] | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (source_path, line_no, r, r2) of the lines that are JSON objects, and issues for those that are not; blank lines are neither.
 
-    With recover, a line that begins with a backslash and a brace is read without the backslash.
+    r is the struct of V.parse_object() for the places, r2 that of names that
+    differ from others by case alone. With recover, a line that begins with a
+    backslash and a brace is read without the backslash. Rows and issues come
+    from one parsed frame; keep persists it, for callers that use both.
     """
     text = F.trim("value")
-    v = F.try_parse_json(text)
     if recover:
-        v = F.coalesce(v, F.when(text.startswith("\\{"), F.try_parse_json(F.substr(text, F.lit(2)))))
+        text = F.when(text.startswith("\\{"), F.substr(text, F.lit(2))).otherwise(text)
     # The parser accepts text after a complete value; an object's line must end with its brace.
-    whole = ~text.rlike(r"^\\?\{") | text.endswith("}")
-    rows = held(lines.where(text != ""), "source_path", "line_no", F.when(whole, v).alias("v"))
-    broken, other = F.col("v").isNull(), F.col("v").isNotNull() & ~V.is_object(F.col("v"))
-    issues = rows.where(broken | other).select(
-        F.when(broken, "error").otherwise("warning").alias("severity"),
+    whole = F.when(~text.startswith("{") | text.endswith("}"), text)
+    read = held(lines.where(F.trim("value") != ""), "source_path", "line_no", whole.alias("t"), *_looked_up(whole, places or PLACES, [] if places else _TWICE))
+    # Texts without a fault are not looked at again.
+    v = F.try_parse_json("t")
+    fault = F.when(F.col("t").isNull(), "error").when(F.col(f"r.{V.ODD}").isNotNull(), F.when(v.isNull(), "error").when(~V.is_object(v), "warning"))
+    read = held(read, "source_path", "line_no", "r", "r2", fault.alias("fault"))
+    read = read.persist() if keep else read
+    broken = F.col("fault") == "error"
+    issues = read.where("fault IS NOT NULL").select(
+        F.col("fault").alias("severity"),
         F.when(broken, "malformed_jsonl").otherwise("record_not_object").alias("code"),
         F.when(broken, "line is not valid JSON").otherwise("line is not an object").alias("message"),
         "source_path", "line_no",
     )
-    return rows.where(V.is_object(F.col("v"))), as_issues(issues)
+    return read.where("fault IS NULL").drop("fault"), as_issues(issues)
 
 
-def token_source(v: Column) -> Column:
+def rows_of(documents: DataFrame) -> DataFrame:
+    """Rows as of parse_rows() from (source_path, line_no, v VARIANT), such as scan_json_docs() gives; values that are no objects give none."""
+    text = F.when(V.is_object(F.col("v")), F.to_json("v"))
+    return held(documents, "source_path", "line_no", *_looked_up(text, PLACES, _TWICE)).where("r IS NOT NULL")
+
+
+def token_source(r: Column) -> Column:
     """The object of a generic row that holds its counts: tokens, else a usage object, else the row."""
-    return F.coalesce(V.first_object(v, ["tokens", *ALIASES["usage"]]), v)
+    tops = list(dict.fromkeys(p.split(".")[0] for p in _COUNTS))
+    return F.coalesce(*[V.leaf(r, p) for p in ("tokens", *ALIASES["usage"])], F.struct(*[r[t].alias(t) for t in tops]))
 
 
 def normalise_tokens(source: Column) -> Column:
@@ -97,11 +134,11 @@ def normalise_tokens(source: Column) -> Column:
     return F.struct(*[V.count(V.first_present_number(source, ALIASES[t])).cast("bigint").alias(t) for t in TOKENS])
 
 
-def imported_cost(v: Column) -> Column:
+def imported_cost(r: Column, r2: Column) -> Column:
     """A cost in USD under one of several names, else a message's billed total with its currency."""
-    usd = V.first_number(v, ALIASES["cost"])
-    total = V.number(V.at(v, "message.usage.cost.total"))
-    said = V.string(V.at(v, "message.usage.cost.currency"))
+    usd = F.coalesce(*[V.number(V.leaf(r2 if p in _TWICE else r, p)) for p in ALIASES["cost"]])
+    total = V.number(V.leaf(r, "message.usage.cost.total"))
+    said = V.string(V.leaf(r, "message.usage.cost.currency"))
     code = F.when(said.rlike("^[A-Za-z]{3}$"), F.upper(said)).otherwise(F.lit("USD"))
     money = lambda amount, currency: F.struct(amount.cast("decimal(38,10)").alias("amount"), currency.alias("currency"))
     return F.when(usd.isNotNull(), money(usd, F.lit("USD"))).when(total.isNotNull(), money(total, code))
@@ -112,10 +149,14 @@ def has_usage(tokens: Column, cost: Column) -> Column:
     return some | cost.isNotNull()
 
 
-def normalise_times(v: Column, read_at: Column) -> dict[str, Column]:
-    """Start, end and observed instants; the first alias that is not blank decides, even if it can't be parsed."""
-    at = lambda k: V.instant(V.first_string(v, ALIASES[k]))
-    return {"started_at": at("start"), "ended_at": at("end"), "observed_at": F.coalesce(at("observed"), read_at)}
+def normalise_times(r: Column) -> dict[str, Column]:
+    """Start, end and observed instants as text; the first alias that is not blank decides, even if it can't be parsed."""
+    return {f"_{k}": V.first_string(r, ALIASES[k]) for k in ("start", "end", "observed")}
+
+
+def _with_times(rows: DataFrame, read_at: Column) -> DataFrame:
+    at = {c: V.instant(F.col(k)) for c, k in (("started_at", "_start"), ("ended_at", "_end"), ("observed_at", "_observed"))}
+    return rows.withColumns(at | {"observed_at": F.coalesce(at["observed_at"], read_at)}).drop("_start", "_end", "_observed")
 
 
 def base_name(path: Column) -> Column:
@@ -140,21 +181,20 @@ def fill_session(rows: DataFrame) -> DataFrame:
     return rows.withColumn("session_id", F.coalesce("_session", last, base_name(F.col("source_path"))))
 
 
-def _session_context(v: Column) -> Column:
-    header = F.when(V.string(V.at(v, "type")) == "session", V.string(V.at(v, "id")))
-    return F.coalesce(header, V.first_string(v, ALIASES["context"]))
+def _session_context(r: Column) -> Column:
+    header = F.when(V.string(r["type"]) == "session", V.string(r["id"]))
+    return F.coalesce(header, V.first_string(r, ALIASES["context"]))
 
 
 def ingest_generic(rows: DataFrame, provider: str, read_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Records and issues of parsed rows that carry their own usage."""
-    v = F.col("v")
-    own = V.first_string(v, ALIASES["session"])
+    r = F.col("r")
     flat = held(
-        held(rows, "source_path", "line_no", "v", token_source(v).alias("_source")),
-        "source_path", "line_no", normalise_tokens(F.col("_source")).alias("tokens"), imported_cost(v).alias("imported_cost"), V.first_string(v, ALIASES["model"]).alias("_model"),
-        own.alias("_session"), _session_context(v).alias("_context"), V.string(V.at(v, "provider")).alias("_provider"),
-        *[c.alias(k) for k, c in normalise_times(v, read_at if read_at is not None else F.current_timestamp()).items()],
+        rows.select("*", token_source(r).alias("_source")),
+        "source_path", "line_no", normalise_tokens(F.col("_source")).alias("tokens"), imported_cost(r, F.col("r2")).alias("imported_cost"), V.first_string(r, ALIASES["model"]).alias("_model"),
+        V.first_string(r, ALIASES["session"]).alias("_session"), _session_context(r).alias("_context"), V.string(r["provider"]).alias("_provider"), *[c.alias(k) for k, c in normalise_times(r).items()],
     )
+    flat = _with_times(flat, read_at if read_at is not None else F.current_timestamp())
     kept = fill_session(fill_model(flat)).where(has_usage(F.col("tokens"), F.col("imported_cost")))
     kept = kept.withColumn("provider", F.lit(provider))
     other = F.col("_provider").isin("claude", "codex", "pi", "grok") & (F.col("_provider") != provider)
@@ -192,25 +232,22 @@ def split_cached_input(tokens: Column) -> Column:
 def _counter(source: Column) -> Column:
     """The three counters of an object; null if it has none of them."""
     counts = {t: V.count(V.first_present_number(source, p)) for t, p in COUNTERS.items()}
-    some = F.coalesce(*counts.values()).isNotNull()
-    return F.when(V.is_object(source) & some, F.struct(*[c.alias(t) for t, c in counts.items()]))
+    return F.when(F.coalesce(*counts.values()).isNotNull(), F.struct(*[c.alias(t) for t, c in counts.items()]))
 
 
 def counter_rows(rows: DataFrame) -> DataFrame:
     """Parsed rows of a counter log reduced to what windows and records need."""
-    v = F.col("v")
-    event = F.coalesce(V.string(V.at(v, "type")) == "event_msg", F.lit(False))
-    info = V.at(v, "payload.info")
-    plain = F.when(event, V.at(v, ALIASES["usage"][0])).otherwise(V.first_object(v, ALIASES["usage"][1:]))
-    asked = F.coalesce(event & (V.string(V.at(v, "payload.type")) == "token_count") & info.isNotNull(), F.lit(False))
-    rows = held(rows, "source_path", "line_no", "v", F.when(event, V.at(v, "payload.info.total_token_usage")).alias("_t"), plain.alias("_p"), asked.alias("_asked"))
-    rows = held(rows, "source_path", "line_no", "v", "_asked", _counter(F.col("_t")).alias("_totals"), _counter(F.col("_p")).alias("_plain"))
-    own = V.first_string(v, ALIASES["context"])
-    times = normalise_times(v, F.lit(None).cast("timestamp"))
-    return held(
-        rows, "source_path", "line_no", V.first_string(v, ALIASES["model"]).alias("_model"), own.alias("_context"), own.alias("_session"),
-        "_totals", "_plain", (F.col("_asked") & F.col("_totals").isNull() & F.col("_plain").isNull()).alias("_empty"), *[c.alias(k) for k, c in times.items()],
+    r = F.col("r")
+    event = F.coalesce(V.string(r["type"]) == "event_msg", F.lit(False))
+    plain = F.when(event, V.leaf(r, ALIASES["usage"][0])).otherwise(F.coalesce(*[V.leaf(r, p) for p in ALIASES["usage"][1:]]))
+    asked = event & (V.string(r["payload"]["type"]) == "token_count") & r["payload"]["info"].isNotNull()
+    rows = held(rows, "source_path", "line_no", "r", F.when(event, V.leaf(r, _TOTALS)).alias("_t"), plain.alias("_p"), F.coalesce(asked, F.lit(False)).alias("_asked"))
+    rows = held(
+        rows, "source_path", "line_no", "_asked", _counter(F.col("_t")).alias("_totals"), _counter(F.col("_p")).alias("_plain"),
+        V.first_string(r, ALIASES["model"]).alias("_model"), V.first_string(r, ALIASES["context"]).alias("_context"), *[c.alias(k) for k, c in normalise_times(r).items()],
     )
+    empty = F.col("_asked") & F.col("_totals").isNull() & F.col("_plain").isNull()
+    return _with_times(rows.withColumns({"_session": F.col("_context"), "_empty": empty}).drop("_asked"), F.lit(None).cast("timestamp"))
 
 
 def counter_usage(rows: DataFrame) -> DataFrame:
@@ -238,15 +275,14 @@ def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Colum
 
 def ingest_turn_log(lines: DataFrame, provider: str = "grok") -> tuple[DataFrame, DataFrame]:
     """Records and issues of logs of finished turns: one record for each model of a turn."""
-    parsed, issues = parse_rows(lines)
+    parsed, issues = parse_rows(lines, places=["timestamp", "params.update.sessionUpdate", "params.update.usage.modelUsage"])
     issues = issues.where("code = 'malformed_jsonl'")
-    v = F.col("v")
-    done = (V.string(V.at(v, "params.update.sessionUpdate")) == "turn_completed") & V.is_number(V.at(v, "timestamp"))
-    usage = F.try_variant_get(v, "$.params.update.usage.modelUsage", "map<string, variant>")
-    rows = parsed.where(done).select("source_path", "line_no", F.timestamp_seconds(V.number(V.at(v, "timestamp")).cast("bigint")).alias("at"), F.explode(usage).alias("model", "u"))
-    u = F.col("u")
-    n = lambda k: V.count(V.number(V.at(u, k)))
-    rows = held(rows, "source_path", "line_no", "at", "model", n("inputTokens").alias("i"), n("outputTokens").alias("o"), n("totalTokens").alias("t"), n("cachedReadTokens").alias("c"), V.number(V.at(u, "costUsdTicks")).cast("decimal(28,0)").alias("ticks"))
+    update = F.col("r.params.update")
+    usage = F.try_variant_get(update["usage"]["modelUsage"], "$", "map<string, variant>")
+    done = parsed.where(V.string(update["sessionUpdate"]) == "turn_completed").select("source_path", "line_no", V.number(F.col("r.timestamp")).alias("at"), usage.alias("usage"))
+    rows = done.where("at IS NOT NULL").select("source_path", "line_no", F.timestamp_seconds(F.col("at").cast("bigint")).alias("at"), F.explode("usage").alias("model", "u"))
+    n = lambda k: V.number(F.try_variant_get("u", F.lit(f"$.{k}"), "variant"))
+    rows = held(rows, "source_path", "line_no", "at", "model", *[V.count(n(k)).alias(c) for k, c in (("inputTokens", "i"), ("outputTokens", "o"), ("totalTokens", "t"), ("cachedReadTokens", "c"))], n("costUsdTicks").cast("decimal(28,0)").alias("ticks"))
     # Cached reads are part of the input only where the total says so.
     inclusive = F.coalesce(F.col("t") == F.col("i") + F.col("o"), F.lit(False))
     split = F.when(inclusive & F.col("i").isNotNull(), F.greatest(F.lit(0), F.col("i") - F.coalesce("c", F.lit(0)))).otherwise(F.col("i"))
@@ -264,8 +300,7 @@ def ingest_turn_log(lines: DataFrame, provider: str = "grok") -> tuple[DataFrame
 
 def child_sessions(lines: DataFrame) -> DataFrame:
     """session_id of sessions that a parent has started and counts: of subagents/*/meta.json, the id named there or else the directory's name."""
-    v = F.try_parse_json(F.col("value"))
-    named = V.string(V.at(v, "child_session_id"))
+    named = V.string(V.parse_object(F.col("value"), ["child_session_id"])["child_session_id"])
     folder = F.regexp_extract("source_path", r"/subagents/([^/]+)/meta\.json$", 1)
     return lines.where(folder != "").select(F.coalesce(named, folder).alias("session_id")).distinct()
 

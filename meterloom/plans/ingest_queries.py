@@ -154,9 +154,11 @@ def pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store_path(spark: SparkSession) -> str:
-    """A new place in the folder that all executors share, or a temporary one on a single machine."""
+    """A new place in the folder that driver and executors share; a temporary one where all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
@@ -186,7 +188,6 @@ def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _store_path(spark)
     for k in range(2):  # two segments, one after the other
         lines.where(F.col("line_no") <= 8 if k == 0 else F.col("line_no") > 8).write.mode("append").parquet(f"{base}/lines")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = spark.readStream.schema("source_path string, line_no bigint, value string").parquet(f"{base}/lines")
     query = deltas.stream_deltas(source).writeStream.foreachBatch(deltas.upsert(f"{base}/records", "codex", "root")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

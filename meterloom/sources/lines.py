@@ -21,15 +21,19 @@ def scan_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     """source_path, line_no (from 1) and value of each line of files (of list_files()).
 
     Lines end at \\n; one \\r before it is dropped; blank lines count; a last line
-    without an end counts. Splits of a large file are read in parallel and
-    numbered by where they begin.
+    without an end counts. Splits of a large file are read in parallel; a line's
+    number is its place in its split and the lines of the splits before, so texts
+    are neither sorted nor shuffled, but the files are read twice, first to count.
     """
     paths = [r.path for r in files.where(~F.col("name").rlike("^[_.]") & (F.col("size") > 0)).select("path").toLocalIterator()]
     if paths:
         raw = spark.read.option("lineSep", "\n").text(paths)
+        # A split's rows follow each other in one partition, so their ids do.
         rows = raw.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
-        order = Window.partitionBy("source_path").orderBy("_block", "_id")
-        plain = rows.withColumn("line_no", F.row_number().over(order).cast("bigint")).select("source_path", "line_no", "value")
+        splits = rows.groupBy("source_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        before = Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        plain = rows.join(splits, ["source_path", "_block"]).select("source_path", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
     else:
         plain = spark.createDataFrame([], LINES_SCHEMA)
     return plain.unionByName(_hidden_lines(spark, files)).withColumn("value", F.regexp_replace("value", "\r$", ""))

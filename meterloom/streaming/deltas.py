@@ -13,8 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest
 from ..operators.ingest import COUNTERS
@@ -31,45 +30,39 @@ def trigger_seconds(asked: int) -> int:
     return min(max(asked, REFRESH_SECONDS[0]), REFRESH_SECONDS[1])
 
 
-class _Deltas(StatefulProcessor):
+def _handle(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Lines of one file, in order, to differences of its totals."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("file", StructType([StructField("json", StringType()), StructField("seq", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        (path,) = key
-        held = self.state.get() if self.state.exists() else None
-        now = json.loads(held[0]) if held else {"totals": None, "session": None, "model": None, "models": [], "line": 0}
-        seq, out = (held[1] if held else 0), []
-        lines = pd.concat(list(rows)).sort_values("line_no")
-        for r in lines.itertuples():
-            if r.line_no <= now["line"]:
-                continue  # seen before: a batch that is run again changes nothing
-            now["line"] = int(r.line_no)
-            now["model"], now["session"] = r.model or now["model"], r.context or now["session"]
-            if r.model and r.model not in now["models"]:
-                now["models"] = sorted([*now["models"], r.model])
-            used = None
-            if r.totals:
-                totals = json.loads(r.totals)
-                before = now["totals"] or {}
-                used = {k: max(0, v - before.get(k, 0)) for k, v in totals.items()}
-                now["totals"] = totals
-            elif r.plain:
-                used = json.loads(r.plain)
-            if used:
-                if "input" in used:
-                    used["input"] = max(0, used["input"] - used.get("cached_input", 0))
-                if any(v > 0 for v in used.values()):
-                    out.append([path, now["line"], seq, now["model"], now["session"], r.started_at, r.observed_at, *[used.get(k) for k in _FIELDS]])
-                    seq += 1
-        self.state.update((json.dumps(now), seq))
-        made = pd.DataFrame(out, columns=["source_path", "line_no", "seq", "own_model", "session_id", "started_at", "observed_at", *_FIELDS])
-        yield made.assign(models=json.dumps(now["models"])).astype({k: "Int64" for k in _FIELDS})
-
-    def close(self) -> None:
-        pass
+    (path,) = key
+    held = state.getOption
+    now = json.loads(held[0]) if held else {"totals": None, "session": None, "model": None, "models": [], "line": 0}
+    seq, out = (held[1] if held else 0), []
+    columns = ("line_no", "model", "context", "totals", "plain", "started_at", "observed_at")
+    lines = [line for part in rows for line in zip(*[part[c].tolist() for c in columns])]
+    for no, model, context, total, plain, started, observed in sorted(lines, key=lambda line: line[0]):
+        if no <= now["line"]:
+            continue  # seen before: a batch that is run again changes nothing
+        now["line"] = int(no)
+        now["model"], now["session"] = model or now["model"], context or now["session"]
+        if model and model not in now["models"]:
+            now["models"] = sorted([*now["models"], model])
+        used = None
+        if total:
+            totals, before = json.loads(total), now["totals"] or {}
+            used = {k: max(0, v - before.get(k, 0)) for k, v in totals.items()}
+            now["totals"] = totals
+        elif plain:
+            used = json.loads(plain)
+        if used:
+            if "input" in used:
+                used["input"] = max(0, used["input"] - used.get("cached_input", 0))
+            if any(v > 0 for v in used.values()):
+                out.append([path, now["line"], seq, now["model"], now["session"], started, observed, *[used.get(k) for k in _FIELDS]])
+                seq += 1
+    state.update((json.dumps(now), seq))
+    if out:
+        names = ["source_path", "line_no", "seq", "own_model", "session_id", "started_at", "observed_at", *_FIELDS]
+        made = {n: pd.array(c, dtype="Int64") if n in _FIELDS else c for n, c in zip(names, zip(*out))}
+        yield pd.DataFrame(made | {"models": json.dumps(now["models"])})
 
 
 def stream_deltas(lines: DataFrame) -> DataFrame:
@@ -77,7 +70,7 @@ def stream_deltas(lines: DataFrame) -> DataFrame:
     parsed, _ = ingest.parse_rows(ingest.skip_bulk(lines), recover=True)
     rows = ingest.counter_rows(parsed)
     flat = rows.select("source_path", "line_no", F.col("_model").alias("model"), F.col("_context").alias("context"), F.to_json("_totals").alias("totals"), F.to_json("_plain").alias("plain"), "started_at", F.coalesce("observed_at", F.current_timestamp()).alias("observed_at"))
-    return flat.groupBy("source_path").transformWithStateInPandas(_Deltas(), _OUT, "Append", "None")
+    return flat.groupBy("source_path").applyInPandasWithState(_handle, _OUT, "json string, seq bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_records(deltas: DataFrame, provider: str, root: str) -> DataFrame:

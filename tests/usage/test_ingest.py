@@ -117,7 +117,7 @@ def test_files_lines_and_documents(spark, tmp_path):
     got = {(r.source_path.rsplit("/", 1)[1], r.line_no): r.value for r in read.collect()}
     assert got == {("a.jsonl", 1): '{"x":1}', ("a.jsonl", 2): "", ("a.jsonl", 3): '{"x":2}', ("__hidden.jsonl", 1): '{"x":3}', ("__hidden.jsonl", 2): '{"x":4}'}
     rows, bad = lines.scan_json_docs(spark, found.where("name LIKE '%.json'"))
-    records, _ = ingest.ingest_generic(rows, "codex")
+    records, _ = ingest.ingest_generic(ingest.rows_of(rows), "codex")
     assert sorted(r.tokens.input for r in records.collect()) == [1, 2] and bad.count() == 1
     assert str(found.select(files.path_date(F.col("path")).alias("d")).first().d) == "2026-05-01"
     now = datetime.fromisoformat("2026-03-01T00:00:00+00:00")
