@@ -340,8 +340,22 @@ def session_events_to_records(table: DataFrame, provider: str = "grok") -> tuple
     issues = counts.unpivot("source_path", ["no_token_usage", "invalid_timestamp", "ambiguous_cache_tokens"], "code", "n").where("n > 0")
     issues = issues.select("*", F.lit("warning").alias("severity"), F.col("code").alias("message"), F.lit(provider).alias("provider"))
     kept = rows.where(~F.col("_none") & ~F.col("_bad")).select("*", F.col("ended_at").alias("observed_at"), F.col("_hit").alias("pricing_unavailable"), F.lit(provider).alias("provider"), F.col("model").alias("own_model"))
-    order = Window.partitionBy("source_path").orderBy("started_at", "_event")
-    return as_records(kept.withColumn("seq", (F.row_number().over(order) - 1).cast("bigint"))), as_issues(issues)
+    return as_records(numbered_in_slots(kept, "source_path", F.date_trunc("HOUR", "started_at"), ["started_at", "_event"])), as_issues(issues)
+
+
+def numbered_in_slots(rows: DataFrame, key: str, slot: Column, order: list[str]) -> DataFrame:
+    """seq: each row's ordinal, from 0, among those of its key; slot rises with the order.
+
+    One key may hold most rows, so rows are numbered within slots, and moved on
+    by the counts of the slots before, of which there are few.
+    """
+    dealt = rows.withColumn("_slot", slot)
+    own = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(*order))
+    before = Window.partitionBy("_key").orderBy("_other").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(F.col(key).alias("_key"), F.col("_slot").alias("_other")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_key", "_other", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = dealt.withColumn("_own", own).join(counts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_other")))
+    return found.withColumn("seq", (F.col("_own") + F.col("_before") - 1).cast("bigint")).drop("_slot", "_own", "_key", "_other", "_before")
 
 
 def source_issues(files: DataFrame, lines: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:

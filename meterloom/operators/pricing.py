@@ -207,7 +207,7 @@ def rate_sheet(rules: DataFrame) -> DataFrame:
     low = F.when((n + 1) % 1000 == 0, F.concat(F.lit("<"), ((n + 1) / 1000).cast("int"), F.lit("K"))).otherwise(F.concat(F.lit("≤"), (n / 1000).cast("int"), F.lit("K")))
     high = F.when((n + 1) % 1000 == 0, F.concat(F.lit("≥"), ((n + 1) / 1000).cast("int"), F.lit("K"))).otherwise(F.concat(F.lit(">"), (n / 1000).cast("int"), F.lit("K")))
     tiers = F.array(F.struct(F.lit("base").alias("tier"), F.when(n.isNotNull(), low).alias("context"), F.col("rates").alias("r")), F.struct(F.lit("long").alias("tier"), high.alias("context"), F.col("long_rates").alias("r")))
-    rows = rules.select("ord", "provider", "model", "currency", "effective_from", "effective_to", F.parse_url("source_url", F.lit("HOST")).alias("source_host"), F.explode(tiers).alias("t")).where("t.r IS NOT NULL")
+    rows = rules.select("ord", "provider", "model", "currency", "effective_from", "effective_to", F.try_parse_url("source_url", F.lit("HOST")).alias("source_host"), F.explode(tiers).alias("t")).where("t.r IS NOT NULL")
     rates = F.array(*[F.struct(F.lit(i).alias("category_ord"), F.lit(t).alias("category"), F.col(f"t.r.{t}").alias("rate")) for i, t in enumerate(TOKENS)])
     rows = rows.select("ord", "provider", "model", "currency", "effective_from", "effective_to", "source_host", "t.tier", "t.context", F.explode(rates).alias("c"))
     return rows.select("*", "c.category_ord", "c.category", "c.rate").drop("c").where("rate IS NOT NULL").orderBy("ord", "tier", "category_ord")

@@ -30,6 +30,14 @@ def scan_patterns(df: DataFrame, text_col: str, key_cols: Sequence[str], pattern
     return found if allow is None else found.join(allow, [*key_cols, "reason"], "left_anti")
 
 
+def all_issues(*steps: DataFrame) -> DataFrame:
+    """The issues of all steps of an ingestion in one table."""
+    out = as_issues(steps[0])
+    for more in steps[1:]:
+        out = out.unionByName(as_issues(more))
+    return out
+
+
 def coverage(actions: DataFrame, manifest: DataFrame) -> DataFrame:
     """provider, source_path, files, records and complete of each source; actions has these two, path and action."""
     counts = manifest.select("path", "records")

@@ -38,6 +38,34 @@ def usage_aggs(sessions: bool = True) -> list[Column]:
     ]
 
 
+def partial_rollup(records: DataFrame, *keys: Column) -> DataFrame:
+    """One row for each session and keys, with aggregates that can be added up: what all rollups of a summary are made from.
+
+    _model is the model as recorded, null where it is missing.
+    """
+    key = session_key()
+    rows = records.select("*", key["session"].alias("_session"), key["model"].alias("_name"), *keys)
+    by = ["provider", "_session", "_name", *rows.columns[len(records.columns) + 2 :]]
+    times = [F.min("started_at").alias("started_at"), F.max(F.coalesce("ended_at", "observed_at")).alias("ended_at"), F.max("model").alias("_model")]
+    return rows.groupBy(*by).agg(*usage_aggs(sessions=False), *times)
+
+
+def added_up(sessions: bool = True) -> list[Column]:
+    """usage_aggs() over rows of partial_rollup(): each row there is a session of its own if keys are grouped or not there."""
+    return [
+        F.sum("records").alias("records"),
+        *([F.count("*").alias("sessions")] if sessions else []),
+        *[F.sum(t).alias(t) for t in TOKENS],
+        F.sum("_costs").alias("_costs"),
+        F.min("_c0").alias("_c0"),
+        F.max("_c1").alias("_c1"),
+        F.sum("_sum").alias("_sum"),
+        F.min("_source").alias("_source"),
+        F.struct(F.min("_url.a").alias("a"), F.max("_url.b").alias("b"), F.sum("_url.n").alias("n")).alias("_url"),
+        F.max("_checked").alias("_checked"),
+    ]
+
+
 def finish_costs(df: DataFrame) -> DataFrame:
     """One cost from the aggregates, none where costs are in several currencies.
 
@@ -52,32 +80,43 @@ def finish_costs(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.when(one, v) for k, v in columns.items()}).drop("_costs", "_c0", "_c1", "_sum", "_source", "_url", "_checked")
 
 
+def _named(model: Column) -> Column:
+    return F.when(F.trim(model) != "", model)
+
+
 def totals(records: DataFrame) -> DataFrame:
     """One row, of zeros and nulls for no record."""
-    model = F.when(F.trim("model") != "", F.col("model"))
-    return finish_costs(records.agg(*usage_aggs(), F.count_distinct(model).alias("active_models")))
+    return finish_costs(records.agg(*usage_aggs(), F.count_distinct(_named(F.col("model"))).alias("active_models")))
 
 
-def provider_split(records: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
-    """All providers in their order, those without records with zeros."""
-    found = finish_costs(records.groupBy("provider").agg(*usage_aggs()))
-    listed = records.sparkSession.createDataFrame([(p, i) for i, p in enumerate(providers)], "provider string, _n int")
+def all_providers(found: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
+    """A split by provider with a row for each of the providers, in their order, zeros where there was none."""
+    listed = found.sparkSession.createDataFrame([(p, i) for i, p in enumerate(providers)], "provider string, _n int")
     out = listed.join(found, "provider", "left").orderBy("_n").drop("_n")
     return out.withColumns({"records": F.coalesce("records", F.lit(0)), "sessions": F.coalesce("sessions", F.lit(0))})
 
 
+def provider_split(records: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
+    """All providers in their order, those without records with zeros."""
+    return all_providers(finish_costs(records.groupBy("provider").agg(*usage_aggs())), providers)
+
+
 def model_split(records: DataFrame) -> DataFrame:
     """By provider and model, most records first, then by name."""
     by = records.withColumn("model", F.coalesce("model", F.lit(UNKNOWN)))
     return finish_costs(by.groupBy("provider", "model").agg(*usage_aggs())).orderBy(F.desc("records"), "provider", "model")
 
 
+def buckets(span: TimeRange, granularity: str | None = None) -> list[Column]:
+    """bucket and bucket_start of event_ts: local hours or days."""
+    kind, ts = granularity or span.granularity, F.col("event_ts")
+    label = hour_bucket(ts, span.zone) if kind == "hour" else day_bucket(ts, span.zone)
+    return [label.alias("bucket"), bucket_start(ts, span.zone, kind).alias("bucket_start")]
+
+
 def trend(records: DataFrame, span: TimeRange, granularity: str | None = None) -> DataFrame:
     """By local hour or day, buckets with records only, in order of time."""
-    kind = granularity or span.granularity
-    ts = F.col("event_ts")
-    label = hour_bucket(ts, span.zone) if kind == "hour" else day_bucket(ts, span.zone)
-    rows = records.withColumns({"bucket": label, "bucket_start": bucket_start(ts, span.zone, kind)})
+    rows = records.select("*", *buckets(span, granularity))
     return finish_costs(rows.groupBy("bucket", "bucket_start").agg(*usage_aggs())).orderBy("bucket_start")
 
 

@@ -71,8 +71,14 @@ def ingest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.select("severity", "code", "source_path", "line_no")
 
 
+def generic_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues of the generic lines, with the provider that those of records carry."""
+    _, issues = _generic(spark, sf_dir)
+    return issues.select("severity", "code", "source_path", "line_no", "provider")
+
+
 def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A counter log for each order: running totals with a reset, a context row, bulk lines and null heartbeats."""
+    """A counter log for each order: running totals with a reset, a context row, bulk lines, null heartbeats, and lines that begin with a stray backslash."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     totals = _counters(li)
     no = F.col("line") * 4
@@ -80,7 +86,7 @@ def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = _text('{"type":"turn_context","payload":{"model":"', F.get(F.array(*map(F.lit, demo.MODELS)), (F.col("l_orderkey") % 6).cast("int")), '"}}')
     bulk = F.lit('{"type":"response_item","payload":{"text":"long"}}')
     beat = F.lit('{"type":"event_msg","payload":{"type":"token_count","info":null}}')
-    lines = F.array(F.struct((no - 3).alias("line_no"), F.when((F.col("line") == 2) & (F.col("l_orderkey") % 2 == 0), context).otherwise(bulk).alias("value")), F.struct((no - 1).alias("line_no"), beat.alias("value")), F.struct(no.alias("line_no"), event.alias("value")))
+    lines = F.array(F.struct((no - 3).alias("line_no"), F.when((F.col("line") == 2) & (F.col("l_orderkey") % 2 == 0), context).otherwise(bulk).alias("value")), F.struct((no - 1).alias("line_no"), beat.alias("value")), F.struct(no.alias("line_no"), F.when(F.col("line") % 3 == 1, _text("\\", event)).otherwise(event).alias("value")))
     return totals.select(_text("2024/01/01/o", F.col("l_orderkey"), ".jsonl").alias("source_path"), F.explode(lines).alias("l")).select("source_path", F.col("l.line_no").cast("bigint").alias("line_no"), F.col("l.value").alias("value"))
 
 
@@ -182,20 +188,25 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("provider", "file_id", "records", F.size("days").alias("days"), F.unix_millis("min_ts").alias("min_ms"), F.unix_millis("max_ts").alias("max_ms"), F.array_join("models", ",").alias("models"))
 
 
-def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counter log as a stream of line segments, stored batch by batch, then read back."""
+def streamed_deltas(spark: SparkSession, sf_dir: str, base: str, after: Callable[[DataFrame], None] | None = None) -> None:
+    """The counter log as a stream of line segments, stored under base batch by batch."""
     lines = counter_lines(spark, sf_dir).where(F.col("source_path").isNotNull())
-    base = _store_path(spark)
     for k in range(2):  # two segments, one after the other
         lines.where(F.col("line_no") <= 8 if k == 0 else F.col("line_no") > 8).write.mode("append").parquet(f"{base}/lines")
     source = spark.readStream.schema("source_path string, line_no bigint, value string").parquet(f"{base}/lines")
-    query = deltas.stream_deltas(source).writeStream.foreachBatch(deltas.upsert(f"{base}/records", "codex", "root")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query = deltas.stream_deltas(source).writeStream.foreachBatch(deltas.upsert(f"{base}/records", "codex", "root", after)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter log as a stream, read back from where it was stored."""
+    base = _store_path(spark)
+    streamed_deltas(spark, sf_dir, base)
     return store.read_records(spark, f"{base}/records").select("file_id", "line_no", "model", *[F.col(f"tokens.{t}").alias(t) for t in _DELTA_COLUMNS])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (ingest_generic, ingest_issues, cumulative_delta, counter_log, turn_log, session_events, session_event_issues, child_sessions, pattern_scan, store_range, manifest, stream_deltas)}
+    return {f.__name__: f for f in (ingest_generic, ingest_issues, generic_issues, cumulative_delta, counter_log, turn_log, session_events, session_event_issues, child_sessions, pattern_scan, store_range, manifest, stream_deltas)}
 
 
 # SQL -----------------------------------------------------------------------
@@ -268,6 +279,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'warning', 'record_not_object', source_path, i FROM rows WHERE odd = 9
             UNION ALL SELECT 'warning', 'provider_mismatch', source_path, line_no FROM kept WHERE kind = 0 AND line_no % 3 = 0
             UNION ALL SELECT 'warning', 'missing_tokens', source_path, line_no FROM kept WHERE coalesce(input, output, cache_read, cache_write_5m) IS NULL""",
+        "generic_issues": f"""WITH {_ROWS} SELECT 'error' AS severity, 'malformed_jsonl' AS code, source_path, i AS line_no, CAST(NULL AS VARCHAR) AS provider FROM rows WHERE odd = 4
+            UNION ALL SELECT 'warning', 'record_not_object', source_path, i, NULL FROM rows WHERE odd = 9
+            UNION ALL SELECT 'warning', 'provider_mismatch', source_path, line_no, 'claude' FROM kept WHERE kind = 0 AND line_no % 3 = 0
+            UNION ALL SELECT 'warning', 'missing_tokens', source_path, line_no, 'claude' FROM kept WHERE coalesce(input, output, cache_read, cache_write_5m) IS NULL""",
         "cumulative_delta": f"WITH {_COUNTERS} SELECT * FROM deltas",
         "counter_log": f"""WITH {_COUNTERS} SELECT source_path, line_no, row_number() OVER (PARTITION BY source_path ORDER BY line_no) - 1 AS seq, model,
             CASE WHEN {has_context} AND line >= 2 THEN model END AS own_model, 'o' || l_orderkey AS session_id, input, cached_input, output

@@ -1,4 +1,4 @@
-"""All rollups of one range from one priced frame."""
+"""All rollups of one range, from one pass over its records."""
 
 from __future__ import annotations
 
@@ -6,16 +6,19 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.timez import TimeRange
-from ..operators import filters, pricing, rollup
+from ..operators import filters, pricing, quality, rollup
 
 
 @dataclass
 class Summary:
-    """Lazy frames that share one persisted frame of priced records; call close() when done."""
+    """Lazy frames over two persisted ones, by session and bucket and by session; call close() when done. priced is not persisted."""
 
     priced: DataFrame
+    by_bucket: DataFrame
+    by_session: DataFrame
     totals: DataFrame
     provider_split: DataFrame
     model_split: DataFrame
@@ -24,16 +27,27 @@ class Summary:
     issues: DataFrame | None
 
     def close(self) -> None:
-        self.priced.unpersist()
+        self.by_session.unpersist()
+        self.by_bucket.unpersist()
 
 
-def summarise(records: DataFrame, span: TimeRange, rules: DataFrame, provider: str = "all", issues: DataFrame | None = None) -> Summary:
-    """Filters first, prices once, and rolls up five ways. Only the columns that rollups need are kept."""
+def summarise(records: DataFrame, span: TimeRange, rules: DataFrame, provider: str = "all", issues: DataFrame | list[DataFrame] | None = None) -> Summary:
+    """Filters first, prices once, adds up once by session and bucket, and makes five rollups of that.
+
+    Rows of by_session are sessions, so no rollup counts distinct ones. issues
+    can be those of several steps.
+    """
     kept = filters.for_provider(filters.in_range(records, span), provider)
     priced = pricing.price(kept, pricing.rate_book(rules), pricing.catalog_is_valid(rules))
-    needed = ["provider", "model", "session_id", "source_path", "started_at", "ended_at", "observed_at", "event_ts", "tokens", "cost", "cost_reason"]
-    priced = priced.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
-    return Summary(
-        priced, rollup.totals(priced), rollup.provider_split(priced), rollup.model_split(priced), rollup.trend(priced, span), rollup.sessions(priced),
-        None if issues is None else filters.issues_for_provider(issues, provider),
-    )
+    by_bucket = rollup.partial_rollup(priced, *rollup.buckets(span)).persist(StorageLevel.MEMORY_AND_DISK)
+    times = [F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.max("_model").alias("_model")]
+    by_session = by_bucket.groupBy("provider", "_session", "_name").agg(*rollup.added_up(sessions=False), *times).persist(StorageLevel.MEMORY_AND_DISK)
+    trend = rollup.finish_costs(by_bucket.groupBy("bucket", "bucket_start").agg(*rollup.added_up())).orderBy("bucket_start")
+    named = by_session.withColumnRenamed("_session", "session").withColumnRenamed("_name", "model")
+    models = rollup.finish_costs(named.groupBy("provider", "model").agg(*rollup.added_up())).orderBy(F.desc("records"), "provider", "model")
+    providers = rollup.all_providers(rollup.finish_costs(named.groupBy("provider").agg(*rollup.added_up())))
+    active = F.count_distinct(F.when(F.trim("_model") != "", F.col("_model"))).alias("active_models")
+    totals = rollup.finish_costs(by_session.agg(*rollup.added_up(), active)).withColumn("records", F.coalesce("records", F.lit(0)))
+    sessions = rollup.finish_costs(named.drop("_model")).orderBy(F.desc_nulls_last("started_at"), "provider", "session", "model")
+    found = issues if issues is None or isinstance(issues, DataFrame) else quality.all_issues(*issues)
+    return Summary(priced, by_bucket, by_session, totals, providers, models, trend, sessions, None if found is None else filters.issues_for_provider(found, provider))

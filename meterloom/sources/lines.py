@@ -24,10 +24,11 @@ def scan_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     without an end counts. Splits of a large file are read in parallel; a line's
     number is its place in its split and the lines of the splits before, so texts
     are neither sorted nor shuffled, but the files are read twice, first to count.
+    A file that can't be read gives no line.
     """
     paths = [r.path for r in files.where(~F.col("name").rlike("^[_.]") & (F.col("size") > 0)).select("path").toLocalIterator()]
     if paths:
-        raw = spark.read.option("lineSep", "\n").text(paths)
+        raw = spark.read.options(lineSep="\n", ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths)
         # A split's rows follow each other in one partition, so their ids do.
         rows = raw.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
         splits = rows.groupBy("source_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
@@ -70,7 +71,7 @@ def scan_json_docs(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, Da
     if not paths:
         empty = spark.createDataFrame([], "source_path string, line_no bigint, value string")
         return empty.select("source_path", "line_no", F.try_parse_json("value").alias("v")), empty.select("source_path")
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
+    texts = spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
     docs = texts.withColumn("doc", F.try_parse_json("value"))
     kind = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
     doc = F.col("doc")

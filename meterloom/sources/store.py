@@ -8,6 +8,7 @@ what it overwrites.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 from datetime import date
@@ -21,6 +22,8 @@ from ..schema import RECORD_TYPES
 STORED_TYPES = RECORD_TYPES | {"file_id": "string", "event_ts": "timestamp", "utc_date": "date"}
 _ORDER = [c for c in STORED_TYPES if c not in ("provider", "utc_date")] + ["provider", "utc_date"]
 STORED_SCHEMA = ", ".join(f"{c} {STORED_TYPES[c]}" for c in _ORDER)
+#: Files a day and provider are written to, at most, by one call.
+_SPREAD = 4
 MANIFEST_SCHEMA = "provider string, root_id string, file_id string, path string, fingerprint string, parser_version string, records bigint, days array<date>, min_ts timestamp, max_ts timestamp, models array<string>"
 
 
@@ -36,9 +39,26 @@ def pseudonymise(records: DataFrame, root: str) -> DataFrame:
     return out.drop("raw").withColumn("source_path", F.lit(None).cast("string"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def root_id(provider: str, root: str) -> str:
+    """The id that pseudonymise() gives to a root."""
+    return hashlib.sha256("\0".join((provider, root)).encode()).hexdigest()[:24]
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path for it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path in the form in which list_files() gives those below it."""
+    fs, p = file_system(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -48,19 +68,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _put(spark: SparkSession, rows: DataFrame, old: DataFrame, path: str) -> None:
-    """Overwrites the partitions of rows, and empties those of old that rows don't touch."""
+    """Overwrites the partitions of rows, and empties those of old that rows don't touch.
+
+    All rows are in the staging path before anything is overwritten, dealt by
+    day and file, so that a day is a few files and a large day not one task's.
+    A writer that ends in between leaves the staging path behind, and the same
+    call made again ends in the same table.
+    """
     staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     keys = ["provider", "utc_date"]
-    rows.select(*_ORDER).write.partitionBy(*keys).parquet(staged)
+    rows.select(*_ORDER).repartition(*keys, F.pmod(F.xxhash64("file_id"), F.lit(_SPREAD))).write.partitionBy(*keys).parquet(staged)
     new = read_records(spark, staged)
     # Partitions are days of a provider; their names come to the driver as they do in any partitioned write.
-    gone = old.select(*keys).distinct().join(new.select(*keys).distinct(), keys, "left_anti").collect()
-    new.select(*_ORDER).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged_days = new.select(*keys).distinct()
+    gone = old.select(*keys).distinct().join(staged_days, keys, "left_anti").collect()
+    new.select(*_ORDER).repartition(*keys, F.pmod(F.xxhash64("file_id"), F.lit(_SPREAD))).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     for r in gone:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/provider={r.provider}/utc_date={r.utc_date}"), True)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+        fs, day = file_system(spark, f"{path}/provider={r.provider}/utc_date={r.utc_date}")
+        fs.delete(day, True)
+    fs, used = file_system(spark, staged)
+    fs.delete(used, True)
 
 
 def write_records(records: DataFrame, path: str, touched: DataFrame) -> None:

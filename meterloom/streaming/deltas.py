@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest
 from ..operators.ingest import COUNTERS
-from ..schema import as_records
+from ..schema import TOKENS, as_records
 from ..sources import store
 
 _FIELDS = list(COUNTERS)
@@ -110,3 +110,23 @@ def upsert(path: str, provider: str, root: str, after: Callable[[DataFrame], Non
         batch.unpersist()
 
     return run
+
+
+def daily_rollup(spark: SparkSession, records_path: str, path: str) -> Callable[[DataFrame], None]:
+    """An after function for upsert(): keeps records and tokens by provider, day and model, and adds up only the days that a batch has touched.
+
+    Days are partitions of the table under path and are overwritten whole, so a
+    batch that is run again changes nothing, and late rows touch an older day.
+    """
+
+    def run(touched: DataFrame) -> None:
+        keys = ["provider", "utc_date"]
+        # As many rows as a batch has days; with them Spark reads those partitions alone.
+        days = touched.select(*keys).distinct().collect()
+        wanted = F.col("utc_date").isin([r.utc_date for r in days]) & F.col("provider").isin([r.provider for r in days])
+        rows = store.read_records(spark, records_path).where(wanted)
+        sums = [F.sum(f"tokens.{t}").alias(t) for t in TOKENS]
+        added = rows.groupBy(*keys, "model").agg(F.count("*").alias("records"), *sums).select("model", "records", *TOKENS, *keys)
+        added.repartition(*keys).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    return run
