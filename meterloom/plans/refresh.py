@@ -105,7 +105,7 @@ def refresh(spark: SparkSession, roots: Iterable[Root], path: str, span: TimeRan
     roots = list(roots)
     records_path, manifest_path, scratch = f"{path}/records", f"{path}/manifest", f"{path}/scratch-{uuid.uuid4().hex}"
     manifest = store.manifest_current(read_manifest(spark, manifest_path), version)
-    actions, issues = [], []
+    merged, actions, issues = manifest, [], []
     for root in roots:
         here = f"{scratch}/{len(actions)}"
         listed = files.list_files(spark, root.path, root.name_filter or files.NAME_RULES[root.provider])
@@ -120,19 +120,20 @@ def refresh(spark: SparkSession, roots: Iterable[Root], path: str, span: TimeRan
         gone = store.removed_files(mine, listed)
         done = wanted.join(failed.select("path"), "path", "left_anti")
         store.write_records(records, records_path, done.select("file_id").union(gone.select("file_id")))
-        new = store.build_manifest(records, done.select("provider", "root_id", "file_id", "path", "fingerprint"), version)
-        write_manifest(store.merge_manifest(store.manifest_current(read_manifest(spark, manifest_path), version), new, gone), manifest_path)
+        new = _kept(store.build_manifest(records, done.select("provider", "root_id", "file_id", "path", "fingerprint"), version), f"{here}-entries")
+        merged = store.merge_manifest(merged, new, gone)
         unread = failed.select(F.col("path").alias("source_path"), F.lit("error").alias("severity"), F.lit("file_unreadable").alias("code"), F.lit("file could not be read; its last rows stay").alias("message"), F.lit(root.provider).alias("provider"))
         there = spark.createDataFrame([(store.qualified(spark, root.path), store.exists(spark, root.path))], "root string, exists boolean")
         any_line = lambda df: df.select(F.col("path").alias("source_path"), F.lit("x").alias("value"))
         bare = ingest.source_issues(listed, any_line(listed), any_line(listed), there)
-        empty = ingest.source_issues(done, read.withColumn("value", F.lit("x")), _sources(spark, manifest_path), there.where("root IS NULL")).unionByName(bare).withColumn("provider", F.lit(root.provider))
+        empty = ingest.source_issues(done, read.withColumn("value", F.lit("x")), _with_records(new), there.where("root IS NULL")).unionByName(bare).withColumn("provider", F.lit(root.provider))
         issues += [found, unread, empty]
         actions.append(todo.withColumns({"provider": F.lit(root.provider), "source_path": F.lit(root.path)}))
     every = actions[0]
     for more in actions[1:]:
         every = every.unionByName(more)
-    manifest = store.manifest_current(read_manifest(spark, manifest_path), version)
+    write_manifest(merged, manifest_path)
+    manifest = read_manifest(spark, manifest_path)
     active = [store.root_id(r.provider, r.path) for r in roots]
     return Refreshed(store.read_range(spark, records_path, span, active), manifest, every, quality.coverage(every, manifest), quality.load_status(every, force), quality.all_issues(*issues))
 
@@ -143,6 +144,5 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _sources(spark: SparkSession, manifest_path: str) -> DataFrame:
-    """source_path of the files that have records."""
-    return read_manifest(spark, manifest_path).where("records > 0").select(F.col("path").alias("source_path"))
+def _with_records(entries: DataFrame) -> DataFrame:
+    return entries.where("records > 0").select(F.col("path").alias("source_path"))
