@@ -30,12 +30,16 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("x")).where(F.col("x").isNotNull() & ~bad)
-    return rows.select("vec_id", F.transform("x", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+    # floor() of a larger number would be the largest 64-bit integer, a wrong component.
+    whole = lambda x: F.when(F.abs(x) < 2.0**62, F.floor(x)).otherwise(F.raise_error(F.lit("a scaled component is beyond 2**62")).cast("bigint"))
+    return rows.select("vec_id", F.transform("x", lambda x: whole(x * F.lit(float(scale)))).alias("v"))
 
 
 def scores_by_term(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """For each strip of queries and tile of candidates: their first rows, and the scores (candidates, queries)."""
     wide = max(1, queries.shape[1]) * float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0))
+    if wide >= 2**62:
+        raise OverflowError("scores may not fit a 64-bit integer")
     kind = np.int32 if wide < 2**31 else np.int64
     for c in range(0, len(candidates), _TILE):
         tile = candidates[c : c + _TILE].astype(kind)
@@ -64,7 +68,10 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.asarray(x, np.int64) for x in column.to_pylist()]
+    """The rows of a column of lists, without a Python object for each number."""
+    whole = column.combine_chunks()
+    values, ends = whole.flatten().to_numpy(), whole.offsets.to_numpy() - whole.offsets[0].as_py()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def search(vectors: DataFrame, k: int, is_query: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -76,8 +83,8 @@ def search(vectors: DataFrame, k: int, is_query: F.Column, id_col: str = "vec_id
     a query id that several rows share is answered once for each of its vectors,
     equal vectors once. Vectors of unlike lengths are compared over the shorter.
     Null vectors and those with null or non-finite components take no part;
-    other columns are not read; an empty table gives no row. Scores must fit a
-    64-bit integer.
+    other columns are not read; an empty table gives no row. Components and scores
+    must fit a 64-bit integer; if they might not, the job says so and ends.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
     own = rows.where(F.coalesce(is_query, F.lit(False))).distinct()
