@@ -77,6 +77,14 @@ def _tokens(text: Column, base: Column) -> Column:
     return F.filter(tokens, lambda t: (t["context"] != "") & (t["end"] > t["start"]))
 
 
+def _most(kind: Column) -> Column:
+    """The kind with the most places (column n) of a group, the first by name of several; null without one."""
+    named = sorted(KINDS)
+    sums = [F.sum(F.when(kind == k, F.col("n")).otherwise(F.lit(0))) for k in named]
+    best = F.greatest(*sums)
+    return F.coalesce(*[F.when((s == best) & (s > 0), F.lit(k)) for k, s in zip(named, sums)])
+
+
 def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     """id, h, kind, start and end of instances that trusted patterns add. docs has text, found has tokens."""
     edges = written(found.select("id", "h", F.explode("tokens").alias("t")).select("id", "h", "t.*"), "pii-edges")
@@ -87,25 +95,27 @@ def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     # Each task adds up its own places before they are dealt by key, so a common context is a row for each task, and the join sees it once.
     places = pairs.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("places"))
     totals = written(asked.join(places, "key").select("context", "places"), "pii-places")
-    known = edges.join(totals, "context")
-    scores = known.groupBy("instance").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("score"), F.max(F.col("seed").isNotNull()).alias("is_seed"), F.mode("seed", deterministic=True).alias("own"))
+    located = edges.join(totals, "context")
+    # Places of one instance in one context are alike, so scoring sees them once, with their number.
+    known = written(located.groupBy("context", "instance", "seed").agg(F.count("*").alias("n"), F.first("places").alias("places")), "pii-graph")
+    scores = known.groupBy("instance").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("score"), F.max(F.col("seed").isNotNull()).alias("is_seed"), _most(F.col("seed")).alias("own"))
     for _ in range(ROUNDS):
         believed = known.join(scores, "instance")
         strong = F.when(F.col("score") >= TRUST, F.col("instance"))
         # A context without a seed has the kind of its believed instances.
-        kind = F.coalesce(F.mode("seed", deterministic=True), F.mode(F.when(F.col("score") >= TRUST, F.col("own")), deterministic=True))
-        patterns = believed.groupBy("context").agg(F.sum("score").alias("mass"), F.first("places").alias("places"), F.count_distinct(strong).alias("support"), kind.alias("kind"))
+        kind = F.coalesce(_most(F.col("seed")), _most(F.when(F.col("score") >= TRUST, F.col("own"))))
+        patterns = believed.groupBy("context").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.first("places").alias("places"), F.count_distinct(strong).alias("support"), kind.alias("kind"))
         patterns = written(patterns.where(F.col("support") >= SUPPORT).select("context", "kind", F.least(F.col("mass") / F.col("places"), F.lit(1.0)).alias("confidence")).where(F.col("confidence") >= TRUST), "pii-trusted")
-        # Belief of an instance: one less the chance that all of its patterns are wrong.
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))
+        # Belief of an instance: one less the chance that all of its patterns are wrong, place by place.
+        doubt = F.exp(F.sum(F.col("n") * F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))
         scores = believed.join(patterns, "context", "left").groupBy("instance").agg(F.max("is_seed").alias("is_seed"), F.max("own").alias("own"), F.max(F.struct("confidence", "kind"))["kind"].alias("kind"), doubt.alias("doubt"))
         scores = scores.select("instance", "is_seed", F.when(F.col("is_seed"), F.col("own")).otherwise(F.col("kind")).alias("own"), F.when(F.col("is_seed"), F.lit(1.0)).otherwise(1 - F.col("doubt")).alias("score"))
-    added = known.where(~F.col("covered")).join(scores.where(F.col("score") >= TRUST), "instance").join(patterns.where("kind IS NOT NULL"), "context")
+    added = located.where(~F.col("covered")).join(scores.where(F.col("score") >= TRUST), "instance").join(patterns.where("kind IS NOT NULL"), "context")
     return added.select("id", "h", "kind", "start", "end").distinct()
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base_sha256, and spans and added as text.
+    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans and added as text, and n_spans, the number of all spans.
 
     One row for each row of docs. A null text counts as empty and has no span.
     Rows with null or equal ids stand for themselves; equal rows get equal
@@ -126,4 +136,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     more = F.coalesce("more", F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>"))
-    return out.select(F.col("id").alias(id_col), *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", more))).alias("spans"), joined(more).alias("added"))
+    spans = F.concat("base", more)
+    return out.select(F.col("id").alias(id_col), *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(spans)).alias("spans"), joined(more).alias("added"), F.size(spans).cast("bigint").alias("n_spans"))

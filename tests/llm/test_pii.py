@@ -1,5 +1,8 @@
 import hashlib
 import re
+from collections import Counter
+
+import regex
 
 from meterloom.llm import pii, queries
 
@@ -87,3 +90,70 @@ def test_any_two_words_are_a_context(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.added for r in pii.find_pii(docs).where("added <> ''").collect()}
     assert got == {4: "email:16:27", 9: "email:122:133", 14: "email:6:17"}
+
+
+def brute_added(texts):
+    """What contexts add to each text: tokens, pattern graph and rounds by their definition, over all texts."""
+    space = r"[ \t\n\x0b\f\r]"
+    edges, places = [], Counter()
+    for i, text in texts.items():
+        words = [w for w in re.split(f"{space}+", text.lower()) if w]
+        for a, b in zip(words, words[1:]):
+            places[f"{a} {b}"] += 1
+        if len(words) > 1:
+            places[f"{words[-2]} {words[-1]}"] -= 1  # nothing follows the last pair
+        base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in brute(text)[1].split(",") if x)]
+        at = [k for k, w in enumerate(words) if re.search("[0-9@]", w)]
+        for n, m in enumerate(re.finditer(r"(?<![^ \t\n\x0b\f\r])[^ \t\n\x0b\f\r]*?[0-9@][^ \t\n\x0b\f\r]*", text)):
+            if at[n] < 2:
+                continue
+            start = m.start() + len(regex.match(r"[^\p{L}\p{N}+]*", m[0])[0])
+            end = m.end() - len(regex.search(r"[^\p{L}\p{N}]*$", m[0])[0])
+            if end > start:
+                seed = next((k for a, k, _ in base if m.start() <= a < m.end()), None)
+                covered = any(a < end_ and b > start_ for a, _, b in base for start_, end_ in [(m.start(), m.end())])
+                edges.append((i, start, end, m[0].lower(), f"{words[at[n] - 2]} {words[at[n] - 1]}", seed, covered))
+    holders = {}
+    for e in edges:
+        holders.setdefault(e[4], set()).add(e[3])
+    edges = [e for e in edges if len(holders[e[4]]) >= pii.SUPPORT and places[e[4]] > 0]
+    most = lambda kinds: min(((-n, k) for k, n in Counter(k for k in kinds if k).items()), default=(0, None))[1]
+    by = {}
+    for e in edges:
+        by.setdefault(e[3], []).append(e)
+    own = {x: most(e[5] for e in es) for x, es in by.items()}
+    seeds = {x for x, es in by.items() if any(e[5] for e in es)}
+    score = {x: float(x in seeds) for x in by}
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for c in {e[4] for e in edges}:
+            es = [e for e in edges if e[4] == c]
+            strong = {e[3] for e in es if score[e[3]] >= pii.TRUST}
+            confidence = min(sum(score[e[3]] for e in es) / places[c], 1.0)
+            if len(strong) >= pii.SUPPORT and confidence >= pii.TRUST:
+                patterns[c] = (confidence, most(e[5] for e in es) or most(own[e[3]] for e in es if e[3] in strong))
+        for x, es in by.items():
+            if x not in seeds:
+                doubt = 1.0
+                for e in es:
+                    doubt *= max(1 - patterns.get(e[4], (0.0, None))[0], 1e-9)
+                score[x] = 1 - doubt
+                own[x] = max(((p[0], p[1] or "") for e in es if (p := patterns.get(e[4]))), default=(0, None))[1] or None
+    added = {}
+    for i, start, end, x, c, _, covered in edges:
+        if not covered and score[x] >= pii.TRUST and c in patterns and patterns[c][1]:
+            added.setdefault(i, set()).add((start, pii.KINDS.index(patterns[c][1]), f"{patterns[c][1]}:{start}:{end}"))
+    return {i: ",".join(x[2] for x in sorted(found)) for i, found in added.items()}
+
+
+def test_added_spans_equal_brute_force(spark, sf):
+    """The whole table, with forms beside it that contexts can learn, and lines that say the same again and again."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    made = [f"please write to n{i}@h{i}.example.com today" for i in range(6)] + [f"please write to desk{i}@intranet today" for i in range(3)]
+    made += [f"or contact the desk{i}@intranet instead" for i in range(3)] + ["or contact the front9@lobby soon"] + ["call us on +1 (743) 555-3824"] * 3
+    made += [f"call us on +1743555{i}824 or line7" for i in range(4)] + ["call us on line7 then"] * 5 + ["the 4 of 9 and 8"] * 4
+    texts |= {10**6 + i: t for i, t in enumerate(made)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.added for r in pii.find_pii(docs).where("added <> ''").collect()}
+    want = brute_added(texts)
+    assert got == want and {10**6 + 6, 10**6 + 12} <= set(want)
