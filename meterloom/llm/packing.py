@@ -3,13 +3,14 @@
 Documents stand in ascending id order as one stream of ids. A sequence is a
 window of the stream, so the task is to choose the cuts. A cut is dear inside a
 sentence, cheaper at a sentence's end and free at a document's end; padding
-costs one for each id. With P[j] the place of boundary j, the least cost of a
-stream cut at j is
+costs one for each id. A sequence whose length is a power of two is not padded.
+With P[j] the place of boundary j, the least cost of a stream cut at j is
 
     f[j] = min over i with P[j] - P[i] <= W of f[i] + (W - (P[j] - P[i])) + penalty[j]
 
 and g = f + P makes that g[j] = min g[i] + W + penalty[j], a minimum over a
-sliding window, which a queue of increasing g answers in constant time.
+sliding window, which a queue of increasing g answers in constant time. Powers
+of two below W add at most log2 W further places i, where they are boundaries.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ordered
+from .shared import ordered, releasing
 from .word_encoder import word_encoder
 
 #: What a cut costs, in ids of padding.
@@ -45,6 +46,11 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[
     Neighbouring places must be at most `window` apart.
     """
     p, pen = places.tolist(), penalties.tolist()
+    exact: dict[int, list[tuple[int, int]]] = {}
+    for size in (1 << b for b in range(max(window - 1, 0).bit_length()) if 1 << b < window):
+        at = np.searchsorted(places, places - size)
+        for j in np.flatnonzero(places[at] == places - size).tolist():
+            exact.setdefault(j, []).append((int(at[j]), size))
     g, back = [0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])
     for j in range(1, len(p)):
@@ -52,7 +58,11 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[
         while p[queue[0]] < least:
             queue.popleft()
         back[j] = queue[0]
-        cost = g[j] = g[queue[0]] + window + pen[j]
+        cost = g[queue[0]] + window + pen[j]
+        for i, size in exact.get(j, ()):
+            if g[i] + size + pen[j] < cost:
+                back[j], cost = i, g[i] + size + pen[j]
+        g[j] = cost
         while queue and g[queue[-1]] >= cost:
             queue.pop()
         queue.append(j)
@@ -164,7 +174,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, id_col:
     of two. Null texts count as empty and are one end id. Null ids come first,
     repeated rows are documents of their own, other columns are not read. An
     empty table gives no row. Each partition of the ordered documents ends with
-    one sequence that may be short.
+    one sequence that may be short. Where sequences begin, and their ids, hang on
+    how Spark has dealt the documents to partitions; every cut is valid.
     """
     rows = ordered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    return rows.mapInArrow(lambda batches: _packed(batches, tokenizer, end_id, window), _TYPE)
+    return rows.mapInArrow(releasing(lambda batches: _packed(batches, tokenizer, end_id, window)), _TYPE)

@@ -31,6 +31,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Longer chunks are not kept, so that the caches' size is bounded by their number of entries.
+_LONG = 64
+
+
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -90,8 +94,12 @@ class WordEncoder:
         known = self._chunks
         if len(known) > self._bound:
             known.clear()
-        self._learn([x for x in chunks if x not in known])
+        new = [x for x in chunks if x not in known]
+        self._learn(new)
         found = list(map(known.__getitem__, chunks))
+        for x in new:
+            if len(x) > _LONG:
+                del known[x]
         ids = np.frombuffer(b"".join(found), self.dtype)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         starts = np.cumsum(lengths) - lengths
@@ -112,7 +120,9 @@ class WordEncoder:
             if len(self._odd_chunks) > self._bound >> 2:
                 self._odd_chunks.clear()
             ids = self.library.encode(chunk.decode(), add_special_tokens=False).ids
-            found = self._odd_chunks[chunk] = np.asarray(ids, self.dtype).tobytes()
+            found = np.asarray(ids, self.dtype).tobytes()
+            if len(chunk) <= _LONG:
+                self._odd_chunks[chunk] = found
         return found
 
     def _learn(self, chunks: list[str]) -> None:

@@ -111,17 +111,20 @@ def test_cuts_are_optimal():
         pen = np.concatenate(([0], rng.integers(0, 12, n)))
         window = int(rng.integers(8, 30))
 
+        def padding(size):
+            return 0 if size & (size - 1) == 0 else window - size
+
         def cost(cuts):
             at, total = 0, 0
             for c in cuts:
                 size = places[c] - places[at]
                 assert 0 < size <= window
-                total, at = total + window - size + pen[c], c
+                total, at = total + padding(size) + pen[c], c
             return total
 
         best = [0] + [None] * n
         for j in range(1, n + 1):
-            best[j] = min(best[i] + window - (places[j] - places[i]) + pen[j] for i in range(j) if places[j] - places[i] <= window)
+            best[j] = min(best[i] + padding(places[j] - places[i]) + pen[j] for i in range(j) if places[j] - places[i] <= window)
         assert cost(packing.choose_cuts(places, pen, window)) == best[n]
 
 
@@ -139,3 +142,25 @@ def test_stretches_do_not_lose_ids(spark, monkeypatch):
         pieces = sorted((x for x in got if x[0] == i), key=lambda x: x[1])
         assert [x[1] for x in pieces] == [0, *np.cumsum([x[2] for x in pieces])[:-1]] and sum(x[2] for x in pieces) == len(ids)
         assert all(x[3] == zlib.crc32(ids[x[1] : x[1] + x[2]].astype("<u4").tobytes()) and x[4] == len(ids) for x in pieces)
+
+
+def test_very_long_texts_through_the_queries(spark, monkeypatch):
+    """Texts longer than a segment, a stretch and many windows, beside short and null ones."""
+    monkeypatch.setattr(token_files, "SEGMENT", 500)
+    long = "one two three. four five six seven " * 4000
+    rows = [(1, "short"), (2, long), (3, None), (4, long + "end"), (4, "again"), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, start int")
+    t = Tokenizer.from_file(PATH)
+    ids = {(i, text): [*t.encode(text or "", add_special_tokens=False).ids, 1] for i, text in rows}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    path = new_path(spark, "files")
+    token_files.write_token_files(docs, path, PATH)
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_digests(spark, path).collect()]
+    assert sorted(x[2:] for x in got) == sorted((len(x), crc(x)) for x in ids.values())
+    assert sorted(x[1] for x in got) == sorted(np.cumsum([0, *[x[2] for x in sorted(got, key=lambda x: x[1])][:-1]]).tolist())
+    pieces = packing.pack_documents(docs, PATH, window=256).collect()
+    assert sum(p.length for p in pieces) == sum(map(len, ids.values())) and max(p.length for p in pieces) <= 256
+    whole = {i: x for (i, _), x in ids.items() if i == 2}[2]
+    for p in pieces:
+        if p.doc_id == 2:
+            assert p.ids_crc32 == crc(whole[p.start : p.start + p.length]) and p.doc_tokens == len(whole)
