@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 BLOCK_BYTES = 64
 _LARGEST = 4095  # 16-pixel units in a row or column; JPEG has 16 bits for a side
 
@@ -495,19 +497,35 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def decode_media(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns, and _height, _width and _rgb (height x width x 3 bytes) of each progressive JPEG; null for null."""
+    """All columns, and _height, _width and _rgb (height x width x 3 bytes) of each progressive JPEG, and _problem.
+
+    Null media have null pictures. What is no progressive JPEG, or a broken one,
+    has a null picture and says why in _problem. Names that are taken get more
+    underscores. Repeated rows and rows with equal ids stand for themselves; an
+    empty table gives no row.
+    """
     at = media.columns.index(media_col)
+    added = [fresh(media, x) for x in ("_height", "_width", "_rgb", "_problem")]
+
+    def picture(data: bytes | None) -> tuple[int | None, int | None, bytes | None, str | None]:
+        if data is None:
+            return None, None, None, None
+        try:
+            rgb = Decoder(data).rgb()
+        except Exception as e:  # noqa: BLE001 (bytes of any kind may come)
+            return None, None, None, f"{type(e).__name__}: {e}"
+        return rgb.shape[0], rgb.shape[1], rgb.tobytes(), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 32):
                 rows = batch.slice(i, 32)
-                pictures = [None if x is None else Decoder(x).rgb() for x in rows.column(at).to_pylist()]
-                more = [pa.array([p if p is None else p.shape[0] for p in pictures], pa.int32()), pa.array([p if p is None else p.shape[1] for p in pictures], pa.int32()), pa.array([p if p is None else p.tobytes() for p in pictures], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "_height", "_width", "_rgb"])
+                found = zip(*map(picture, rows.column(at).to_pylist()))
+                more = [pa.array(list(c), k) for c, k in zip(found, (pa.int32(), pa.int32(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, *added])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{types}, _height int, _width int, _rgb binary")
+    return media.mapInArrow(run, f"{types}, `{added[0]}` int, `{added[1]}` int, `{added[2]}` binary, `{added[3]}` string")
 
 
 def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -78,6 +78,19 @@ def test_op3_digests(spark, sf):
         assert features.setdefault(r.text, (g.media_sha256, g.media_bytes, g.feature)) == (g.media_sha256, g.media_bytes, g.feature)
 
 
+def test_features_and_files_by_another_decoder(spark, sf):
+    """Java's decoder reads each stored file: same size, mean colours alike; the file is what its text gives."""
+    found = queries.op3_media(spark, sf).orderBy("doc_id").limit(25).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in found:
+        data = bytes_to_jpeg(media.payload_of(texts[r.doc_id])[0])
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (r.media_bytes, r.media_sha256)
+        pixels = pixels_of(spark, java_image(spark, data))[:, :, :3]
+        size, means, _ = r.feature.split(":")
+        assert size == f"{pixels.shape[1]}x{pixels.shape[0]}"
+        assert np.abs(np.array(list(map(int, means.split(",")))) / 1000 - pixels.mean(axis=(0, 1))).max() < 6, r.doc_id
+
+
 def test_media_edge_cases(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "x" * 64, 3), (2, "é" * 40000, 4)], "doc_id bigint, text string, media int")
     stored = media.encode_texts(docs)
@@ -88,3 +101,9 @@ def test_media_edge_cases(spark):
     assert media.media_digests(media.encode_texts(docs.limit(0))).count() == 0
     with pytest.raises(ValueError):
         Decoder(b"no picture")
+    whole = stored.first().media
+    odd = spark.createDataFrame([(None, 7), (bytearray(b"no picture"), 8), (bytearray(whole[:60]), 9), (bytearray(whole), 10)], "media binary, _rgb int")
+    got = media.decode_media(odd).collect()
+    assert odd.columns == got[0].__fields__[:2] and [r._rgb for r in got] == [7, 8, 9, 10]
+    assert [r['__rgb'] is None for r in got] == [True, True, True, False] and [r._problem is None for r in got] == [True, False, False, True]
+    assert media.decode_media(odd.limit(0)).count() == 0
