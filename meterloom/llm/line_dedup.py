@@ -3,8 +3,10 @@
 Every distinct line key is hashed to 128 bits. The hashes are dealt to shards;
 each shard has a minimal perfect hash over its hashes, which numbers them
 0..n-1, and arrays of fingerprints and document counts in that order. Documents
-probe the arrays of the shards that their lines fall into; lines themselves are
-never joined.
+are dealt to parts. A part probes the arrays of the shards that its lines fall
+into, each of its distinct lines once, so a line that most documents hold costs
+one probe a part. The answers meet the part's documents, whose lines are cut;
+lines themselves are never joined.
 """
 
 from __future__ import annotations
@@ -19,12 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, fresh, written
+from .shared import ASCII_SPACE, fresh, releasing, written
 
-#: Distinct lines in a shard, about.
-SHARD_KEYS = 100_000
-#: A line that holds more than one in so many of all probes is looked up beside the shards; there are at most so many of these.
-HEAVY = 4096
+#: Distinct lines in a shard, and lines in a part of the documents, about.
+SHARD_KEYS, PART_LINES = 100_000, 50_000
 _GAMMA = 2
 _KEY = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -45,6 +45,10 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class RepeatedKey(ValueError):
+    """Keys given to PerfectHash.build() are not distinct."""
+
+
 class PerfectHash:
     """Numbers distinct keys without gaps, in about three bits a key.
 
@@ -68,7 +72,7 @@ class PerfectHash:
             parts.append(hit == 1)
             rest = rest[hit[place] > 1]
             if len(levels) > 64:
-                raise ValueError("keys are not distinct")
+                raise RepeatedKey
         return cls(levels, np.concatenate(parts) if parts else np.zeros(0, bool))
 
     def number(self, keys: np.ndarray) -> np.ndarray:
@@ -87,31 +91,37 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.view(np.uint64) ^ _mix(b.view(np.uint64), 1)
+def _folded(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    return a.view(np.uint64) ^ _mix(b.view(np.uint64), seed)
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
     a, b, n = (table.column(k).combine_chunks().to_numpy() for k in ("a", "b", "n"))
-    keys = _folded(a, b)
-    mph = PerfectHash.build(keys)
+    for seed in range(1, 1000):
+        # Two hashes of 128 bits may fold to one of 64; then they are folded in another way.
+        keys = _folded(a, b, seed)
+        try:
+            mph = PerfectHash.build(keys)
+            break
+        except RepeatedKey:
+            continue
     order = mph.number(keys)
     prints, counts = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
     prints[order] = b.view(np.uint64) & np.uint64(0xFFFFFFFF)
     counts[order] = n
     counts = _smallest(counts)
-    row = {"shard": table.column("shard")[0].as_py(), "levels": mph.levels, "bits": np.packbits(mph.bits).tobytes(), "prints": prints.tobytes(), "counts": counts.tobytes(), "width": counts.dtype.itemsize}
+    row = {"shard": table.column("shard")[0].as_py(), "seed": seed, "levels": mph.levels, "bits": np.packbits(mph.bits).tobytes(), "prints": prints.tobytes(), "counts": counts.tobytes(), "width": counts.dtype.itemsize}
     return pa.Table.from_pylist([row], _INDEX)
 
 
-_INDEX = pa.schema([("shard", pa.int32()), ("levels", pa.list_(pa.int64())), ("bits", pa.binary()), ("prints", pa.binary()), ("counts", pa.binary()), ("width", pa.int32())])
-_INDEX_TYPE = "shard int, levels array<bigint>, bits binary, prints binary, counts binary, width int"
+_INDEX = pa.schema([("shard", pa.int32()), ("seed", pa.int32()), ("levels", pa.list_(pa.int64())), ("bits", pa.binary()), ("prints", pa.binary()), ("counts", pa.binary()), ("width", pa.int32())])
+_INDEX_TYPE = "shard int, seed int, levels array<bigint>, bits binary, prints binary, counts binary, width int"
 
 
 def probe(index: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The document count of each line hash; 0 where the index does not hold it."""
     mph = PerfectHash(index["levels"], np.unpackbits(np.frombuffer(index["bits"], np.uint8), count=sum(index["levels"])).astype(bool))
-    at = mph.number(_folded(a, b))
+    at = mph.number(_folded(a, b, index["seed"]))
     prints, counts = np.frombuffer(index["prints"], np.uint32), np.frombuffer(index["counts"], f"<u{index['width']}")
     known = at >= 0
     known[known] = prints[at[known]] == (b[known].view(np.uint64) & np.uint64(0xFFFFFFFF))
@@ -126,6 +136,7 @@ def _doc_keys(text: str | None) -> set[bytes]:
     return {_digest(k) for k in keys}
 
 
+@releasing
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Line hashes with their document counts in the batch."""
     for batch in batches:
@@ -137,55 +148,49 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(list(found.values()), pa.int64())], ["a", "b", "n"])
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, set[bytes]]:
-    """(doc_id, hashes) of the frequent lines of each document, and the heaviest frequent lines, which the first leaves out."""
+def line_index(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """One row for each shard with its perfect hash, fingerprints and document counts; the number of shards, and of all documents' distinct lines added up."""
     texts = docs.select(F.col(text_col).alias("text"))
     counts = written(texts.mapInArrow(_counted, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")), "line-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    least = max(min_docs, math.ceil((total or 0) / HEAVY))
-    # Counts add up to total, so no more than HEAVY lines can reach this.
-    heavy_rows = counts.where(F.col("n") >= least).select("a", "b").collect()
-    heavy = {np.array([r.a, r.b], "<i8").tobytes() for r in heavy_rows}
     shards = max(16, math.ceil((distinct or 0) / SHARD_KEYS))
-    light = counts.where(F.col("n") < least).withColumn("shard", F.pmod("a", F.lit(shards)).cast("int"))
-    index = light.groupBy("shard").applyInArrow(_build_shard, _INDEX_TYPE)
+    dealt = counts.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(_build_shard, _INDEX_TYPE), shards, total or 0
+
 
+def frequent_lines(docs: DataFrame, min_docs: int, index: DataFrame, shards: int, part_col: str, text_col: str = "text") -> DataFrame:
+    """(part, hashes): the hashes, 16 bytes each, of the frequent lines that the documents of a part hold; several rows a part."""
+
+    @releasing
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, lengths = batch.column(0), [], []
-            for text in batch.column(1).to_pylist():
-                own = _doc_keys(text) - heavy
-                hashes += own
-                lengths.append(len(own))
-            pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            rows = np.repeat(np.arange(len(lengths)), lengths)
-            shard = np.mod(pair[:, 0], shards).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shard)], ["doc_id", "a", "b", "shard"])
-
-    def found(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return left.slice(0, 0).select(["doc_id", "a", "b"])
-        a, b = (left.column(k).combine_chunks().to_numpy() for k in ("a", "b"))
-        counts = probe(right.to_pylist()[0], a, b)
-        return left.filter(pa.array(counts >= min_docs)).select(["doc_id", "a", "b"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(probes, f"doc_id {id_type}, a bigint, b bigint, shard int")
-    hits = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(found, f"doc_id {id_type}, a bigint, b bigint")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("hashes"))
-    return by_doc, heavy
-
-
-def _cut(text: str | None, hits: list | None, heavy: set[bytes]) -> tuple[str, int, int]:
+            found: dict[int, set[bytes]] = {}
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.setdefault(part, set()).update(_doc_keys(text))
+            pair = np.frombuffer(b"".join(h for own in found.values() for h in own), "<i8").reshape(-1, 2)
+            part = np.repeat(np.array(list(found), np.int32), [len(own) for own in found.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.mod(pair[:, 0], shards).astype(np.int32))], ["part", "a", "b", "shard"])
+
+    def answered(asked: pa.Table, index: pa.Table) -> pa.Table:
+        schema = pa.schema([("part", pa.int32()), ("hashes", pa.binary())])
+        if not asked.num_rows or not index.num_rows:
+            return pa.Table.from_pylist([], schema)
+        part, a, b = (asked.column(k).combine_chunks().to_numpy() for k in ("part", "a", "b"))
+        hit = probe(index.to_pylist()[0], a, b) >= min_docs
+        order = np.argsort(part[hit], kind="stable")
+        part, pair = part[hit][order], np.stack([a[hit], b[hit]], axis=1)[order]
+        parts, first = np.unique(part, return_index=True)
+        return pa.Table.from_arrays([pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in np.split(pair, first[1:])] if len(parts) else [], pa.binary())], schema=schema)
+
+    asked = docs.select(F.col(part_col).alias("part"), F.col(text_col).alias("text")).mapInArrow(probes, "part int, a bigint, b bigint, shard int").distinct()
+    return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(answered, "part int, hashes binary")
+
+
+def _cut(text: str | None, frequent: set[bytes]) -> tuple[str, int, int]:
     """The text without its frequent lines, its lines, and how many of them went."""
-    own = {np.array([x["a"], x["b"]], "<i8").tobytes() for x in hits or []}
     lines = (text or "").encode().split(b"\n")
-    kept = []
-    for line in lines:
-        key = line_key(line)
-        h = _digest(key) if key else b""
-        if not (h and (h in heavy or h in own)):
-            kept.append(line)
+    keys = [line_key(x) for x in lines]
+    kept = [x for x, k in zip(lines, keys) if not k or _digest(k) not in frequent]
     return b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)
 
 
@@ -199,23 +204,40 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_
     text; null texts stay null. Columns _n_lines and _n_dropped are added, and
     with digest the text is replaced by _kept_sha256, lowercase hex of what
     is kept. An empty table gives an empty one.
+
+    Documents are dealt to parts by id and text. In each part the answers are
+    sorted before the documents, so a part of any size streams through its task.
     """
-    by_doc, heavy = frequent_lines(docs, min_docs, id_col, text_col)
-    hit_id, hashes_col = fresh(docs, "_hit_id"), fresh(docs, "_hashes")
-    hits = by_doc.select(F.col("doc_id").alias(hit_id), F.col("hashes").alias(hashes_col))
-    rows = docs.join(hits, F.col(id_col).eqNullSafe(F.col(hit_id)), "left").drop(hit_id)
-    text_at = docs.columns.index(text_col)
+    index, shards, total = line_index(docs, text_col)
+    part, hashes = fresh(docs, "_part"), fresh(docs, "_hashes")
+    parts = max(16, math.ceil(total / PART_LINES))
+    dealt = docs.withColumn(part, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int"))
+    answers = frequent_lines(dealt, min_docs, index, shards, part, text_col).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema], F.col("part").alias(part), F.col("hashes").alias(hashes))
+    rows = dealt.withColumn(hashes, F.lit(None).cast("binary")).unionByName(answers)
+    rows = rows.repartition(parts, part).sortWithinPartitions(F.col(part), F.col(hashes).isNull())
+    text_at, part_at = docs.columns.index(text_col), len(docs.columns)
     kept_at = [i for i in range(len(docs.columns)) if not (digest and i == text_at)]
     more = [fresh(docs, x) for x in ["_n_lines", "_n_dropped", *["_kept_sha256"] * digest]]
     names = [docs.columns[i] for i in kept_at] + more
     types = [docs.schema[i].dataType.simpleString() for i in kept_at] + ["bigint", "bigint", *["string"] * digest]
     out_type = ", ".join(f"`{n}` {t}" for n, t in zip(names, types))
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, frequent = None, set()
         for batch in batches:
-            texts, hashes = batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            done = [_cut(t, h, heavy) for t, h in zip(texts, hashes)]
-            columns = [pa.array([None if t is None else d[0] for t, d in zip(texts, done)], pa.string()) if i == text_at else batch.column(i) for i in kept_at]
+            done, document = [], []
+            for p, answer, text in zip(batch.column(part_at).to_pylist(), batch.column(part_at + 1).to_pylist(), batch.column(text_at).to_pylist()):
+                if p != current:
+                    current, frequent = p, set()
+                document.append(answer is None)
+                if answer is None:
+                    done.append(_cut(text, frequent))
+                else:
+                    frequent.update(answer[i : i + 16] for i in range(0, len(answer), 16))
+            rows = batch.filter(pa.array(document, pa.bool_()))
+            texts = rows.column(text_at).is_valid().to_pylist()
+            columns = [pa.array([d[0] if t else None for t, d in zip(texts, done)], pa.string()) if i == text_at else rows.column(i) for i in kept_at]
             columns += [pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())]
             if digest:
                 columns.append(pa.array([hashlib.sha256(d[0].encode()).hexdigest() for d in done], pa.string()))
