@@ -12,9 +12,11 @@ these fall into the same of m classes by hash, and the pairs of frequent tokens
 within a class are signatures of both. Such combinations are rarer than their
 tokens, and their number stays in proportion to the prefix.
 
-Documents with equal sets have one digest and are one node. All signatures that
-share their smallest node make one group, whose sets are compared exactly, in
-blocks of bounded size if it is large; each block gives a forest of links.
+Documents with equal sets have one digest of 128 bits and are one node. All
+signatures that share their smallest node make one group, whose sets are compared
+exactly, in blocks of bounded size if it is large; each block gives a forest of
+links, and the number of links of each of its nodes. Two nodes may meet in
+several groups; the one with the smallest leader counts their link.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import fresh, written
+from .shared import discard, fresh, releasing, written
 from .shingles import mixed, shingle_sets, short_set, word_hashes
 
 #: Buckets of word counts; rows they are shipped in.
@@ -56,6 +58,7 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_scores(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """16 log2 of each word bucket's count over all documents, and the count of all words."""
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_WORDS, np.int64)
         for rows in _steps(batches):
@@ -96,56 +99,75 @@ def _seen_bit(tokens: np.ndarray) -> np.ndarray:
     return (mixed(tokens, 31) % np.uint64(_SEEN)).astype(np.int64)
 
 
+def _set_bits(packed: np.ndarray, bits: np.ndarray) -> None:
+    """Sets bits, given in ascending order, of a packed bitmap."""
+    if len(bits):
+        at, first = np.unique(bits >> 3, return_index=True)
+        packed[at] |= np.bitwise_or.reduceat(np.uint8(128) >> (bits & 7).astype(np.uint8), first)
+
+
+def _get_bits(packed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return packed[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8) & 1 > 0
+
+
+def _shipped(held: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The parts of a pair of packed bitmaps in which a bit is set."""
+    size = _SEEN_CHUNK // 8
+    for i in range(0, len(held), size):
+        if held[i : i + size].any():
+            data = zlib.compress(np.concatenate([held[i : i + size], twice[i : i + size]]).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i // size], pa.int32()), pa.array([data])], ["chunk", "data"])
+
+
+def _collected(parts: DataFrame, which: int) -> np.ndarray:
+    """The union of what tasks _shipped(), of which there are at most as many chunks as the bitmap has."""
+    out, size = np.zeros(_SEEN // 8, np.uint8), _SEEN_CHUNK // 8
+    for r in _added(parts, _add_seen).collect():
+        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.data), np.uint8)[which * size : (which + 1) * size]
+    return out
+
+
 def prefix_map(docs: DataFrame, text_col: str, n: int, scores: np.ndarray, num: int, den: int) -> np.ndarray:
     """Packed bits: those of shingles that the prefixes of two or more different sets hold, and of some others."""
 
+    @releasing
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(_SEEN, np.uint8)
-        seen: set[int] = set()
+        held, twice = np.zeros(_SEEN // 8, np.uint8), np.zeros(_SEEN // 8, np.uint8)
+        seen: set[tuple[int, int]] = set()
         for rows in _steps(batches):
+            found = []
             for tokens, own in _sets_with_scores(rows.column(0).to_pylist(), n, scores):
                 d = digest_of(tokens)
                 if len(tokens) and d not in seen:
                     seen.add(d)
                     size = len(tokens)
                     first = np.argpartition(own, spare)[: spare + 1] if (spare := size - -(-num * size // den)) + 1 < size else slice(None)
-                    bits = np.unique(_seen_bit(tokens[first]))
-                    count[bits] = np.minimum(count[bits] + 1, 2)
-        for i in range(0, _SEEN, _SEEN_CHUNK):
-            c = count[i : i + _SEEN_CHUNK]
-            if c.any():
-                data = zlib.compress(np.concatenate([np.packbits(c > 0), np.packbits(c > 1)]).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([i // _SEEN_CHUNK], pa.int32()), pa.array([data])], ["chunk", "data"])
-
-    out = np.zeros(_SEEN // 8, np.uint8)
-    size = _SEEN_CHUNK // 8
-    for r in _added(docs.select(F.col(text_col)).mapInArrow(mark, "chunk int, data binary"), _add_seen).collect():
-        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.data), np.uint8)[size:]
-    return out
+                    found.append(np.unique(_seen_bit(tokens[first])))
+            if found:
+                bits, times = np.unique(np.concatenate(found), return_counts=True)
+                _set_bits(twice, bits[(times > 1) | _get_bits(held, bits)])
+                _set_bits(held, bits)
+        yield from _shipped(held, twice)
+
+    return _collected(docs.select(F.col(text_col)).mapInArrow(mark, "chunk int, data binary"), 1)
 
 
 def _asked_map(digests: DataFrame) -> np.ndarray:
     """Packed bits that hold all these digests and some others; of fixed size, so that only most other sets stay where they are."""
 
+    @releasing
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(_SEEN, bool)
+        held = np.zeros(_SEEN // 8, np.uint8)
         for rows in batches:
-            held[_seen_bit(rows.column(0).to_numpy().view(np.uint64))] = True
-        for i in range(0, _SEEN, _SEEN_CHUNK):
-            if held[i : i + _SEEN_CHUNK].any():
-                bits = np.packbits(held[i : i + _SEEN_CHUNK])
-                yield pa.RecordBatch.from_arrays([pa.array([i // _SEEN_CHUNK], pa.int32()), pa.array([zlib.compress(np.concatenate([bits, bits]).tobytes(), 1)])], ["chunk", "data"])
+            _set_bits(held, np.unique(_seen_bit(rows.column(0).to_numpy().view(np.uint64))))
+        yield from _shipped(held, held)
 
-    out, size = np.zeros(_SEEN // 8, np.uint8), _SEEN_CHUNK // 8
-    for r in _added(digests.mapInArrow(mark, "chunk int, data binary"), _add_seen).collect():
-        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.data), np.uint8)[:size]
-    return out
+    return _collected(digests.mapInArrow(mark, "chunk int, data binary"), 0)
 
 
 def _late(tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Whether the map shows each token."""
-    bit = _seen_bit(tokens)
-    return seen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 > 0
+    return _get_bits(seen, _seen_bit(tokens))
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -173,12 +195,16 @@ def _sets_with_scores(texts: list[str | None], n: int, scores: np.ndarray) -> li
     return out
 
 
-def digest_of(tokens: np.ndarray) -> int:
-    """One number for a set, as a signed 64-bit integer; of two sets, equal numbers mean equal sets."""
+def digest_of(tokens: np.ndarray) -> tuple[int, int]:
+    """Two numbers for a set, as signed 64-bit integers; of two sets, equal numbers mean equal sets."""
     if not len(tokens):
-        return 0
-    h = np.bitwise_xor.reduce(mixed(tokens, 7)) ^ np.uint64(mixed(np.array([tokens.sum(dtype=np.uint64)]), 9)[0])
-    return int(mixed(np.array([h ^ np.uint64(len(tokens))]), 11).view(np.int64)[0])
+        return 0, 0
+    out = []
+    for seed in (7, 13):
+        h = mixed(tokens, seed)
+        h = np.bitwise_xor.reduce(h) ^ mixed(np.array([h.sum(dtype=np.uint64)]), seed + 2) ^ np.uint64(len(tokens))
+        out.append(int(mixed(h, seed + 4).view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def _classes(size: int, num: int, den: int) -> int:
@@ -211,10 +237,12 @@ def signatures(tokens: np.ndarray, scores: np.ndarray, frequent_from: float, num
     return np.unique(np.concatenate(found))
 
 
-def links_within(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A forest with the components of the similar pairs; side 0 is compared with itself, or with side 1 if there is one.
+def links_within(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, copies: np.ndarray | None = None, groups: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest with the components of the similar pairs, and how many copies each set is linked with; side 0 is compared with itself, or with side 1 if there is one.
 
-    Term at a time: each set adds one, for each of its tokens, to all sets that hold it.
+    Term at a time: each set adds one, for each of its tokens, to all sets that
+    hold it. groups holds numbers of other groups of each set; the links of two
+    sets that share one of these are not counted.
     """
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -223,6 +251,16 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -
     posting, counts = owner[by], np.bincount(token, minlength=len(tokens))
     starts = np.cumsum(counts) - counts
     parent = list(range(len(sets)))
+    copies = np.ones(len(sets), np.int64) if copies is None else copies
+    linked = np.zeros(len(sets), np.int64)
+    # Sets of the same other group; groups that one set alone is in say nothing here.
+    holders: dict[int, np.ndarray] = {}
+    if groups:
+        number, holder = np.concatenate(groups), np.repeat(np.arange(len(sets)), [len(g) for g in groups])
+        names, of = np.unique(number, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        parts = np.split(holder[order], np.cumsum(np.bincount(of, minlength=len(names)))[:-1])
+        holders = {g: x for g, x in zip(names.tolist(), parts) if len(x) > 1}
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -241,24 +279,31 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -
         shared = np.bincount(posting[at], minlength=len(sets))
         near = den * shared >= num * (sizes[i] + sizes - shared)
         near &= (side == 1) if cross else (np.arange(len(sets)) > i)
-        for j in np.flatnonzero(near & (shared > 0)).tolist():
+        near &= shared > 0
+        for j in np.flatnonzero(near).tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((i, j))
-    return out
+        met = [holders[g] for g in groups[i].tolist() if g in holders] if holders and near.any() else []
+        if met:
+            near[np.concatenate(met)] = False
+        linked[i] += copies[near].sum()
+        linked[near] += copies[i]
+    return out, linked
 
 
 def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and set_id of each row.
+    """id, n_shingles, component_id, n_links and set_id of each row.
 
     Words are runs of anything but ASCII white space, with A-Z in lower case; a
     text's set holds its shingles of n words, or all its words as one if they
     are fewer. Rows link if den * intersection >= num * union; component_id is
-    the smallest id reachable by links. Null texts and texts without words have
-    an empty set, which links with nothing. Every row takes part, rows with
-    equal or null ids too; null ids are never a component's name if it has
-    another. set_id is equal for rows with equal sets. Other columns are not
+    the smallest id reachable by links, n_links the number of other rows that
+    the row links with. Null texts and texts without words have an empty set,
+    which links with nothing. Every row takes part, rows with equal or null ids
+    too; null ids are never a component's name if it has another. set_id is
+    equal for rows with equal sets, null for empty ones. Other columns are not
     read; an empty table gives no row.
     """
     texts = docs.select(F.col(text_col).alias("text"))
@@ -267,77 +312,93 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     # Expected count of a shingle, total * product of its words' shares, on the scale of the scores.
     frequent_from = 16 * (np.log2(FREQUENT) + (n - 1) * np.log2(max(total, 1)))
 
+    @releasing
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _steps(batches):
-            sets = shingle_sets(rows.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.int64())], ["id", "n", "d"])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        """Size and digest of each row's set, and the signatures of the first of equal sets in the task."""
+        seen: set[tuple[int, int]] = set()
         for rows in _steps(batches):
             out = []
-            for tokens, own in _sets_with_scores(rows.column(0).to_pylist(), n, scores):
-                d = digest_of(tokens)
+            for tokens, own in _sets_with_scores(rows.column(1).to_pylist(), n, scores):
+                d, sigs = digest_of(tokens), None
                 if len(tokens) and d not in seen:
                     seen.add(d)
-                    out.append((d, len(tokens), signatures(tokens, own + _LATE * _late(tokens, seen_map.value), frequent_from, num, den).view(np.int64)))
+                    sigs = signatures(tokens, own + _LATE * _late(tokens, seen_map.value), frequent_from, num, den).view(np.int64)
+                out.append((len(tokens), *d, sigs))
             if out:
-                ds, ns, sigs = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["d", "n", "sigs"])
+                ns, ds, es, sigs = zip(*out)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(x, pa.int64()) for x in (ns, ds, es)], pa.array(sigs, pa.list_(pa.int64()))], ["id", "n", "d", "e", "sigs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    described = written(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(describe, f"id {kind}, n bigint, d bigint"), "sets")
-    signed = written(texts.mapInArrow(sign, "d bigint, n bigint, sigs array<bigint>"), "signatures")
-    postings = signed.select(F.explode("sigs").alias("sig"), "d", "n")
-    shared = postings.groupBy("sig").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("sig")
-    # Where sorted sizes jump by more than similar sets can differ, no pair crosses.
-    by_size = Window.partitionBy("sig").orderBy("n", "d")
+    described = written(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(describe, f"id {kind}, n bigint, d bigint, e bigint, sigs array<bigint>"), "sets")
+    # Different sets are numbered; the written numbers stay as they are.
+    nodes = written(described.where("n > 0").groupBy("d", "e").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    postings = described.where("sigs IS NOT NULL").join(nodes.select("d", "e", "node"), ["d", "e"]).select(F.explode("sigs").alias("sig"), "node", "n")
+    # A node that several tasks have signed may count twice here; its leader is then itself, and goes below.
+    shared = postings.groupBy("sig").count().where("count > 1").select("sig")
+    held = written(postings.join(shared, "sig"), "postings")
+    # Where sorted sizes jump by more than similar sets can differ, no pair crosses. The windows see each size of a signature once.
+    sized = held.groupBy("sig", "n").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    by_size = Window.partitionBy("sig").orderBy("n")
     jump = F.coalesce((den * F.lag("n").over(by_size) < num * F.col("n")).cast("int"), F.lit(0))
-    runs = postings.join(shared, "sig").withColumn("jump", jump).withColumn("run", F.sum("jump").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy("sig", "run")
-    led = runs.withColumns({"leader": F.min("d").over(run), "last": F.max("d").over(run)}).where("leader <> last")
-    members = written(led.select("leader", "d", "n").distinct(), "groups")
+    runs = sized.withColumn("jump", jump).withColumn("run", F.sum("jump").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    led = runs.withColumns({"leader": F.min("lo").over(run), "last": F.max("hi").over(run)}).where("leader <> last").select("sig", "n", "leader")
+    members = written(held.join(led, ["sig", "n"]).select("leader", "node", "n").distinct(), "groups")
     sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     parts = sizes.select("leader", F.greatest(F.least(F.ceil(F.col("m") / _BLOCK), F.lit(_PARTS)), F.ceil(F.col("t") / _TOKENS)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = members.join(parts, "leader").withColumn("i", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("d", "leader", F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b"), (F.col("i") > F.col("k")).cast("int").alias("side"))
+    dealt = dealt.select("node", "leader", F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b"), (F.col("i") > F.col("k")).cast("tinyint").alias("side"))
 
+    @releasing
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for rows in _steps(batches):
             out = []
             for s in shingle_sets(rows.column(0).to_pylist(), n):
                 d = digest_of(s)
-                if len(s) and d not in seen and _late(np.array([d]).view(np.uint64), asked.value)[0]:
+                if len(s) and d not in seen and _late(np.array([d[0]]).view(np.uint64), asked.value)[0]:
                     seen.add(d)
                     # Six bytes tell the tokens of two documents apart.
-                    out.append((d, s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                    out.append((*d, s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out])], ["d", "tokens"])
+                ds, es, tokens = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(es, pa.int64()), pa.array(tokens, pa.binary())], ["d", "e", "tokens"])
 
-    needed = written(members.select("d").distinct(), "members")
-    asked = docs.sparkSession.sparkContext.broadcast(_asked_map(needed))
-    sets = texts.mapInArrow(tokens_of, "d bigint, tokens binary").join(needed, "d", "left_semi").groupBy("d").agg(F.first("tokens").alias("tokens"))
+    # A node's groups are no more than its signatures.
+    needed = written(members.groupBy("node").agg(F.collect_set("leader").alias("groups")).join(nodes, "node").select("d", "e", "node", "copies", "groups"), "members")
+    asked = docs.sparkSession.sparkContext.broadcast(_asked_map(needed.select("d")))
+    # Tokens are dealt by digest once, for both joins and for keeping one of each set.
+    sets = texts.mapInArrow(tokens_of, "d bigint, e bigint, tokens binary").join(needed.select("d", "e"), ["d", "e"], "left_semi").groupBy("d", "e").agg(F.first("tokens").alias("tokens"))
+    asking = dealt.join(needed, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        d = table.column("d").to_pylist()
-        found = []
+        node, found = table.column("node").to_pylist(), []
         for x in table.column("tokens").to_pylist():
             wide = np.zeros((len(x) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
             found.append(wide.view(np.uint64).reshape(-1))
-        pairs = links_within(found, table.column("side").combine_chunks().to_numpy(), num, den)
-        return pa.table({"a": pa.array([d[i] for i, _ in pairs], pa.int64()), "b": pa.array([d[j] for _, j in pairs], pa.int64())})
-
-    links = dealt.join(sets, "d").groupBy("leader", "a", "b").applyInArrow(compare, "a bigint, b bigint")
-    roots = connected_components(links)
-    nodes = described.where("n > 0").groupBy("d").agg(F.min("id").alias("id")).join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select("d", "id", F.coalesce("root", "d").alias("root"))
-    names = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = written(nodes.join(names, "root").select("d", "component_id"), "classes")
-    out = described.join(named, "d", "left")
+        leader = table.column("leader")[0].as_py()
+        groups = [own[own < leader] for own in (np.array(x, np.int64) for x in table.column("groups").to_pylist())]
+        side, copies = (table.column(k).combine_chunks().to_numpy() for k in ("side", "copies"))
+        pairs, linked = links_within(found, side, num, den, copies, groups)
+        rows = [(node[i], node[j], 0) for i, j in pairs] + [(x, None, n) for x, n in zip(node, linked.tolist()) if n]
+        return pa.table([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], ["a", "b", "n"])
+
+    links = written(asking.join(sets, ["d", "e"]).drop("d", "e").groupBy("leader", "a", "b").applyInArrow(compare, "a bigint, b bigint, n bigint"), "similar")
+    discard(held, members, needed)
+    seen_map.destroy()
+    asked.destroy()
+    roots = connected_components(links.where("b IS NOT NULL").select("a", "b"))
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = rooted.join(names, "root").join(counts, "node", "left")
+    named = written(named.select("d", "e", "node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    discard(links, nodes)
+    out = described.drop("sigs").join(named, ["d", "e"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("d").alias("set_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("node").alias("set_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,8 +13,8 @@ def words_of(text):
 
 
 def brute(texts, n, num, den=100):
-    """(set size, smallest id of the component) by comparing all sets that share a shingle."""
-    sets, parent = {}, {}
+    """(set size, smallest id of the component, links) by comparing all sets that share a shingle."""
+    sets, parent, links = {}, {}, Counter()
     for i, t in texts.items():
         w = words_of(t)
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
@@ -32,14 +32,15 @@ def brute(texts, n, num, den=100):
     for i, s in sets.items():
         for j, o in Counter(j for t in s for j in index[t] if j != i).items():
             if den * o >= num * (len(s) + len(sets[j]) - o):
+                links[i] += 1
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    return {i: (len(sets[i]), root(i)) for i in texts}
+    return {i: (len(sets[i]), root(i), links[i]) for i in texts}
 
 
 def test_op1_equals_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_join(spark, sf).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in queries.op1_ngram_join(spark, sf).collect()}
     assert got == brute(texts, 4, 85)
 
 
@@ -58,12 +59,12 @@ def test_near_copies_of_many_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "_BLOCK", 16)
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     want = brute(texts, 4, 85)
-    assert len({c for _, c in want.values()}) < 600
+    assert len({c for _, c, _ in want.values()}) < 600
     full = np.full(ngram_join._SEEN // 8, 255, np.uint8)
     for seen in (None, full):  # with the map of shingles in several prefixes, and with one that tells nothing
         if seen is not None:
             monkeypatch.setattr(ngram_join, "prefix_map", lambda *_: full)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in similar_groups(docs).collect()}
         assert got == want
 
 
@@ -71,7 +72,9 @@ def test_edge_cases(spark):
     long = " ".join(f"q{i}" for i in range(30000))
     rows = [(5, None), (6, ""), (7, " \t\n"), (3, "A b"), (9, "a  B"), (4, "a b c"), (None, "a b"), (8, long), (2, long + " z"), (1, "Q W e r t y"), (1, "q w e r t y"), (1, "q w e r t y u"), (None, "solo text of five words")]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, n string, d int")
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in similar_groups(docs).collect()]
+    found = similar_groups(docs).collect()
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in found]
+    assert Counter(r.n_links for r in found if r.n_shingles > 0) == Counter([2, 2, 2, 0, 1, 1, 1, 1, 0, 0]), found
     key = lambda x: tuple((v is None, v) for v in x)
     want = [(5, 0, 5), (6, 0, 6), (7, 0, 7), (3, 1, 3), (9, 1, 3), (4, 1, 4), (None, 1, 3), (8, 29997, 2), (2, 29998, 2), (1, 3, 1), (1, 3, 1), (1, 4, 1), (None, 2, None)]
     assert sorted(got, key=key) == sorted(want, key=key)
@@ -102,8 +105,13 @@ def test_links_within_is_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint64)) for _ in range(60)]
     similar = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 50 * (len(sets[i]) + len(sets[j]) - o)}
-    found = links_within(sets, np.zeros(60, int), 50, 100)
-    assert set(found) <= similar
+    found, linked = links_within(sets, np.zeros(60, int), 50, 100)
+    assert set(found) <= similar and linked.tolist() == [sum(i in p for p in similar) for i in range(60)]
+    side, copies = np.arange(60) % 2, rng.integers(1, 9, 60)
+    other = [np.array([i % 3], np.int64) for i in range(60)]
+    _, linked = links_within(sets, side, 50, 100, copies, other)
+    crossing = [p for p in similar if side[p[0]] != side[p[1]] and p[0] % 3 != p[1] % 3]
+    assert linked.tolist() == [sum(copies[p[0] + p[1] - i] for p in crossing if i in p) for i in range(60)]
 
     def groups(pairs):
         p = list(range(60))
