@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ordered
+from .shared import ordered, releasing
 from .word_encoder import word_encoder
 
 BLOCK = 4096
@@ -119,47 +119,50 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     columns, whatever their names, are not read. An empty table gives no segment.
     """
     rows = ordered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    rows.mapInArrow(lambda batches: _segments(batches, tokenizer, end_id), _SEGMENT_TYPE).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(releasing(lambda batches: _segments(batches, tokenizer, end_id)), _SEGMENT_TYPE).write.option("compression", "none").parquet(path)
 
 
-def _with_starts(spark: SparkSession, path: str) -> DataFrame:
-    segments = spark.read.schema(_SEGMENT_TYPE).parquet(path)
-    # One row for each part, of which there are as many as shuffle partitions.
-    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("base"))
-    return segments.join(bases, "part")
+def _bases(spark: SparkSession, path: str) -> dict[int, int]:
+    """The ids of all parts before each part. There are as many parts as tasks have written, so the sums are made on the driver."""
+    sums = spark.read.schema(_SEGMENT_TYPE).parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    out, base = {}, 0
+    for r in sorted(sums, key=lambda r: r.part):
+        out[r.part], base = base, base + r.n
+    return out
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids array<int> of each document."""
 
+    bases = _bases(spark, path)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
-        for doc, start, ids in _documents(batches):
+        for doc, start, ids in _documents(batches, bases):
             yield pa.RecordBatch.from_pylist([{"doc_id": doc, "start": start, "ids": ids.astype("<i4")}], schema)
 
-    return _with_starts(spark, path).mapInArrow(read, "doc_id bigint, start bigint, ids array<int>")
+    return spark.read.schema(_SEGMENT_TYPE).parquet(path).mapInArrow(read, "doc_id bigint, start bigint, ids array<int>")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, np.ndarray]]:
+def _documents(batches: Iterator[pa.RecordBatch], bases: dict[int, int]) -> Iterator[tuple[int | None, int, np.ndarray]]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             ids = read_ids(row["packed"], row["block_offsets"], row["width"], row["n_ids"], 0, row["n_ids"])
             start = 0
             for doc, end in zip(row["doc_ids"], row["doc_ends"]):
-                yield doc, row["base"] + row["first"] + start, ids[start:end]
+                yield doc, bases[row["part"]] + row["first"] + start, ids[start:end]
                 start = end
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
+    bases = _bases(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, s, len(x), zlib.crc32(x.tobytes())) for d, s, x in _documents(iter([batch]))]
+            rows = [(d, s, len(x), zlib.crc32(x.tobytes())) for d, s, x in _documents(iter([batch]), bases)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _with_starts(spark, path).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spark.read.schema(_SEGMENT_TYPE).parquet(path).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
