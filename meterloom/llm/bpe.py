@@ -40,6 +40,10 @@ class Transducer:
         self.ranks = {pair: i for i, pair in reversed(list(enumerate(merges)))}
         self.longest = max(map(len, tokens))
         self.lookahead = sufficient_lookahead(merges)
+        # How each token is made, and by which merge. If two merges made one token, its parts would not be certain.
+        self.parts = {a + b: (a, b) for a, b in merges}
+        self.made = {a + b: i for i, (a, b) in enumerate(merges)}
+        self._certain = len(self.parts) == len(merges)
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         own = [t for t in tokens if len(t) == 1 or self._merged(t) == [t]]
         self._own = set(own)
@@ -66,9 +70,29 @@ class Transducer:
     def _fits(self, pair: tuple[bytes, bytes]) -> bool:
         if len(self._pairs) > self.max_pairs:
             self._pairs.clear()
-        found = self._pairs[pair] = self._merged(pair[0] + pair[1]) == [*pair]
+        found = self._pairs[pair] = self._apart(*pair) if self._certain else self._merged(pair[0] + pair[1]) == [*pair]
         return found
 
+    def _apart(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens, each its own encoding, stay apart when joined.
+
+        Goes back in time: what was made last is taken apart, and at each point
+        the parts that touch must not have merged before either went into its
+        whole. Of equal merges the left one comes first.
+        """
+        left_until = right_until = len(self.ranks) + 1
+        while True:
+            rank = self.ranks.get((left, right))
+            if rank is not None and rank < left_until and rank <= right_until:
+                return False
+            a, b = self.made.get(left, -1), self.made.get(right, -1)
+            if a > b:
+                left_until, left = a, self.parts[left][1]
+            elif b >= 0:
+                right_until, right = b, self.parts[right][0]
+            else:
+                return True
+
     def encode(self, parts: Iterator[bytes]) -> Iterator[int]:
         """Ids of the joined parts, each as soon as it is stable."""
         tails, own, pairs, ids = self._tails, self._own, self._pairs, self.tokens
@@ -140,7 +164,7 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 class ByteBpe:
     """Whole texts to ids, as the tokenizers library encodes them with a byte-level BPE file."""
 
-    def __init__(self, path: str, max_entries: int = 1 << 19):
+    def __init__(self, path: str, max_entries: int = 1 << 18):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         pre = said.get("pre_tokenizer") or {}
@@ -156,7 +180,7 @@ class ByteBpe:
         self.dtype = np.dtype("<u2") if max(self.texts) < 1 << 16 else np.dtype("<u4")
         self._special = regex.compile("|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
         self._bound = max_entries
-        self._chunks: dict[str, bytes] = {}
+        self._chunks: dict[str, tuple[bytes, bytes]] = {}
         self._pieces: dict[str, bytes] = {}
         size = max(self.texts) + 1
         self._lengths = np.array([len(self.texts.get(i, b"")) for i in range(size)])
@@ -217,19 +241,23 @@ class ByteBpe:
         chunks = [f" {x}" for x in coded.dictionary.to_pylist()]
         if len(known) > self._bound:
             known.clear()
+        found, decimals = [], []
         for c in chunks:
-            if c not in known:
-                known[c] = self._split(c)
-        found = [known[c] for c in chunks]
-        arrays = [np.frombuffer(x, self.dtype) for x in found]
-        decimals = [b"".join(map(self.decimals.__getitem__, x.tolist())) for x in arrays]
+            made = known.get(c)
+            if made is None:
+                ids = self._split(c)
+                made = ids, b"".join(map(self.decimals.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
+                if len(c) <= 64:
+                    known[c] = made
+            found.append(made[0])
+            decimals.append(made[1])
         bounds = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
         out = []
         for a, b in zip(bounds, bounds[1:]):
             first = np.frombuffer(self._split(chunks[codes[a]][1:]), self.dtype)
             own = codes[a + 1 : b].tolist()
-            ids = np.frombuffer(b"".join([first.tobytes(), *[found[c] for c in own]]), self.dtype)
-            out.append((ids, b"".join([*map(self.decimals.__getitem__, first.tolist()), *[decimals[c] for c in own]])))
+            ids = np.frombuffer(b"".join([first.tobytes(), *map(found.__getitem__, own)]), self.dtype)
+            out.append((ids, b"".join([*map(self.decimals.__getitem__, first.tolist()), *map(decimals.__getitem__, own)])))
         return out
 
     def token_bytes(self, ids: np.ndarray) -> bytes:
