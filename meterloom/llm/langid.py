@@ -18,9 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh, release, releasing
+
 #: Hash buckets of n-grams, and the n of the n-grams.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
 #: Documents sampled for each language on average, and at most; centroids for each language.
@@ -72,10 +74,9 @@ def _weights(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (w / max(np.sqrt((w * w).sum()), 1e-12)).astype(np.float32)
 
 
-def _lowered(batch: pa.RecordBatch, column: int, step: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    for at in range(0, batch.num_rows, step):
-        rows = batch.slice(at, step)
-        yield rows, pc.utf8_lower(rows.column(column)).to_pylist()
+def _lowered(texts: pa.Array, step: int = 512) -> Iterator[list[str | None]]:
+    for at in range(0, len(texts), step):
+        yield pc.utf8_lower(texts.slice(at, step)).to_pylist()
 
 
 def _length_class(counts: np.ndarray) -> int:
@@ -150,10 +151,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(*[F.col(c) for c in labelled.columns]).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
 
+    @releasing
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for _, texts in _lowered(batch, 0):
+            for texts in _lowered(batch.column(0)):
                 for text in texts:
                     found = buckets_of(text)
                     if found is not None:
@@ -197,27 +199,38 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return Model([r.lang for r in found], centers, np.array([r.radii for r in found]).reshape(len(found), CLASSES), idf)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected; columns of these names are replaced. The text can be left out.
+def scored(text: Column, model: Model) -> Column:
+    """struct<lang_pred, score, rejected> of a column of whole texts.
 
     The language of a text that is null, empty or without a letter is `und`, its
     score 0, and it is rejected. Every row stands for itself; equal texts get
-    equal results. Without a labelled row in fit() all are `und`.
+    equal results. Without a labelled row in fit() all are `und`. Only texts go
+    to Python; the rows they stand in stay where they are.
     """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}
+        try:
+            for texts in batches:
+                done = [model.predict(t) for part in _lowered(texts) for t in part]
+                yield pa.StructArray.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds.values())], list(kinds))
+        finally:
+            release()
+
+    return F.arrow_udf(run, "lang_pred string, score double, rejected boolean")(text)
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and rejected as scored() tells; columns of these names are replaced."""
     added = ["lang_pred", "score", "rejected"]
-    docs = docs.drop(*added)
-    at = docs.columns.index(text_col)
-    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    found = fresh(docs, "_scored")
+    rows = docs.drop(*[c for c in added if c != text_col]).withColumn(found, scored(F.col(text_col), model))
+    return rows.select(*[c for c in rows.columns if c != found and c not in added], *[F.col(f"{found}.{c}").alias(c) for c in added])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, texts in _lowered(batch, at):
-                done = [model.predict(t) for t in texts]
-                more = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept], *more], [*[rows.schema.names[i] for i in kept], *added])
 
-    types = ", ".join(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in kept)
-    return docs.mapInArrow(run, f"{types}, lang_pred string, score double, rejected boolean")
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, as they are."""
+    return docs.where(~scored(F.col(text_col), model)["rejected"])
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, line_dedup, media, ngram_join, packing, pii, secrets, token_files, topk
-from .shared import new_path
+from .shared import bounded_batches, new_path, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,11 +19,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,9 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(media.encode_texts(_table(spark, sf_dir, "documents")))
+    # The files are stored as a column and read back; what is read back is what the digests are of.
+    stored = written(media.encode_texts(_table(spark, sf_dir, "documents")), "media")
+    return media.media_digests(stored)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
     model = langid.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
-    return langid.predict(docs.drop("lang"), model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +126,7 @@ WITH RECURSIVE words AS (
   UNION
   SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 )
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, (SELECT count(*) FROM links l WHERE l.a = s.doc_id) AS n_links
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id
 """
 
