@@ -4,6 +4,11 @@ Each stage works on all documents that the one before kept, and its decisions
 take effect: rejected documents go, frequent lines go, one document of each
 group of near copies stays, secrets are masked. The last stage returns the
 pieces of the packed sequences; all others return the columns of documents.
+
+Null and empty texts and those without a letter have no language and go in the
+first stage. Rows with null or equal ids are documents of their own until the
+third, where of equal ids in one group those with different texts stay. Columns
+of other names pass through as they are. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -13,18 +18,19 @@ from pyspark.sql import functions as F
 
 from meterloom.llm import langid, line_dedup, ngram_join, packing, secrets
 from meterloom.llm.queries import tokenizer_path
-from meterloom.llm.shared import written
+from meterloom.llm.shared import bounded_batches, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars follows the text."""
-    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    """n_chars, where the table has it, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; the others go."""
+    bounded_batches(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return langid.recognised(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
