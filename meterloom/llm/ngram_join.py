@@ -411,7 +411,8 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     """
     d, c, h = (fresh(docs, x) for x in ("_id", "_component", "_hash"))
     groups = similar_groups(docs, n, num, den, id_col, text_col).where("n_shingles > 0").select(F.col(id_col).alias(d), F.col("component_id").alias(c))
-    kept = groups.where(F.col(d).eqNullSafe(F.col(c))).select(d).distinct()
+    # Written, so that its size is known: Spark sends it to all tasks if it is small, and shuffles documents only if it is not.
+    kept = written(groups.where(F.col(d).eqNullSafe(F.col(c))).select(d).distinct(), "kept")
     empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     winners = docs.where(~empty).join(kept, F.col(id_col).eqNullSafe(F.col(d)), "left_semi")
     if groups.groupBy(d).count().where("count > 1").limit(1).count():
