@@ -28,6 +28,7 @@ _HELD = 200_000
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 #: Terms of a bundle, the unit of work, and groups of a tile; a pair of tiles meets in one task.
 _BUNDLE, _TILE = 1024, 16
+_SALTS = 64
 _ONE = 1_000_000_000
 
 
@@ -86,7 +87,9 @@ def dealt_terms(terms: DataFrame) -> DataFrame:
     rank = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     rows = terms.select("lang", "term", "n", rank.alias("_class"))
     size = rows.groupBy("lang", "_class").agg(F.ceil(F.count("*") / _BUNDLE).alias("_parts"))
-    rows = rows.join(size, ["lang", "_class"]).withColumn("_part", F.pmod(F.xxhash64("term"), F.col("_parts")))
+    # A class may hold most terms, so its size is repeated and they are salted.
+    size = size.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("term", "lang"), F.lit(_SALTS)).cast("int")).join(size, ["lang", "_class", "_salt"]).withColumn("_part", F.pmod(F.xxhash64("term"), F.col("_parts")))
     slot = F.row_number().over(Window.partitionBy("lang", "_class", "_part").orderBy(F.desc("n"), "term")) - 1
     rows = rows.withColumn("_slot", slot)
     return rows.select("lang", "term", F.concat_ws(":", "_class", "_part").alias("bundle"), F.floor(F.col("_slot") / 64).cast("int").alias("word"), (F.col("_slot") % 64).alias("bit"))
@@ -155,9 +158,8 @@ def pair_sums(bits: DataFrame, places: DataFrame, groups: DataFrame) -> DataFram
     placed = groups.join(n_tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), F.col("_tiles")).cast("int"))
     bundles = places.groupBy("lang", "bundle").agg(F.count("*").alias("size"))
     # Each bundle meets all groups of its language; salted, as one language may have most bundles.
-    salts = 32
-    salted = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    zero = bundles.withColumn("_salt", F.pmod(F.xxhash64("bundle"), F.lit(salts)).cast("int")).join(salted, ["lang", "_salt"])
+    salted = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    zero = bundles.withColumn("_salt", F.pmod(F.xxhash64("bundle"), F.lit(_SALTS)).cast("int")).join(salted, ["lang", "_salt"])
     zero = zero.select("lang", "bundle", F.lit(-1).alias("word"), "source", F.col("p0").alias("p"), F.lit(0).cast("bigint").alias("bits"), "size", "tile", "_tiles")
     held = bits.join(placed.select("lang", "source", "tile", "_tiles"), ["lang", "source"]).select("lang", "bundle", "word", "source", "p", "bits", F.lit(None).cast("bigint").alias("size"), "tile", "_tiles")
     other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other")

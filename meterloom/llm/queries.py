@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, langid, line_dedup, media, ngram_join, packing, pii, secrets, token_files, topk
+from . import bpe, divergence, langid, line_dedup, media, ngram_join, packing, phrases, pii, secrets, token_files, topk, weak_rules
 from .shared import bounded_batches, new_path, written
 
 
@@ -76,6 +76,16 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = [F.col(f"_{c}").alias(c) for c in (*weak_rules.MEASURES, "base_failed", "kept", "quality", "votes")]
+    return found.select("doc_id", *named)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -89,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_langid": op9_langid,
         "op10_secrets": op10_secrets,
         "op11_divergence": op11_divergence,
+        "op12_quality": op12_quality,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -192,5 +204,41 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 
+_OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS n
+  FROM starts, range(1, 6) t(m) WHERE i + m - 1 <= len(w) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 100
+), hidden AS (
+  SELECT x.lang, array_to_string(x.w[i:i + k - 1], ' ') AS phrase, max(x.a) AS longer
+  FROM c x, range(2, 5) k(k), range(1, 5) i(i) WHERE k < x.m AND i + k - 1 <= x.m GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k.k, l.n AS l, r.n AS r, t.n,
+         (1000::HUGEINT * c.a * t.n) // (l.n::HUGEINT * r.n) AS score
+  FROM c LEFT JOIN hidden h ON h.lang = c.lang AND h.phrase = c.phrase
+  JOIN range(1, 5) k(k) ON k.k < c.m
+  JOIN f l ON l.lang = c.lang AND l.m = k.k AND l.phrase = array_to_string(c.w[1:k.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.m = c.m - k.k AND r.phrase = array_to_string(c.w[k.k + 1:c.m], ' ')
+  JOIN total t ON t.lang = c.lang
+  WHERE h.longer IS NULL OR 100 * h.longer < 100 * c.a
+), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cuts
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst WHERE o = 1
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1_SQL, "op2_topk": _OP2_SQL, "op7_line_dedup": _OP7_SQL, "op11_divergence": _OP11_SQL}
+    return {"op1_ngram_join": _OP1_SQL, "op2_topk": _OP2_SQL, "op7_line_dedup": _OP7_SQL, "op11_divergence": _OP11_SQL, "op13_phrases": _OP13_SQL}
