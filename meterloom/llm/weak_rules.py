@@ -24,16 +24,19 @@ _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 _WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: What rules look at besides: lines with a word, words with a letter, words that end a sentence, letters A-Z and a-z.
-_MORE = ("n_lines", "n_letter_words", "n_ends", "n_upper", "n_lower")
+#: What rules look at besides: lines with a word, words with a letter or a symbol, those that end a sentence, the commonest word's number, letters A-Z and a-z.
+_MORE = ("n_lines", "n_letter_words", "n_symbol_words", "n_ends", "n_commonest", "n_upper", "n_lower")
 
 #: name, low if, high if. Neither holds: the rule says nothing. Whole numbers on both sides, so no rounding decides.
+#: What can be wrong with a text is looked at by two rules or more in different ways, since they are trusted where they agree.
 RULES = (
-    ("length", "n_words < 20", "n_words >= 50"),
+    ("length", "n_words < 10", "n_words >= 50"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
     ("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    ("symbol_words", "5 * n_symbol_words > n_words", "50 * n_symbol_words <= n_words"),
     ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines >= 3"),
     ("repeats", "10 * n_repeat_words > n_words", "100 * n_repeat_words <= n_words"),
+    ("commonest", "n_words >= 20 and 5 * n_commonest > n_words", "n_words >= 20 and 8 * n_commonest <= n_words"),
     ("letters", "10 * n_letter_words < 8 * n_words", "100 * n_letter_words >= 98 * n_words"),
     ("capitals", "10 * n_upper > 3 * (n_upper + n_lower)", "10 * n_upper <= n_upper + n_lower"),
     ("sentences", "2 * n_ends > n_words or (n_ends = 0 and n_words >= 50)", "n_ends between n_words div 60 and n_words div 3"),
@@ -59,9 +62,11 @@ def measured(text: str) -> tuple[int, ...]:
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip(ASCII_SPACE)]
     letters = sum(1 for w in words if w.translate(None, _NO_LETTERS))
+    symbols = sum(1 for w in words if len(w.translate(None, _SYMBOLS)) < len(w))
+    commonest = max(Counter(words).values(), default=0)
     ends = sum(1 for w in words if w[-1] in b".?!")
     without = lambda drop: len(data) - len(data.translate(None, drop))
-    return (len(words), len(text) - without(ASCII_SPACE), without(_SYMBOLS), len(lines) - len(set(lines)), _repeated(words), len(lines), letters, ends, without(_UPPER), without(_LOWER))
+    return (len(words), len(text) - without(ASCII_SPACE), without(_SYMBOLS), len(lines) - len(set(lines)), _repeated(words), len(lines), letters, symbols, ends, commonest, without(_UPPER), without(_LOWER))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -102,25 +107,30 @@ class Model:
         return np.log(self.share / (1 - self.share)) + (said == 1) @ up + (said == -1) @ down
 
 
-def fit(patterns: list[tuple[str, int]], rounds: int = 50, prior: tuple[float, float] = (8.0, 2.0)) -> Model:
+def fit(patterns: list[tuple[str, int]], rounds: int = 50, high_prior: tuple[float, float] = (9.0, 1.0), low_prior: tuple[float, float] = (3.0, 7.0)) -> Model:
     """Expectation-maximisation over votes() and the number of documents with them.
 
-    It starts from the share of high votes of each pattern. Right votes have a
-    prior worth ten of a thousand documents, eight of them right, and are held
-    between one half and 0.999, so a rule can lose its say but never means its opposite.
+    It starts from what a filter by all rules would say, softened: 0.95 without
+    a low vote, 0.5 with one, 0.05 with more. Priors of right votes on high and on
+    low documents weigh as much as ten documents of a thousand each. A vote for
+    low never counts in favour of a document, nor one for high against it.
     """
     patterns = sorted(patterns)
     said = np.array([[{"h": 1, "l": -1}.get(x, 0) for x in p] for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
     scale = n.sum() / 1000
     high, low = said == 1, said == -1
-    told = np.maximum(1, high.sum(1) + low.sum(1))
-    q = (0.5 + high.sum(1)) / (1 + told)
+    faults = low.sum(1)
+    q = np.select([faults == 0, faults == 1], [0.95, 0.5], 0.05)
+
+    def right(votes: np.ndarray, weight: np.ndarray, prior: tuple[float, float]) -> np.ndarray:
+        return (votes.T @ weight + prior[0] * scale) / ((high | low).T @ weight + sum(prior) * scale)
+
     model = None
     for _ in range(rounds):
         share = float(np.clip((q * n).sum() / n.sum(), 0.01, 0.99))
-        right = lambda votes, w: np.clip((votes.T @ w + prior[0] * scale) / ((high | low).T @ w + sum(prior) * scale), 0.5, 0.999)
-        model = Model(share, right(high, q * n), right(low, (1 - q) * n))
+        right_high = np.clip(right(high, q * n, high_prior), 0.5, 0.999)
+        model = Model(share, right_high, np.clip(right(low, (1 - q) * n, low_prior), 1 - right_high, 0.999))
         q = 1 / (1 + np.exp(-model.log_odds(said)))
     return model
 
@@ -130,8 +140,8 @@ def judge(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
 
     Base fails with fewer than ten words, or with more than a fifth of the words
     in repeated runs. Others are kept if their quality is least or more. All
-    documents vote, base failures too; there are 3^8 patterns of votes at most,
-    which is what comes to the driver.
+    documents vote, base failures too; the patterns of votes, 3^10 at most, are what comes
+    to the driver.
 
     Null and empty text has no word and fails. Each row is a document, equal rows
     alike. Other columns pass as they are; a name that is taken gets another
@@ -140,7 +150,7 @@ def judge(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text}`").alias("text"))
     rows = written(measures(plain).withColumn("votes", votes()), "votes")
-    model = fit([(r.votes, r.n) for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()]) if rows.limit(1).count() else Model(0.5, np.full(len(RULES), 0.5), np.full(len(RULES), 0.5))
+    model = fit([(r.votes, r.n) for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()]) if rows.limit(1).count() else Model(0.5, *np.full((2, len(RULES)), 0.5))
     odds = F.lit(float(np.log(model.share / (1 - model.share))))
     up, down = np.log(model.right_high / (1 - model.right_low)), np.log((1 - model.right_high) / model.right_low)
     for i, (a, b) in enumerate(zip(up.tolist(), down.tolist())):
