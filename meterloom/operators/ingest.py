@@ -1,8 +1,9 @@
 """Raw log rows to records and issues, as whole-table jobs.
 
-A log's lines carry source_path and line_no. Everything that hangs on what stands
-before a line is a window over its file; lines are filtered and reduced to a few
-columns before that.
+A log's lines carry source_path and line_no; lines are filtered and reduced to a
+few columns before anything else. What hangs on what stands before a line in its
+file is found in two levels: within a slot of lines by a window, and from the
+slots before by a carry of each slot. So one huge file is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
+from ..functions.paths import folders_above
 from ..schema import TOKENS, as_issues, as_records
 
 #: Paths under which rows name things, in the order in which they count. Fixed values.
@@ -69,8 +71,34 @@ def held(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*columns))).alias("_r")).select("_r.*")
 
 
-def _in_file() -> Window:
-    return Window.partitionBy("source_path").orderBy("line_no")
+#: Lines of a slot, the part of a file that one window spans.
+SLOT_LINES = 100_000
+
+
+def in_slots(rows: DataFrame, lasts: dict[str, tuple[str, bool]], wholes: dict[str, Column] | None = None, slot_lines: int = SLOT_LINES) -> DataFrame:
+    """rows with the last value of columns before each row, and with what holds of its whole file.
+
+    lasts has, by name, a column and whether the row's own value counts; nulls
+    are passed over. wholes has, by name, min() or max() aggregates over the file.
+    A slot folds into one row of its last values; these are gone through file
+    by file and given to the slots that follow. Rows are dealt by slot once.
+    """
+    wholes = wholes or {}
+    slot = F.floor(F.col("line_no") / slot_lines).cast("bigint")
+    dealt = rows.withColumn("_slot", slot).repartition("source_path", "_slot")
+    ends = {f"_end_{n}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))) for n, (c, _) in lasts.items()}
+    folded = dealt.groupBy("source_path", "_slot").agg(*[c.alias(n) for n, c in ends.items()], *[c.alias(n) for n, c in wholes.items()])
+    file = Window.partitionBy("source_path")
+    before = file.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_from_{n}") for n in lasts]
+    # A whole is a minimum or maximum, and so is one of those of slots.
+    whole = [(F.min if n.startswith("_min") else F.max)(n).over(file).alias(n) for n in wholes]
+    carries = folded.select(F.col("source_path").alias("_file"), F.col("_slot").alias("_part"), *carried, *whole)
+    here = Window.partitionBy("source_path", "_slot").orderBy("line_no")
+    found = dealt.withColumns({n: F.last(c, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0 if own else -1)) for n, (c, own) in lasts.items()})
+    met = found.join(carries, F.col("source_path").eqNullSafe(F.col("_file")) & F.col("_slot").eqNullSafe(F.col("_part")))
+    out = met.withColumns({n: F.coalesce(F.col(n), F.col(f"_from_{n}")) for n in lasts})
+    return out.drop("_slot", "_file", "_part", *[f"_from_{n}" for n in lasts])
 
 
 def skip_bulk(lines: DataFrame) -> DataFrame:
@@ -163,22 +191,18 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]+?)(?:\.[^./\\]+)?$", 1)
 
 
-def fill_model(rows: DataFrame) -> DataFrame:
-    """own_model: the row's model, else the last one before it in its file; model: that, else the file's only one."""
-    filled = F.last("_model", ignorenulls=True).over(_in_file().rowsBetween(Window.unboundedPreceding, 0))
-    return backfill_single_model(rows.withColumn("own_model", filled))
-
-
-def backfill_single_model(rows: DataFrame) -> DataFrame:
-    whole = Window.partitionBy("source_path")
-    only = F.when(F.min("_model").over(whole) == F.max("_model").over(whole), F.min("_model").over(whole))
-    return rows.withColumn("model", F.coalesce("own_model", only))
+def fill_from_file(rows: DataFrame, lasts: dict[str, tuple[str, bool]] | None = None, slot_lines: int = SLOT_LINES) -> DataFrame:
+    """own_model, model and session_id of rows with _model, _session and _context, and more lasts of in_slots().
 
-
-def fill_session(rows: DataFrame) -> DataFrame:
-    """session_id: the row's, else the last context's before it in its file, else the file's base name."""
-    last = F.last("_context", ignorenulls=True).over(_in_file().rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("session_id", F.coalesce("_session", last, base_name(F.col("source_path"))))
+    own_model is the row's model, else the last one before it in its file; model
+    is that, else the file's only one; session_id is the row's, else the last
+    context's before it, else the file's base name.
+    """
+    named = {"own_model": ("_model", True), "_last_context": ("_context", True)}
+    found = in_slots(rows, named | (lasts or {}), {"_min_model": F.min("_model"), "_max_model": F.max("_model")}, slot_lines)
+    only = F.when(F.col("_min_model") == F.col("_max_model"), F.col("_min_model"))
+    found = found.withColumns({"model": F.coalesce("own_model", only), "session_id": F.coalesce("_session", "_last_context", base_name(F.col("source_path")))})
+    return found.drop("_min_model", "_max_model", "_last_context")
 
 
 def _session_context(r: Column) -> Column:
@@ -195,7 +219,7 @@ def ingest_generic(rows: DataFrame, provider: str, read_at: Column | None = None
         V.first_string(r, ALIASES["session"]).alias("_session"), _session_context(r).alias("_context"), V.string(r["provider"]).alias("_provider"), *[c.alias(k) for k, c in normalise_times(r).items()],
     )
     flat = _with_times(flat, read_at if read_at is not None else F.current_timestamp())
-    kept = fill_session(fill_model(flat)).where(has_usage(F.col("tokens"), F.col("imported_cost")))
+    kept = fill_from_file(flat).where(has_usage(F.col("tokens"), F.col("imported_cost")))
     kept = kept.withColumn("provider", F.lit(provider))
     other = F.col("_provider").isin("claude", "codex", "pi", "grok") & (F.col("_provider") != provider)
     bare = F.greatest(*[F.coalesce(F.col(f"tokens.{t}"), F.lit(0)) for t in TOKENS]) == 0
@@ -204,10 +228,10 @@ def ingest_generic(rows: DataFrame, provider: str, read_at: Column | None = None
     return as_records(numbered(kept)), as_issues(issues.withColumn("message", F.col("code")))
 
 
-def numbered(records: DataFrame) -> DataFrame:
+def numbered(records: DataFrame, slot_lines: int = SLOT_LINES) -> DataFrame:
     """seq: a record's ordinal in its file, from 0."""
-    order = Window.partitionBy("source_path").orderBy("line_no", *(["model"] if "model" in records.columns else []))
-    return records.withColumn("seq", (F.row_number().over(order) - 1).cast("bigint"))
+    order = ["line_no", *(["model"] if "model" in records.columns else [])]
+    return numbered_in_slots(records, "source_path", F.floor(F.col("line_no") / slot_lines), order)
 
 
 def cumulative_to_delta(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -250,11 +274,12 @@ def counter_rows(rows: DataFrame) -> DataFrame:
     return _with_times(rows.withColumns({"_session": F.col("_context"), "_empty": empty}).drop("_asked"), F.lit(None).cast("timestamp"))
 
 
+#: For in_slots(): the totals before a row's are those of the last row that had any, as cumulative_to_delta() takes them.
+TOTALS_BEFORE = {"_before": ("_totals", False)}
+
+
 def counter_usage(rows: DataFrame) -> DataFrame:
-    """tokens of each row: the difference of running totals where it has them, else its own usage. Cached input is split off."""
-    # The totals before a row's are those of the last row that had any, as cumulative_to_delta() takes them.
-    before = F.last("_totals", ignorenulls=True).over(_in_file().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", before)
+    """tokens of each row: the difference of running totals to those in _before where it has them, else its own usage. Cached input is split off."""
     delta = F.struct(*[F.greatest(F.lit(0), F.col(f"_totals.{t}") - F.coalesce(F.col(f"_before.{t}"), F.lit(0))).alias(t) for t in COUNTERS])
     # greatest() passes over nulls, but a count that is missing stays missing.
     delta = F.struct(*[F.when(F.col(f"_totals.{t}").isNotNull(), delta[t]).alias(t) for t in COUNTERS])
@@ -265,8 +290,7 @@ def counter_usage(rows: DataFrame) -> DataFrame:
 def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Records and issues of logs whose counters run up."""
     parsed, issues = parse_rows(skip_bulk(lines), recover=True)
-    rows = counter_usage(counter_rows(parsed))
-    rows = fill_session(fill_model(rows))
+    rows = counter_usage(fill_from_file(counter_rows(parsed), TOTALS_BEFORE))
     missing = rows.where("_empty").select(F.lit("warning").alias("severity"), F.lit("missing_tokens").alias("code"), F.lit("token count without usage").alias("message"), "source_path", "line_no", F.lit(provider).alias("provider"))
     kept = rows.where(F.col("tokens").isNotNull() & has_usage(F.col("tokens"), F.lit(None)))
     kept = kept.withColumn("provider", F.lit(provider)).withColumn("observed_at", F.coalesce("observed_at", read_at if read_at is not None else F.current_timestamp()))
@@ -298,11 +322,11 @@ def ingest_turn_log(lines: DataFrame, provider: str = "grok") -> tuple[DataFrame
     return as_records(numbered(kept)), issues.unionByName(as_issues(warned))
 
 
-def child_sessions(lines: DataFrame) -> DataFrame:
-    """session_id of sessions that a parent has started and counts: of subagents/*/meta.json, the id named there or else the directory's name."""
+def child_sessions(texts: DataFrame) -> DataFrame:
+    """source_path and session_id of sessions that a parent has started and counts: of subagents/*/meta.json, the id named there or else the directory's name."""
     named = V.string(V.parse_object(F.col("value"), ["child_session_id"])["child_session_id"])
     folder = F.regexp_extract("source_path", r"/subagents/([^/]+)/meta\.json$", 1)
-    return lines.where(folder != "").select(F.coalesce(named, folder).alias("session_id")).distinct()
+    return texts.where(folder != "").select("source_path", F.coalesce(named, folder).alias("session_id")).distinct()
 
 
 def drop_child_sessions(records: DataFrame, children: DataFrame) -> DataFrame:
@@ -369,7 +393,8 @@ def source_issues(files: DataFrame, lines: DataFrame, records: DataFrame, roots:
     with_records = records.select(F.col("source_path").alias("path")).distinct()
     none = files.join(filled, "path", "left_semi").join(with_records, "path", "left_anti").select(F.col("path").alias("source_path"), F.lit("no_records").alias("code"))
     gone = roots.where("NOT exists").select(F.col("root").alias("source_path"), F.lit("missing_path").alias("code"))
-    held = roots.where("exists").join(files.select("path"), F.startswith(F.col("path"), F.concat(F.col("root"), F.lit("/"))), "left_anti")
+    above = files.select(F.explode(folders_above(F.col("path"))).alias("root")).distinct()
+    held = roots.where("exists").join(above, "root", "left_anti")
     bare = held.select(F.col("root").alias("source_path"), F.lit("empty_directory").alias("code"))
     found = empty.unionByName(none).unionByName(gone).unionByName(bare)
     return as_issues(found.select("*", F.lit("warning").alias("severity"), F.col("code").alias("message")))

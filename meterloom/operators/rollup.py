@@ -107,11 +107,16 @@ def model_split(records: DataFrame) -> DataFrame:
     return finish_costs(by.groupBy("provider", "model").agg(*usage_aggs())).orderBy(F.desc("records"), "provider", "model")
 
 
+def buckets_of(kind: str, zone: str, ts: Column | None = None) -> list[Column]:
+    """bucket and bucket_start of ts, else of event_ts: local hours or days."""
+    ts = F.col("event_ts") if ts is None else ts
+    label = hour_bucket(ts, zone) if kind == "hour" else day_bucket(ts, zone)
+    return [label.alias("bucket"), bucket_start(ts, zone, kind).alias("bucket_start")]
+
+
 def buckets(span: TimeRange, granularity: str | None = None) -> list[Column]:
-    """bucket and bucket_start of event_ts: local hours or days."""
-    kind, ts = granularity or span.granularity, F.col("event_ts")
-    label = hour_bucket(ts, span.zone) if kind == "hour" else day_bucket(ts, span.zone)
-    return [label.alias("bucket"), bucket_start(ts, span.zone, kind).alias("bucket_start")]
+    """bucket and bucket_start of event_ts in a range."""
+    return buckets_of(granularity or span.granularity, span.zone)
 
 
 def trend(records: DataFrame, span: TimeRange, granularity: str | None = None) -> DataFrame:

@@ -111,13 +111,18 @@ def counter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("source_path", "line_no", "seq", "model", "own_model", "session_id", *[F.col(f"tokens.{t}").alias(t) for t in _DELTA_COLUMNS])
 
 
-def turn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One finished turn for each event, with one or two models."""
+def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with value, a finished turn of one or two models each."""
     i, (inp, out, k) = F.col("event_id"), _numbers()
     usage = lambda a, b, c: _text('{"inputTokens":', a, ',"outputTokens":', b, ',"totalTokens":', F.when(i % 4 == 0, a + b + 1).otherwise(a + b), ',"cachedReadTokens":', c, ',"costUsdTicks":', a * 1000, "}")
     second = F.when(i % 2 == 0, _text(',"grok-mini":', usage(out, k, F.lit(0)))).otherwise(F.lit(""))
     turn = _text('{"timestamp":', F.unix_seconds(F.col("ts").cast("timestamp")), ',"params":{"update":{"sessionUpdate":"', F.when(i % 9 == 0, "other").otherwise("turn_completed"), '","usage":{"modelUsage":{"grok-core":', usage(inp, out, k), second, "}}}}}")
-    lines = _events(spark, sf_dir).select(_text("root/cwd/s", F.col("user_id"), "/updates.jsonl").alias("source_path"), i.alias("line_no"), turn.alias("value"))
+    return _events(spark, sf_dir).withColumn("value", turn)
+
+
+def turn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finished turn for each event, with one or two models."""
+    lines = turn_lines(spark, sf_dir).select(_text("root/cwd/s", F.col("user_id"), "/updates.jsonl").alias("source_path"), F.col("event_id").alias("line_no"), "value")
     records, _ = ingest.ingest_turn_log(lines)
     return records.select("line_no", "model", "session_id", F.unix_seconds("started_at").alias("started_s"), F.col("tokens.input").alias("input"), F.col("tokens.output").alias("output"), F.col("tokens.cache_read").alias("cache_read"), F.col("imported_cost.amount").cast("double").alias("cost"))
 
@@ -188,13 +193,13 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("provider", "file_id", "records", F.size("days").alias("days"), F.unix_millis("min_ts").alias("min_ms"), F.unix_millis("max_ts").alias("max_ms"), F.array_join("models", ",").alias("models"))
 
 
-def streamed_deltas(spark: SparkSession, sf_dir: str, base: str, after: Callable[[DataFrame], None] | None = None) -> None:
+def streamed_deltas(spark: SparkSession, sf_dir: str, base: str, after: Callable[[set], None] | None = None) -> None:
     """The counter log as a stream of line segments, stored under base batch by batch."""
     lines = counter_lines(spark, sf_dir).where(F.col("source_path").isNotNull())
     for k in range(2):  # two segments, one after the other
         lines.where(F.col("line_no") <= 8 if k == 0 else F.col("line_no") > 8).write.mode("append").parquet(f"{base}/lines")
     source = spark.readStream.schema("source_path string, line_no bigint, value string").parquet(f"{base}/lines")
-    query = deltas.stream_deltas(source).writeStream.foreachBatch(deltas.upsert(f"{base}/records", "codex", "root", after)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query = source.writeStream.foreachBatch(deltas.upsert(base, "codex", "root", after)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -81,14 +81,14 @@ def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of models in three currencies: one with a public rate, one with a manual one, one without a rate."""
+    """Costs of sessions in three currencies: one with a public rate, one with a manual one, one without a rate. Those not in USD stay."""
     fx = _fx(spark, sf_dir)
-    split = rollup.model_split(usage_queries._priced(spark, sf_dir).where("cost.currency = 'USD'")).select("provider", "model", "cost_amount", "cost_currency")
+    split = rollup.sessions(usage_queries._priced(spark, sf_dir)).select("provider", "session", "model", "cost_amount", "cost_currency")
     shown = [currency.resolve_currency(code, {"qfx": "7.5"}, fx) for code in ("qgx", "QFX", "XXX")]
     manual = spark.createDataFrame([(d.code, d.rate) for d in shown if d.source == "manual"], "code string, rate double")
     table = fx.select("code", "rate").where(~F.col("code").isin([d.code for d in shown if d.source == "manual"])).unionByName(manual)
     parts = [currency.convert_by_table(split, table, d.code).withColumn("asked", F.lit(d.requested)) for d in shown]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("asked", "provider", "model", "cost_amount", "cost_currency")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("asked", "provider", "session", "model", F.round("cost_amount", 6).alias("cost_amount"), "cost_currency")
 
 
 def currency_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +165,6 @@ def oracle_sql() -> dict[str, str]:
     numbers = f"count(*) AS records, {usage_queries._SESSIONS}, CAST(sum(input) AS BIGINT) AS input, CAST(sum(cached_input) AS BIGINT) AS cached_input, {usage_queries._COSTS}"
     day = f"strftime({usage_queries._local(usage_queries.TAIPEI)}, '%Y-%m-%d')"
     week = lambda zone, setting: f"SELECT '{setting}' AS setting, CAST(CAST(timezone('{zone}', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS day, count(*) AS records FROM usage WHERE CAST(timezone('{zone}', timezone('UTC', ts)) AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY 2"
-    cost = "CAST(CASE WHEN count(amount) > 1 THEN round(sum(amount), 6) ELSE sum(amount) END AS DOUBLE)"
-    shown = f"SELECT provider, model_name AS model, {cost} AS c FROM priced WHERE currency = 'USD' GROUP BY 1, 2"
     return {
         "loaded_rates": f"""WITH {_RULES} SELECT CAST(k % 300 AS INTEGER) AS ord, provider, model, aliases, CAST(epoch(vf) AS BIGINT) AS from_s, CAST(epoch(vt) AS BIGINT) AS to_s, CAST(input AS DOUBLE) AS input, CAST(output AS DOUBLE) AS output,
             CASE WHEN long_ THEN CAST(threshold AS BIGINT) END AS threshold, CASE WHEN long_ THEN CAST(input * 2 AS DOUBLE) END AS long_input FROM r""",
@@ -184,7 +182,8 @@ def oracle_sql() -> dict[str, str]:
             FROM t, LATERAL (VALUES (0, 'input', input * f), (1, 'output', CASE WHEN whole THEN output * f END)) AS c(category_ord, category, rate) WHERE c.rate IS NOT NULL""",
         "converted_rates": f"WITH {_RULES} SELECT ord, 'EUR' AS currency, round(CAST(input AS DOUBLE) * 0.92, 6) AS input, round(CAST(output AS DOUBLE) * 0.92, 6) AS output, CASE WHEN long_ THEN round(CAST(input * 2 AS DOUBLE) * 0.92, 6) END AS long_input FROM r",
         "fx_rates": f"WITH {_FX} SELECT code, rate, 'public' AS source, CAST(epoch(TIMESTAMP '2024-01-05 00:00:01') AS BIGINT) AS updated_s FROM fx",
-        "display_by_table": usage(f"""SELECT asked, provider, model, c * CAST(rate AS DOUBLE) AS cost_amount, code AS cost_currency FROM ({shown}), (VALUES ('QGX', 'QGX', 4.0), ('QFX', 'QFX', 7.5), ('XXX', 'USD', 1.0)) AS x(asked, code, rate)"""),
+        "display_by_table": usage(f"""SELECT asked, provider, session, model, round(CASE WHEN cost_currency = 'USD' THEN cost_amount * CAST(rate AS DOUBLE) ELSE cost_amount END, 6) AS cost_amount,
+            CASE WHEN cost_currency = 'USD' THEN code ELSE cost_currency END AS cost_currency FROM ({usage_queries._SESSION_ROLLUP}), (VALUES ('QGX', 'QGX', 4.0), ('QFX', 'QFX', 7.5), ('XXX', 'USD', 1.0)) AS x(asked, code, rate)"""),
         "currency_codes": f"WITH {_FX} SELECT code FROM fx UNION SELECT CASE WHEN event_id % 1000 = 0 THEN 'EUR' ELSE 'USD' END FROM events WHERE event_type = 'purchase'",
         "all_records": usage("SELECT provider, count(*) * CASE WHEN provider = 'pi' THEN 1 ELSE 2 END AS records FROM usage GROUP BY provider"),
         "zoned_days": usage(" UNION ALL ".join(week(z, s) for z, s in (("UTC", "utc None"), ("Asia/Taipei", "custom Asia/Taipei"), ("America/New_York", "custom Nowhere/Land"), ("America/New_York", "system Asia/Taipei")))),

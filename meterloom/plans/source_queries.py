@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ _NAMES = {"gz": r"(?i)\.jsonl(?:\.gz)?$"}
 
 
 def write_named(rows: DataFrame, base: str, compression: str | None = None) -> None:
-    """Writes rows (file, n, value) as one text file for each name in column file, lines in order of n."""
+    """Writes rows (file, n, value) as one text file for each name in column file, with folders in it or not, lines in order of n."""
     spark, staged = rows.sparkSession, f"{base}.staged"
     dealt = rows.repartition("file").sortWithinPartitions("file", "n").select("file", "value")
     dealt.write.mode("overwrite").option("compression", compression or "none").partitionBy("file").text(staged)
@@ -29,7 +30,8 @@ def write_named(rows: DataFrame, base: str, compression: str | None = None) -> N
     for d in fs.listStatus(folder):
         if d.isDirectory():
             (part,) = [p for p in fs.listStatus(d.getPath()) if p.getPath().getName().startswith("part-")]
-            target = store.file_system(spark, f"{base}/{d.getPath().getName().split('=', 1)[1]}")[1]
+            target = store.file_system(spark, f"{base}/{unquote(d.getPath().getName().split('=', 1)[1])}")[1]
+            fs.mkdirs(target.getParent())
             fs.delete(target, False)
             fs.rename(part.getPath(), target)
     fs.delete(folder, True)

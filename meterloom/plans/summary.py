@@ -14,9 +14,9 @@ from ..operators import filters, pricing, quality, rollup
 
 @dataclass
 class Summary:
-    """Lazy frames over two persisted ones, by session and bucket and by session; call close() when done. priced is not persisted."""
+    """Lazy frames over two persisted ones, by session and bucket and by session; call close() when done. priced is not persisted, and None where rollups are made of stored partials."""
 
-    priced: DataFrame
+    priced: DataFrame | None
     by_bucket: DataFrame
     by_session: DataFrame
     totals: DataFrame
@@ -34,12 +34,20 @@ class Summary:
 def summarise(records: DataFrame, span: TimeRange, rules: DataFrame, provider: str = "all", issues: DataFrame | list[DataFrame] | None = None) -> Summary:
     """Filters first, prices once, adds up once by session and bucket, and makes five rollups of that.
 
-    Rows of by_session are sessions, so no rollup counts distinct ones. issues
-    can be those of several steps.
+    issues can be those of several steps.
     """
     kept = filters.for_provider(filters.in_range(records, span), provider)
     priced = pricing.price(kept, pricing.rate_book(rules), pricing.catalog_is_valid(rules))
-    by_bucket = rollup.partial_rollup(priced, *rollup.buckets(span)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = issues if issues is None or isinstance(issues, DataFrame) else quality.all_issues(*issues)
+    return rollups_of(rollup.partial_rollup(priced, *rollup.buckets(span)), priced, None if found is None else filters.issues_for_provider(found, provider))
+
+
+def rollups_of(partials: DataFrame, priced: DataFrame | None = None, issues: DataFrame | None = None) -> Summary:
+    """Five rollups from partial_rollup() rows by session and bucket, computed now or stored by a stream.
+
+    Rows of by_session are sessions, so no rollup counts distinct ones.
+    """
+    by_bucket = partials.persist(StorageLevel.MEMORY_AND_DISK)
     times = [F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.max("_model").alias("_model")]
     by_session = by_bucket.groupBy("provider", "_session", "_name").agg(*rollup.added_up(sessions=False), *times).persist(StorageLevel.MEMORY_AND_DISK)
     trend = rollup.finish_costs(by_bucket.groupBy("bucket", "bucket_start").agg(*rollup.added_up())).orderBy("bucket_start")
@@ -49,5 +57,4 @@ def summarise(records: DataFrame, span: TimeRange, rules: DataFrame, provider: s
     active = F.count_distinct(F.when(F.trim("_model") != "", F.col("_model"))).alias("active_models")
     totals = rollup.finish_costs(by_session.agg(*rollup.added_up(), active)).withColumn("records", F.coalesce("records", F.lit(0)))
     sessions = rollup.finish_costs(named.drop("_model")).orderBy(F.desc_nulls_last("started_at"), "provider", "session", "model")
-    found = issues if issues is None or isinstance(issues, DataFrame) else quality.all_issues(*issues)
-    return Summary(priced, by_bucket, by_session, totals, providers, models, trend, sessions, None if found is None else filters.issues_for_provider(found, provider))
+    return Summary(priced, by_bucket, by_session, totals, providers, models, trend, sessions, issues)

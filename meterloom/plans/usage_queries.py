@@ -117,8 +117,9 @@ def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = rollup.provider_split(_priced(spark, sf_dir).where("cost.currency = 'USD'"))
-    return currency.convert_cost(split, EUR).select("provider", "records", F.round("cost_amount", 6).alias("cost_amount"), "cost_currency")
+    """Costs of sessions: those in USD converted, those in other currencies as they are, none where a session mixes them."""
+    found = currency.convert_cost(rollup.sessions(_priced(spark, sf_dir)), EUR)
+    return found.select("provider", "session", "model", "records", F.round("cost_amount", 6).alias("cost_amount"), "cost_currency")
 
 
 def one_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +264,8 @@ def oracle_sql() -> dict[str, str]:
             "provider_share": "SELECT provider, count(*) AS records, round(count(*) / (SELECT count(*) FROM priced), 9) AS share FROM priced GROUP BY provider",
             "trend_series": f"""SELECT bucket, m.metric, round(m.value, 6) AS value FROM ({day}), LATERAL (VALUES ('cost', coalesce(cost_amount, 0)), ('records', CAST(records AS DOUBLE)),
                 ('input', CAST(input AS DOUBLE)), ('output', CAST(output AS DOUBLE)), ('cache_create', CAST(0 AS DOUBLE)), ('cache_read', CAST({read} AS DOUBLE))) AS m(metric, value)""",
-            "display_currency": f"""SELECT provider, count(*) AS records, round(CAST(round(sum(amount), 6) AS DOUBLE) * 0.92, 6) AS cost_amount, 'EUR' AS cost_currency FROM priced WHERE currency = 'USD' GROUP BY provider""",
+            "display_currency": f"""SELECT provider, session, model, records, round(CASE WHEN cost_currency = 'USD' THEN cost_amount * 0.92 ELSE cost_amount END, 6) AS cost_amount,
+                CASE WHEN cost_currency = 'USD' THEN 'EUR' ELSE cost_currency END AS cost_currency FROM ({_SESSION_ROLLUP})""",
             "one_provider": f"SELECT seq, model, input, {total} AS token_total FROM usage WHERE provider = 'codex' AND {_inside(TWO_DAYS)}",
         }.items()
     }

@@ -7,10 +7,13 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import folders_above
 from ..functions.timez import TimeRange, literal
 from ..operators.filters import spans_overlap
 
 FILES_SCHEMA = "path string, name string, size bigint, modified_at timestamp"
+#: Files of an event table: a folder of Parquet files called session.db.
+EVENT_PART = r"/session\.db/[^/]+\.parquet$"
 #: Which file names each family of logs reads.
 NAME_RULES = {p: r"(?i)(?<!\.meta)\.jsonl?$" for p in ("claude", "codex", "pi")} | {"grok": r"^(?:updates\.jsonl|session\.db)$"}
 
@@ -34,12 +37,35 @@ def list_files(spark: SparkSession, root: str, name_filter: str = NAME_RULES["cl
     return files.where(F.col("name").rlike(name_filter)).select("path", "name", "size", F.timestamp_millis("ms").alias("modified_at"))
 
 
+def of_event_table() -> Column:
+    """Whether a file is an event table or a part of one; neither is text."""
+    return F.col("path").rlike(EVENT_PART) | (F.col("name") == "session.db")
+
+
 def only_event_tables(files: DataFrame) -> DataFrame:
-    """Of directories that hold a session.db, that file alone."""
-    parent = F.regexp_replace("path", r"/[^/]*$", "")
+    """Of directories that hold a session.db, that file or folder alone."""
+    # A table is a file, or a folder with files of its own.
+    parent = F.when(F.col("path").rlike(EVENT_PART), F.regexp_replace("path", r"/session\.db/[^/]*$", "")).otherwise(F.regexp_replace("path", r"/[^/]*$", ""))
     rows = files.withColumn("_dir", parent)
-    tables = rows.where("name = 'session.db'").select("_dir").distinct()
-    return rows.where("name = 'session.db'").unionByName(rows.where("name <> 'session.db'").join(tables, "_dir", "left_anti")).drop("_dir")
+    tables = rows.where(of_event_table()).select("_dir").distinct()
+    return rows.where(of_event_table()).unionByName(rows.where(~of_event_table()).join(tables, "_dir", "left_anti")).drop("_dir")
+
+
+def turn_log_files(files: DataFrame) -> DataFrame:
+    """Of a listing of all names: logs of turns and event tables."""
+    return only_event_tables(files.where(F.col("name").rlike(NAME_RULES["grok"]) | F.col("path").rlike(EVENT_PART)))
+
+
+def child_folders(files: DataFrame, logs: DataFrame) -> DataFrame:
+    """child and meta (the path of its meta.json, or null) of each folder in subagents of a session that has a log.
+
+    files is a listing of all names, logs those of them that are read.
+    """
+    part = lambda i: F.regexp_extract("path", r"^(.*)/subagents/([^/]+)/", i)
+    meta = F.when(F.col("path").rlike(r"/subagents/[^/]+/meta\.json$"), F.col("path"))
+    found = files.select(part(1).alias("_session"), part(2).alias("child"), meta.alias("meta")).where("child <> ''")
+    parents = logs.select(F.regexp_replace("path", r"/[^/]*$", "").alias("_session")).distinct()
+    return found.join(parents, "_session", "left_semi").groupBy("_session", "child").agg(F.max("meta").alias("meta")).drop("_session")
 
 
 def path_date(path: Column) -> Column:
@@ -83,10 +109,10 @@ def detect_sources(files: DataFrame, candidates: DataFrame) -> DataFrame:
     """provider, source_path and files: the first candidate root of each provider that holds files.
 
     candidates has provider, root, priority and name_filter, a row for each
-    place to look at.
+    place to look at. Files meet roots by the folders above them.
     """
-    under = F.startswith(F.col("path"), F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"))) & F.rlike("name", F.col("name_filter"))
-    # A handful of candidate roots against a listing; the roots are the small side.
-    found = files.join(candidates, under).groupBy("provider", "root", "priority").agg(F.count("*").alias("files"))
+    roots = candidates.withColumn("_root", F.regexp_replace("root", "/+$", ""))
+    above = files.select("name", F.explode(folders_above(F.col("path"))).alias("_root"))
+    found = above.join(roots, "_root").where(F.rlike("name", F.col("name_filter"))).groupBy("provider", "root", "priority").agg(F.count("*").alias("files"))
     first = Window.partitionBy("provider").orderBy("priority", "root")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("provider", F.col("root").alias("source_path"), "files")

@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.variants import is_object
 
 LINES_SCHEMA = "source_path string, line_no bigint, value string"
-
-
-def _hidden(files: DataFrame) -> DataFrame:
-    return files.where(F.col("name").rlike("^[_.]"))
+#: Bytes of a part of a hidden file, which one task reads; lines that are handed on at once.
+RANGE_BYTES, _ROWS = 32 << 20, 5000
+_PACKED = r"(?i)\.(?:gz|bz2|lz4|zst)$"
+#: Names that Spark's readers leave out.
+_HIDDEN = r"^[_.]"
+
+
+def _parts(files: DataFrame, range_bytes: int) -> DataFrame:
+    """path, start and end of the parts of hidden files, by a table: paths don't come to the driver. Packed files are one part."""
+    rows = files.where(F.col("name").rlike(_HIDDEN) & (F.col("size") > 0))
+    step = F.when(F.col("name").rlike(_PACKED), F.col("size")).otherwise(F.lit(range_bytes)).cast("bigint")
+    starts = rows.select("path", "size", step.alias("step")).select("path", "size", "step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.col("step"))).alias("start"))
+    parts = starts.select("path", "start", F.least(F.col("start") + F.col("step"), F.col("size")).alias("end"), (F.col("step") == F.col("size")).alias("whole"))
+    return parts.repartition("path", "start")
+
+
+def _opened(path: str):
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+
+
+def _lines_in(path: str, start: int, end: int, whole: bool) -> Iterator[str]:
+    """The lines that begin in a part of a file, as far as they go. A file that can't be read gives none."""
+    try:
+        fs, local = _opened(path)
+        with fs.open_input_stream(local) if whole else fs.open_input_file(local) as raw, io.BufferedReader(raw, 1 << 20) as f:
+            if start:
+                f.seek(start - 1)
+                start += len(f.readline()) - 1
+            while whole or start < end:
+                line = f.readline()
+                if not line:
+                    break
+                start += len(line)
+                yield line.removesuffix(b"\n").decode("utf-8", "replace")
+    except (OSError, EOFError, ValueError):
+        return
 
 
 def scan_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -26,39 +61,70 @@ def scan_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     are neither sorted nor shuffled, but the files are read twice, first to count.
     A file that can't be read gives no line.
     """
-    paths = [r.path for r in files.where(~F.col("name").rlike("^[_.]") & (F.col("size") > 0)).select("path").toLocalIterator()]
+    paths = [r.path for r in files.where(~F.col("name").rlike(_HIDDEN) & (F.col("size") > 0)).select("path").toLocalIterator()]
     if paths:
         raw = spark.read.options(lineSep="\n", ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths)
         # A split's rows follow each other in one partition, so their ids do.
         rows = raw.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
-        splits = rows.groupBy("source_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-        before = Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        plain = rows.join(splits, ["source_path", "_block"]).select("source_path", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
+        plain = _numbered(rows)
     else:
         plain = spark.createDataFrame([], LINES_SCHEMA)
-    return plain.unionByName(_hidden_lines(spark, files)).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    return plain.unionByName(hidden_lines(files)).withColumn("value", F.regexp_replace("value", "\r$", ""))
+
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Lines in LINES_SCHEMA from rows with source_path, _block and _id, which rises by one in a block."""
+    splits = rows.groupBy("source_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(splits, ["source_path", "_block"]).select("source_path", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
 
-def _hidden_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Lines of files whose names Spark's readers hide; they are read as whole files from the folder that holds them."""
-    hidden = _hidden(files).select("path", "name").collect()
-    if not hidden:
-        return spark.createDataFrame([], LINES_SCHEMA)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
+def hidden_lines(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines of files whose names Spark's readers leave out, read by parts of range_bytes."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.to_pylist():
+                held, n = [], 0
+                for line in _lines_in(**part):
+                    held.append(line)
+                    if len(held) == _ROWS:
+                        yield _batch(part, n, held)
+                        n, held = n + len(held), []
+                if held:
+                    yield _batch(part, n, held)
+
+    return _numbered(_parts(files, range_bytes).mapInArrow(read, "source_path string, _block bigint, _id bigint, value string"))
+
+
+def _batch(part: dict, first: int, lines: list[str]) -> pa.RecordBatch:
+    n = len(lines)
+    columns = [pa.array([part["path"]] * n, pa.string()), pa.array([part["start"]] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(lines, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["source_path", "_block", "_id", "value"])
+
+
+def whole_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """source_path and value of whole files, hidden ones too; a file that can't be read gives no row. A file is a task's unit of work."""
+    paths = [r.path for r in files.where((F.col("size") > 0) & ~F.col("name").rlike(_HIDDEN)).select("path").toLocalIterator()]
+    schema = "source_path string, value string"
+    plain = spark.createDataFrame([], schema)
+    if paths:
+        plain = spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), "value")
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
-                fs, local = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
-                with fs.open_input_stream(local) as f:
-                    lines = f.read().decode("utf-8", "replace").split("\n")
-                lines = lines[:-1] if lines[-1] == "" else lines
-                yield pd.DataFrame({"source_path": path, "line_no": range(1, len(lines) + 1), "value": lines})
+            for path in batch.column("path").to_pylist():
+                try:
+                    fs, local = _opened(path)
+                    with fs.open_input_stream(local) as f:
+                        text = f.read().decode("utf-8", "replace")
+                except (OSError, EOFError, ValueError):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["source_path", "value"])
 
-    rows = spark.createDataFrame([(r.path,) for r in hidden], "path string").repartition(len(hidden))
-    return rows.mapInPandas(read, LINES_SCHEMA)
+    hidden = files.where(F.col("name").rlike(_HIDDEN) & (F.col("size") > 0)).select("path").repartition("path")
+    return plain.unionByName(hidden.mapInArrow(read, schema))
 
 
 def scan_json_docs(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,11 +133,7 @@ def scan_json_docs(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, Da
     The rows are the document if it is an array, else its records, messages or
     entries, else the document itself. A document is a task's unit of work.
     """
-    paths = [r.path for r in files.where((F.col("size") > 0) & ~F.col("name").rlike("^[_.]")).select("path").toLocalIterator()]
-    if not paths:
-        empty = spark.createDataFrame([], "source_path string, line_no bigint, value string")
-        return empty.select("source_path", "line_no", F.try_parse_json("value").alias("v")), empty.select("source_path")
-    texts = spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
+    texts = whole_texts(spark, files)
     docs = texts.withColumn("doc", F.try_parse_json("value"))
     kind = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
     doc = F.col("doc")

@@ -1,16 +1,19 @@
 """Records stored by provider and UTC day, and the manifest of files they came from.
 
 A table is Parquet, partitioned by provider and utc_date. Replacing a file's rows
-rewrites only the partitions that hold them or will: the kept and the new rows
-are written to a staging path first, then over the partitions, so no plan reads
-what it overwrites.
+reads and rewrites only the partitions that hold them or will: the kept and the
+new rows are written to a staging path beside the table, which is then marked as
+whole, and its folders are moved over the old ones. What a writer leaves undone
+after that mark the next one does first; what it leaves before, goes. There is
+one writer at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +23,10 @@ from ..functions.timez import TimeRange, literal
 from ..schema import RECORD_TYPES
 
 STORED_TYPES = RECORD_TYPES | {"file_id": "string", "event_ts": "timestamp", "utc_date": "date"}
-_ORDER = [c for c in STORED_TYPES if c not in ("provider", "utc_date")] + ["provider", "utc_date"]
-STORED_SCHEMA = ", ".join(f"{c} {STORED_TYPES[c]}" for c in _ORDER)
-#: Files a day and provider are written to, at most, by one call.
-_SPREAD = 4
+COLUMNS = [c for c in STORED_TYPES if c not in ("provider", "utc_date")] + ["provider", "utc_date"]
+STORED_SCHEMA = ", ".join(f"{c} {STORED_TYPES[c]}" for c in COLUMNS)
+_KEYS = ["provider", "utc_date"]
+_MARK = "_WHOLE"
 MANIFEST_SCHEMA = "provider string, root_id string, file_id string, path string, fingerprint string, parser_version string, records bigint, days array<date>, min_ts timestamp, max_ts timestamp, models array<string>"
 
 
@@ -67,57 +70,113 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
-def _put(spark: SparkSession, rows: DataFrame, old: DataFrame, path: str) -> None:
-    """Overwrites the partitions of rows, and empties those of old that rows don't touch.
-
-    All rows are in the staging path before anything is overwritten, dealt by
-    day and file, so that a day is a few files and a large day not one task's.
-    A writer that ends in between leaves the staging path behind, and the same
-    call made again ends in the same table.
+def _folder(provider: str | None, day: date | None) -> str:
+    """The folder of a partition, as Spark names it."""
+    text = [("__HIVE_DEFAULT_PARTITION__" if x is None else str(x)) for x in (provider, day)]
+    return f"provider={text[0]}/utc_date={text[1]}"
+
+
+def in_days(days: Iterable[tuple[str | None, date | None]]) -> F.Column:
+    """A filter on partitions alone, so others are not even listed as input."""
+    by_provider: dict[str | None, set[date | None]] = {}
+    for provider, day in days:
+        by_provider.setdefault(provider, set()).add(day)
+    out = F.lit(False)
+    for provider, of_it in by_provider.items():
+        known = sorted(d for d in of_it if d is not None)
+        inside = F.col("utc_date").isin(known) if known else F.lit(False)
+        inside = inside | F.col("utc_date").isNull() if None in of_it else inside
+        out = out | (F.col("provider").eqNullSafe(F.lit(provider)) & inside)
+    return out
+
+
+def days_of(*frames: DataFrame) -> set[tuple[str | None, date | None]]:
+    """Partitions (provider, utc_date) of frames. They come to the driver, as their names do in any partitioned write."""
+    found: set[tuple[str | None, date | None]] = set()
+    for df in frames:
+        found |= {(r.provider, r.utc_date) for r in df.select(*_KEYS).distinct().collect()}
+    return found
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Does what a writer that ended early has left: moves of whole staging paths go on, others are deleted."""
+    fs, table = file_system(spark, path.rstrip("/"))
+    if not fs.exists(table.getParent()):
+        return
+    for f in fs.listStatus(table.getParent()):
+        if f.getPath().getName().startswith(f"{table.getName()}.staging-"):
+            if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), _MARK)):
+                _moved(spark, f.getPath().toString(), path)
+            else:
+                fs.delete(f.getPath(), True)
+
+
+def _moved(spark: SparkSession, staged: str, path: str) -> None:
+    """Moves the folders of a whole staging path over those of the table; folders without rows now go."""
+    fs, mark = file_system(spark, f"{staged}/{_MARK}")
+    stream = fs.open(mark)
+    folders = json.loads(bytes(stream.readAllBytes()).decode())
+    stream.close()
+    for name in folders:
+        (_, new), (_, old) = file_system(spark, f"{staged}/{name}"), file_system(spark, f"{path}/{name}")
+        # A folder that held rows and is no longer there has been moved already.
+        if fs.exists(new) or not folders[name]:
+            fs.delete(old, True)
+        if fs.exists(new):
+            fs.mkdirs(old.getParent())
+            fs.rename(new, old)
+    fs.delete(file_system(spark, staged)[1], True)
+
+
+def overwrite_days(spark: SparkSession, rows: DataFrame, days: set[tuple[str | None, date | None]], path: str) -> None:
+    """Makes rows the content of the partitions in days; all rows must be of these.
+
+    Rows are dealt by day, and a day is split by the bytes that it turns out to
+    have, so a large one is the work of many tasks.
     """
     staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    keys = ["provider", "utc_date"]
-    rows.select(*_ORDER).repartition(*keys, F.pmod(F.xxhash64("file_id"), F.lit(_SPREAD))).write.partitionBy(*keys).parquet(staged)
-    new = read_records(spark, staged)
-    # Partitions are days of a provider; their names come to the driver as they do in any partitioned write.
-    staged_days = new.select(*keys).distinct()
-    gone = old.select(*keys).distinct().join(staged_days, keys, "left_anti").collect()
-    new.select(*_ORDER).repartition(*keys, F.pmod(F.xxhash64("file_id"), F.lit(_SPREAD))).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    for r in gone:
-        fs, day = file_system(spark, f"{path}/provider={r.provider}/utc_date={r.utc_date}")
-        fs.delete(day, True)
-    fs, used = file_system(spark, staged)
-    fs.delete(used, True)
-
-
-def write_records(records: DataFrame, path: str, touched: DataFrame) -> None:
+    rows.select(*COLUMNS).hint("rebalance", *[F.col(k) for k in _KEYS]).write.partitionBy(*_KEYS).parquet(staged)
+    fs, _ = file_system(spark, staged)
+    folders = {_folder(*d) for d in days}
+    held = {f: fs.exists(file_system(spark, f"{staged}/{f}")[1]) for f in sorted(folders)}
+    out = fs.create(file_system(spark, f"{staged}/{_MARK}")[1], True)
+    out.write(bytearray(json.dumps(held).encode()))
+    out.close()
+    _moved(spark, staged, path)
+
+
+def write_records(records: DataFrame, path: str, touched: DataFrame, days: set[tuple[str | None, date | None]] | None = None) -> None:
     """Stores records; all earlier rows of the touched files (file_id) go, on days that have none now too.
 
-    Ingesting the same files twice leaves the same table.
+    Ingesting the same files twice leaves the same table. With days, those that
+    hold earlier rows of the touched files, no other day is read; without, all
+    days' file ids are looked through.
     """
     spark = records.sparkSession
+    recover(spark, path)
+    touched = touched.select("file_id").distinct()
     stored = read_records(spark, path)
-    old = stored.join(touched.select("file_id").distinct(), "file_id", "left_semi")
-    keys = ["provider", "utc_date"]
-    days = old.select(*keys).unionByName(records.select(*keys)).distinct()
-    kept = stored.join(days, keys, "left_semi").join(touched.select("file_id").distinct(), "file_id", "left_anti")
-    _put(spark, kept.select(*_ORDER).unionByName(records.select(*_ORDER)), old, path)
+    had = days_of(stored.join(touched, "file_id", "left_semi")) if days is None else days
+    wanted = had | days_of(records)
+    kept = stored.where(in_days(wanted)).join(touched, "file_id", "left_anti")
+    overwrite_days(spark, kept.select(*COLUMNS).unionByName(records.select(*COLUMNS)), wanted, path)
 
 
-def append_records(records: DataFrame, path: str, before: DataFrame) -> None:
+def append_records(records: DataFrame, path: str, before: DataFrame, days: set[tuple[str | None, date | None]] | None = None) -> None:
     """Adds the tail of files that have grown: before has file_id and records, the count so far.
 
-    Stored rows from that ordinal on go first, so adding a tail again changes nothing.
+    Stored rows from that ordinal on go first, so adding a tail again changes
+    nothing. With days, those that may hold such rows, no other day is read.
     """
     spark = records.sparkSession
+    recover(spark, path)
     stored = read_records(spark, path)
     counts = before.select("file_id", F.col("records").alias("_had"))
-    tail = stored.join(counts, "file_id").where(F.col("seq") >= F.col("_had")).select("file_id", "seq", "provider", "utc_date")
-    keys = ["provider", "utc_date"]
-    days = tail.select(*keys).unionByName(records.select(*keys)).distinct()
-    kept = stored.join(days, keys, "left_semi").join(tail.select("file_id", "seq"), ["file_id", "seq"], "left_anti")
+    tail = stored.join(counts, "file_id").where(F.col("seq") >= F.col("_had"))
     fresh = records.join(counts, "file_id", "left").where(F.col("seq") >= F.coalesce("_had", F.lit(0)))
-    _put(spark, kept.select(*_ORDER).unionByName(fresh.select(*_ORDER)), tail, path)
+    wanted = (days_of(tail) if days is None else days) | days_of(fresh)
+    kept = stored.where(in_days(wanted)).join(counts, "file_id", "left").where(F.col("_had").isNull() | (F.col("seq") < F.col("_had")))
+    overwrite_days(spark, kept.select(*COLUMNS).unionByName(fresh.select(*COLUMNS)), wanted, path)
 
 
 def removed_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

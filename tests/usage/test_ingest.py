@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from meterloom.functions.timez import resolve_range
 from meterloom.operators import ingest, quality
 from meterloom.sources import files, lines, store
-from meterloom.streaming import deltas
 
 
 def lines_of(spark, **logs):
@@ -182,21 +181,3 @@ def test_quality(spark):
     doubt = spark.createDataFrame([("warning", "file_transient", "pi")], "severity string, code string, provider string")
     assert quality.stale_sources(cover, doubt, other).count() == 0
     assert quality.load_status(actions).first().status == "cold" and quality.load_status(actions.where("action <> 'ingest'")).first().status == "partial"
-
-
-def test_stream_equals_batch_and_backfills(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    base = f"file://{tmp_path}"
-    parts = [[token_count(total_token_usage=usage(100, 0, 10))], [token_count(total_token_usage=usage(250, 0, 30)), {"type": "turn_context", "payload": {"model": "late"}}]]
-    n = 0
-    for part in parts:
-        rows = [("log", n + k, json.dumps(x)) for k, x in enumerate(part, 1)]
-        n += len(part)
-        spark.createDataFrame(rows, lines.LINES_SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        source = spark.readStream.schema(lines.LINES_SCHEMA).parquet(f"{base}/in")
-        query = deltas.stream_deltas(source).writeStream.foreachBatch(deltas.upsert(f"{base}/out", "codex", "root")).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
-        query.awaitTermination()
-        if n == 1:
-            assert stored(spark, f"{base}/out") == [(100, None)]
-    assert stored(spark, f"{base}/out") == [(100, "late"), (150, "late")]
-    assert deltas.trigger_seconds(1) == 30

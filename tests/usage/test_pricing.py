@@ -148,3 +148,87 @@ def test_filters(spark):
     span = resolve_range("today", datetime.fromisoformat("2026-05-06T10:00:00+00:00"), "UTC")
     assert filters.in_range(rows, span).count() == 2 and filters.for_provider(rows, "pi").count() == 0
     assert rows.where(F.col("utc_date") == "2026-05-06").count() == 2
+
+
+def drawn_rules(n, seed=1):
+    """Overlapping dated rules of two names, some without bounds, some beginning together."""
+    import random
+
+    rng = random.Random(seed)
+    day = lambda: datetime(2026, 1 + rng.randrange(12), 1 + rng.randrange(28))
+    out = []
+    for i in range(n):
+        a, b = sorted((day(), day()))
+        rule = {"model": "ab"[i % 2], "aliases": ["c"] if i % 5 == 0 else [], "rates": {"input": i + 1}}
+        out.append(rule | ({"effective_from": a} if i % 7 else {}) | ({"effective_to": b} if i % 3 and a < b else {}))
+    return out
+
+
+def test_book_like_brute_force(spark):
+    found = drawn_rules(60)
+    book = pricing.rate_book(rules(spark, *found)).collect()
+    first, last = datetime(1000, 1, 1), datetime(9999, 1, 1)
+    for name in "abc":
+        mine = [(r.get("effective_from", first), r.get("effective_to", last), i) for i, r in enumerate(found) if name in (r["model"], *r["aliases"])]
+        bounds = sorted({x for a, b, _ in mine for x in (a, b)})
+        want = []
+        for a, b in zip(bounds, bounds[1:]):
+            open_ = [(-(f - first), i) for f, t, i in mine if f <= a and b <= t]
+            want += [(a, b, min(open_)[1])] if open_ else []
+        assert sorted((r.valid_from, r.valid_to, r.ord) for r in book if r.name == name) == want
+
+
+def test_small_and_large_books_price_alike(spark):
+    """A book that is sent and one that records meet by day give the same costs; times lie before, at and after bounds."""
+    from datetime import timedelta
+
+    book = pricing.rate_book(rules(spark, *drawn_rules(40)))
+    bounds = sorted({r.valid_from for r in book.collect() if r.valid_from.year > 1900})
+    times = [b + timedelta(seconds=s) for b in bounds for s in (-1, 0, 1)] + [None]
+    rows = [{"model": m, "at": t, "observed": t, "input": MILLION, "session": f"{m}{t}"} for m in ("a", "B", "c", "none", None) for t in times]
+    got = []
+    for index in (pricing.rate_index(book), pricing.rate_index(book, most=3)):
+        out = pricing.price(records(spark, *rows), index).select("session_id", "cost.amount", "cost_reason")
+        got.append(sorted(map(str, out.collect())))
+    assert pricing.rate_index(book, most=3).small is None and got[0] == got[1] and len(got[0]) == len(rows)
+    assert sum("unknown_model" in x for x in got[0]) < len(rows) - 100
+
+
+def test_records_stay_where_they_are(spark):
+    rows = records(spark, {"input": 5}).repartition(3)
+    plan = pricing.price(rows, pricing.rate_book(rules(spark, {"rates": {"input": 1}})))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 0
+
+
+def test_large_catalog_of_one_name(spark):
+    """A hundred thousand dated rules of one name, one after the other."""
+    k = F.col("id")
+    at = lambda n: F.timestamp_seconds(F.lit(1_000_000_000) + n * 3600)
+    none = F.lit(None)
+    rates = F.struct(*[(k + 1 if t == "input" else none).cast("decimal(14,8)").alias(t) for t in TOKENS])
+    many = spark.range(100_000).select(
+        F.lit("codex").alias("provider"), F.lit("m").alias("model"), F.array().cast("array<string>").alias("aliases"), F.lit("USD").alias("currency"), F.lit("1M").alias("price_unit"), F.lit("https://a.example.com").alias("source_url"), F.lit(datetime(2026, 1, 1)).alias("checked_at"),
+        at(k).alias("effective_from"), at(k + 1).alias("effective_to"), rates.alias("rates"), none.cast("bigint").alias("threshold"), none.cast(pricing.RATES_TYPE).alias("long_rates"), k.cast("int").alias("ord"),
+    )
+    index = pricing.rate_index(pricing.rate_book(many))
+    assert index.small is None
+    when = [datetime.fromtimestamp(1_000_000_000 + 3600 * n + 1800) for n in (0, 777, 50_000, 99_999, 100_000)]
+    out = pricing.price(records(spark, *[{"at": t, "input": MILLION, "session": str(i)} for i, t in enumerate(when)]), index)
+    assert [r.cost_reason or int(r.cost.amount) for r in out.orderBy("session_id").collect()] == [1, 778, 50_001, 100_000, "unknown_model"]
+
+
+def test_catalogs_as_a_whole(spark, tmp_path):
+    import json
+
+    rule = {"provider": "codex", "model": "m", "currency": "USD", "sourceUrl": "https://a.example.com", "checkedAt": "2026-01-01", "rates": {"input": 1}}
+    whole = {"checkedAt": "2026-01-01T00:00:00Z", "sourceUrls": ["https://a.example.com"], "rules": [rule]}
+    bad = {"none": {}, "date": whole | {"checkedAt": "soon"}, "urls": whole | {"sourceUrls": []}, "rules": whole | {"rules": []}}
+    said = {"none": 3, "date": 1, "urls": 1, "rules": 1, "good": 0}
+    for name, doc in {"good": whole, **bad}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+        path = f"file://{tmp_path}/{name}.json"
+        catalogs = pricing.load_catalogs(spark, path)
+        assert pricing.validate_catalogs(catalogs).count() == said[name]
+        assert pricing.catalog_is_valid(pricing.load_rates(spark, path), catalogs) == (name == "good")
+    assert not pricing.catalog_is_valid(rules(spark))
+    assert priced(spark, [], {"input": 1}, valid=pricing.catalog_is_valid(rules(spark))) == ["missing_pricing_metadata"]
