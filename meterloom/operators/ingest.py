@@ -75,30 +75,32 @@ def held(df: DataFrame, *columns: str | Column) -> DataFrame:
 SLOT_LINES = 100_000
 
 
-def in_slots(rows: DataFrame, lasts: dict[str, tuple[str, bool]], wholes: dict[str, Column] | None = None, slot_lines: int = SLOT_LINES) -> DataFrame:
-    """rows with the last value of columns before each row, and with what holds of its whole file.
+def in_slots(rows: DataFrame, lasts: dict[str, tuple[str, bool]], wholes: dict[str, Column] | None = None, counts: dict[str, Column] | None = None, slot_lines: int = SLOT_LINES) -> DataFrame:
+    """rows with the last value of columns before each row, with what holds of its whole file, and with running counts.
 
     lasts has, by name, a column and whether the row's own value counts; nulls
-    are passed over. wholes has, by name, min() or max() aggregates over the file.
+    are passed over. wholes has, by name, min() or max() aggregates over the file;
+    counts has conditions, whose rows are counted up to each row and with it.
     A slot folds into one row of its last values; these are gone through file
     by file and given to the slots that follow. Rows are dealt by slot once.
     """
-    wholes = wholes or {}
+    wholes, counts = wholes or {}, counts or {}
     slot = F.floor(F.col("line_no") / slot_lines).cast("bigint")
     dealt = rows.withColumn("_slot", slot).repartition("source_path", "_slot")
     ends = {f"_end_{n}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))) for n, (c, _) in lasts.items()}
-    folded = dealt.groupBy("source_path", "_slot").agg(*[c.alias(n) for n, c in ends.items()], *[c.alias(n) for n, c in wholes.items()])
+    folded = dealt.groupBy("source_path", "_slot").agg(*[c.alias(n) for n, c in ends.items()], *[c.alias(n) for n, c in wholes.items()], *[F.count_if(c).alias(f"_end_{n}") for n, c in counts.items()])
     file = Window.partitionBy("source_path")
     before = file.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_from_{n}") for n in lasts]
+    carried = [F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_from_{n}") for n in lasts] + [F.sum(f"_end_{n}").over(before).alias(f"_from_{n}") for n in counts]
     # A whole is a minimum or maximum, and so is one of those of slots.
     whole = [(F.min if n.startswith("_min") else F.max)(n).over(file).alias(n) for n in wholes]
     carries = folded.select(F.col("source_path").alias("_file"), F.col("_slot").alias("_part"), *carried, *whole)
     here = Window.partitionBy("source_path", "_slot").orderBy("line_no")
-    found = dealt.withColumns({n: F.last(c, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0 if own else -1)) for n, (c, own) in lasts.items()})
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumns({n: F.last(c, ignorenulls=True).over(upto if own else here.rowsBetween(Window.unboundedPreceding, -1)) for n, (c, own) in lasts.items()} | {n: F.count_if(c).over(upto) for n, c in counts.items()})
     met = found.join(carries, F.col("source_path").eqNullSafe(F.col("_file")) & F.col("_slot").eqNullSafe(F.col("_part")))
-    out = met.withColumns({n: F.coalesce(F.col(n), F.col(f"_from_{n}")) for n in lasts})
-    return out.drop("_slot", "_file", "_part", *[f"_from_{n}" for n in lasts])
+    out = met.withColumns({n: F.coalesce(F.col(n), F.col(f"_from_{n}")) for n in lasts} | {n: F.col(n) + F.coalesce(F.col(f"_from_{n}"), F.lit(0)) for n in counts})
+    return out.drop("_slot", "_file", "_part", *[f"_from_{n}" for n in (*lasts, *counts)])
 
 
 def skip_bulk(lines: DataFrame) -> DataFrame:
@@ -191,15 +193,15 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]+?)(?:\.[^./\\]+)?$", 1)
 
 
-def fill_from_file(rows: DataFrame, lasts: dict[str, tuple[str, bool]] | None = None, slot_lines: int = SLOT_LINES) -> DataFrame:
-    """own_model, model and session_id of rows with _model, _session and _context, and more lasts of in_slots().
+def fill_from_file(rows: DataFrame, lasts: dict[str, tuple[str, bool]] | None = None, counts: dict[str, Column] | None = None, slot_lines: int = SLOT_LINES) -> DataFrame:
+    """own_model, model and session_id of rows with _model, _session and _context, and more lasts and counts of in_slots().
 
     own_model is the row's model, else the last one before it in its file; model
     is that, else the file's only one; session_id is the row's, else the last
     context's before it, else the file's base name.
     """
     named = {"own_model": ("_model", True), "_last_context": ("_context", True)}
-    found = in_slots(rows, named | (lasts or {}), {"_min_model": F.min("_model"), "_max_model": F.max("_model")}, slot_lines)
+    found = in_slots(rows, named | (lasts or {}), {"_min_model": F.min("_model"), "_max_model": F.max("_model")}, counts, slot_lines)
     only = F.when(F.col("_min_model") == F.col("_max_model"), F.col("_min_model"))
     found = found.withColumns({"model": F.coalesce("own_model", only), "session_id": F.coalesce("_session", "_last_context", base_name(F.col("source_path")))})
     return found.drop("_min_model", "_max_model", "_last_context")
@@ -219,13 +221,14 @@ def ingest_generic(rows: DataFrame, provider: str, read_at: Column | None = None
         V.first_string(r, ALIASES["session"]).alias("_session"), _session_context(r).alias("_context"), V.string(r["provider"]).alias("_provider"), *[c.alias(k) for k, c in normalise_times(r).items()],
     )
     flat = _with_times(flat, read_at if read_at is not None else F.current_timestamp())
-    kept = fill_from_file(flat).where(has_usage(F.col("tokens"), F.col("imported_cost")))
-    kept = kept.withColumn("provider", F.lit(provider))
+    used = has_usage(F.col("tokens"), F.col("imported_cost"))
+    kept = fill_from_file(flat, counts={"_records": used}).where(used)
+    kept = kept.withColumns({"provider": F.lit(provider), "seq": F.col("_records") - 1})
     other = F.col("_provider").isin("claude", "codex", "pi", "grok") & (F.col("_provider") != provider)
     bare = F.greatest(*[F.coalesce(F.col(f"tokens.{t}"), F.lit(0)) for t in TOKENS]) == 0
     found = F.array_compact(F.array(F.when(other, F.lit("provider_mismatch")), F.when(bare, F.lit("missing_tokens"))))
     issues = kept.select(F.lit("warning").alias("severity"), F.explode(found).alias("code"), "source_path", "line_no", "provider")
-    return as_records(numbered(kept)), as_issues(issues.withColumn("message", F.col("code")))
+    return as_records(kept), as_issues(issues.withColumn("message", F.col("code")))
 
 
 def numbered(records: DataFrame, slot_lines: int = SLOT_LINES) -> DataFrame:

@@ -133,9 +133,9 @@ def oracle_sql() -> dict[str, str]:
         "turn_issues": f"""WITH e AS (SELECT event_id AS i, user_id, 'root/s' || user_id || '/updates.jsonl' AS source_path, {k} AS k FROM events)
             SELECT 'error' AS severity, 'malformed_jsonl' AS code, source_path, i AS line_no, CAST(NULL AS BIGINT) AS n FROM e WHERE i % 10 = 0
             UNION ALL SELECT 'warning', 'token_convention_changed', source_path, NULL, CAST(sum(2) AS BIGINT) FROM e WHERE i % 10 <> 0 AND i % 9 <> 0 AND i % 4 = 0 GROUP BY source_path""",
-        "clock_changes": f"""WITH o AS (SELECT CAST(o_orderdate AS TIMESTAMP) + to_minutes(o_orderkey % 1440) AS ts FROM orders), l AS (SELECT ts, {local} AS at FROM o)
-            SELECT strftime(at, '%Y-%m-%dT%H') || CASE WHEN at - ts = to_hours(-4) THEN '-04:00' ELSE '-05:00' END AS bucket, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_s, strftime(at, '%Y-%m-%d') AS day,
-              CAST(epoch(timezone('{_ZONE}', date_trunc('day', at))) AS BIGINT) AS day_s, count(*) AS orders FROM l GROUP BY ALL""",
+        "clock_changes": f"""WITH o AS (SELECT CAST(o_orderdate AS TIMESTAMP) + to_minutes(o_orderkey % 1440) AS ts FROM orders), l AS (SELECT ts, {local} AS here FROM o)
+            SELECT strftime(here, '%Y-%m-%dT%H') || CASE WHEN here - ts = to_hours(-4) THEN '-04:00' ELSE '-05:00' END AS bucket, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_s, strftime(here, '%Y-%m-%d') AS day,
+              CAST(epoch(timezone('{_ZONE}', date_trunc('day', here))) AS BIGINT) AS day_s, count(*) AS orders FROM l GROUP BY ALL""",
         "refresh_intervals": "SELECT s_suppkey, CAST(least(greatest(s_suppkey * 977, 30), 86400) AS BIGINT) AS seconds FROM supplier",
         "catalog_problems": """WITH d AS (SELECT DISTINCT p_partkey // 10 AS d FROM part)
             SELECT 'c' || d || '.json' AS file, 'checked_at is missing' AS problem FROM d WHERE d % 5 = 0 OR d % 7 = 0 UNION ALL SELECT 'c' || d || '.json', 'source_urls are missing' FROM d WHERE d % 3 = 0 OR d % 4 = 0

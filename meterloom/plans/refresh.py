@@ -25,7 +25,7 @@ from ..schema import ISSUE_SCHEMA
 from ..sources import files, lines, store
 
 #: Entries of another version are read anew.
-PARSER_VERSION = "2"
+PARSER_VERSION = "1.1"
 ACTIONS_SCHEMA = "path string, name string, size bigint, modified_at timestamp, skip_reason string, fingerprint string, action string, provider string, source_path string"
 
 
@@ -114,13 +114,13 @@ def ingest_files(spark: SparkSession, provider: str, found: DataFrame, read_at:
         rows, bad = ingest.parse_rows(text)
         records, more = ingest.ingest_generic(rows, provider, read_at)
         issues = bad.unionByName(more)
-    rows, broken = lines.scan_json_docs(spark, documents)
-    whole, more = ingest.ingest_generic(ingest.rows_of(rows), provider, read_at)
-    no_json = broken.select("source_path", F.lit("error").alias("severity"), F.lit("malformed_json").alias("code"), F.lit("document is not valid JSON").alias("message"))
-    read = text.select("source_path").union(rows.select("source_path")).union(broken)
-    read = (read if tables is None else read.union(tables)).distinct()
-    issues = quality.all_issues(issues, more, no_json).withColumn("provider", F.coalesce("provider", F.lit(provider)))
-    return records.unionByName(whole), issues, read
+    read = text.select("source_path") if tables is None else text.select("source_path").union(tables)
+    if not documents.isEmpty():
+        rows, broken = lines.scan_json_docs(spark, documents)
+        whole, more = ingest.ingest_generic(ingest.rows_of(rows), provider, read_at)
+        no_json = broken.select("source_path", F.lit("error").alias("severity"), F.lit("malformed_json").alias("code"), F.lit("document is not valid JSON").alias("message"))
+        records, issues, read = records.unionByName(whole), quality.all_issues(issues, more, no_json), read.union(rows.select("source_path")).union(broken)
+    return records, issues.withColumn("provider", F.coalesce("provider", F.lit(provider))), read.distinct()
 
 
 def _event_tables(spark: SparkSession, found: DataFrame, provider: str) -> tuple[DataFrame, DataFrame, DataFrame]:
