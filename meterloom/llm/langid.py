@@ -27,6 +27,8 @@ from .shared import fresh, release, releasing
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
 #: Documents sampled for each language on average, and at most; centroids for each language.
 SAMPLE, MOST, CLUSTERS = 500, 1000, 4
+#: Languages that are learned at most, those with most documents first.
+LANGUAGES = 1000
 #: Length classes: texts of 2**k letters and more, up to the last k.
 CLASSES = 13
 #: This share of the low quantile of cosines still lies inside; a quantile is taken of so many cosines at least.
@@ -147,7 +149,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """Learns from rows with text and lang; rows where one is null or the text has no letter are left out.
 
     About `sample` rows of each language, chosen by a hash of the row and never
-    more than twice as many, are clustered; repeated texts count once there.
+    more than twice as many, are clustered; repeated texts count once there. Of
+    labels, the LANGUAGES with most rows are learned. The sample is put in order
+    before it is used, so equal rows give an equal model however they are dealt.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(*[F.col(c) for c in labelled.columns]).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
 
@@ -172,15 +176,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         else:
             df[r.bucket] = r.n
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES)), idf)
     share = F.create_map(*[x for lang, size in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / size)))])
-    picked = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text").distinct()
+    picked = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text").distinct().withColumn("h", F.xxhash64("text"))
     most = 2 * sample
 
     def cluster(table: pa.Table) -> pa.Table:
-        texts = pc.utf8_lower(table.column("text").slice(0, most)).to_pylist()
+        table = table.sort_by([("h", "ascending"), ("text", "ascending")]).slice(0, most)
+        texts = pc.utf8_lower(table.column("text")).to_pylist()
         pairs = [(t, x) for t, x in zip(texts, map(buckets_of, texts)) if x is not None]
         texts, found = [t for t, _ in pairs], [x for _, x in pairs]
         schema = pa.schema([("lang", pa.string()), ("center", pa.binary()), ("radii", pa.list_(pa.float64()))])

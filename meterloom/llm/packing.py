@@ -3,7 +3,9 @@
 Documents stand in ascending id order as one stream of ids. A sequence is a
 window of the stream, so the task is to choose the cuts. A cut is dear inside a
 sentence, cheaper at a sentence's end and free at a document's end; padding
-costs one for each id. A sequence whose length is a power of two is not padded.
+costs one for each id. A sequence whose length is a power of two is not padded;
+its room to the window costs an eighth of an id each, so that short sequences
+are not free.
 With P[j] the place of boundary j, the least cost of a stream cut at j is
 
     f[j] = min over i with P[j] - P[i] <= W of f[i] + (W - (P[j] - P[i])) + penalty[j]
@@ -30,6 +32,8 @@ from .word_encoder import word_encoder
 
 #: What a cut costs, in ids of padding.
 SENTENCE_CUT, WORD_CUT = 8, 64
+#: So many ids of room in a short sequence cost as much as one id of padding.
+ROOM = 8
 #: Inside long sentences a boundary is offered every so many ids.
 STRIDE = 64
 #: Boundaries inside a document that are nearer than this to the last one are left out.
@@ -40,10 +44,11 @@ _TYPE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_token
 _NAMES = [x.split()[0] for x in _TYPE.split(", ")]
 
 
-def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
+def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int, room: int | None = None) -> list[int]:
     """Indices of the boundaries at which the best windows end; the first boundary is the stream's begin.
 
-    Neighbouring places must be at most `window` apart.
+    Neighbouring places must be at most `window` apart. With room, a sequence of
+    a power of two costs an id for each so many that it is short of the window.
     """
     p, pen = places.tolist(), penalties.tolist()
     exact: dict[int, list[tuple[int, int]]] = {}
@@ -60,8 +65,9 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[
         back[j] = queue[0]
         cost = g[queue[0]] + window + pen[j]
         for i, size in exact.get(j, ()):
-            if g[i] + size + pen[j] < cost:
-                back[j], cost = i, g[i] + size + pen[j]
+            short = g[i] + size + pen[j] + ((window - size) // room if room else 0)
+            if short < cost:
+                back[j], cost = i, short
         g[j] = cost
         while queue and g[queue[-1]] >= cost:
             queue.pop()
@@ -112,7 +118,7 @@ class _Stream:
             return
         all_ends = np.concatenate(self.ends)
         places, penalties = boundaries([len(x[2]) for x in self.docs], all_ends, min(STRIDE, self.window))
-        cuts = places[choose_cuts(places, penalties, self.window)].tolist()
+        cuts = places[choose_cuts(places, penalties, self.window, ROOM)].tolist()
         if not last:
             cuts = cuts[:-2]
         at = k = inside = 0

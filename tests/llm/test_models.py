@@ -263,3 +263,19 @@ def test_op5_equals_library(spark, sf):
     assert sorted((r.doc_id is None, r.n_tokens) for r in bpe.round_trip_digests(docs, BYTE).collect()) == [(False, 2), (False, 2), (True, 0)]
     back = bpe.decode_ids(bpe.encode_texts(docs, BYTE), BYTE).collect()
     assert sorted(r.text for r in back) == ["", "a b", "a b"] and bpe.round_trip_digests(docs.limit(0), BYTE).count() == 0
+
+
+def test_langid_is_the_same_however_rows_are_dealt(spark):
+    """Fitted and asked under two shuffle settings and orders of rows, all columns are equal."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, rows in (("3", docs), ("7", docs.repartition(5).orderBy(F.desc("doc_id")))):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = langid.fit(rows)
+            got.append((model, sorted(map(tuple, langid.predict(docs.select("doc_id", "text"), model).drop("text").collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    (a, first), (b, second) = got
+    assert a.languages == b.languages and (a.centroids == b.centroids).all() and (a.radii == b.radii).all()
+    assert first == second

@@ -164,3 +164,28 @@ def test_very_long_texts_through_the_queries(spark, monkeypatch):
     for p in pieces:
         if p.doc_id == 2:
             assert p.ids_crc32 == crc(whole[p.start : p.start + p.length]) and p.doc_tokens == len(whole)
+
+
+def test_room_has_a_price():
+    """Short sequences are taken only where a cut at the window's end costs more than their room."""
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        n, window, room = int(rng.integers(1, 40)), 32, 4
+        places = np.concatenate(([0], np.cumsum(rng.integers(1, 9, n))))
+        pen = np.concatenate(([0], rng.integers(0, 12, n)))
+        price = lambda size: (window - size) // room if size & (size - 1) == 0 else window - size
+        best = [0] + [None] * n
+        for j in range(1, n + 1):
+            best[j] = min(best[i] + price(places[j] - places[i]) + pen[j] for i in range(j) if places[j] - places[i] <= window)
+        cuts = [0, *packing.choose_cuts(places, pen, window, room)]
+        assert sum(price(places[b] - places[a]) + pen[b] for a, b in zip(cuts, cuts[1:])) == best[n]
+
+
+def test_few_sequences_and_little_padding(spark, sf):
+    rows = queries.op8_packing(spark, sf).collect()
+    sizes = defaultdict(int)
+    padded = {r.sequence_id: r.padded for r in rows}
+    for r in rows:
+        sizes[r.sequence_id] += r.length
+    ids = sum(sizes.values())
+    assert sum(padded.values()) - ids < 0.02 * ids and len(sizes) <= 1.02 * ids / 2048 + 8
