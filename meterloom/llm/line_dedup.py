@@ -25,6 +25,8 @@ from .shared import ASCII_SPACE, fresh, releasing, written
 
 #: Distinct lines in a shard, and lines in a part of the documents, about.
 SHARD_KEYS, PART_LINES = 100_000, 50_000
+#: Parts that ask a shard in one task, and partitions that parts are dealt to, at most.
+ASKERS, MOST_PARTITIONS = 8192, 20_000
 _GAMMA = 2
 _KEY = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -158,8 +160,12 @@ def line_index(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int,
     return dealt.groupBy("shard").applyInArrow(_build_shard, _INDEX_TYPE), shards, total or 0
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, index: DataFrame, shards: int, part_col: str, text_col: str = "text") -> DataFrame:
-    """(part, hashes): the hashes, 16 bytes each, of the frequent lines that the documents of a part hold; several rows a part."""
+def frequent_lines(docs: DataFrame, min_docs: int, index: DataFrame, shards: int, part_col: str, text_col: str = "text", parts: int = 1) -> DataFrame:
+    """(part, hashes): the hashes, 16 bytes each, of the frequent lines that the documents of a part hold; several rows a part.
+
+    Each of the parts asks for each of its distinct lines. So many parts as
+    ASKERS meet a shard in one task; with more of them the shard is repeated.
+    """
 
     @releasing
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +189,9 @@ def frequent_lines(docs: DataFrame, min_docs: int, index: DataFrame, shards: int
         return pa.Table.from_arrays([pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in np.split(pair, first[1:])] if len(parts) else [], pa.binary())], schema=schema)
 
     asked = docs.select(F.col(part_col).alias("part"), F.col(text_col).alias("text")).mapInArrow(probes, "part int, a bigint, b bigint, shard int").distinct()
-    return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(answered, "part int, hashes binary")
+    asked = asked.withColumn("slice", F.floor(F.col("part") / ASKERS).cast("int"))
+    index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit((max(parts, 1) - 1) // ASKERS))))
+    return asked.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInArrow(answered, "part int, hashes binary")
 
 
 def _cut(text: str | None, frequent: set[bytes]) -> tuple[str, int, int]:
@@ -212,9 +220,10 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_
     part, hashes = fresh(docs, "_part"), fresh(docs, "_hashes")
     parts = max(16, math.ceil(total / PART_LINES))
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int"))
-    answers = frequent_lines(dealt, min_docs, index, shards, part, text_col).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema], F.col("part").alias(part), F.col("hashes").alias(hashes))
+    answers = frequent_lines(dealt, min_docs, index, shards, part, text_col, parts).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema], F.col("part").alias(part), F.col("hashes").alias(hashes))
     rows = dealt.withColumn(hashes, F.lit(None).cast("binary")).unionByName(answers)
-    rows = rows.repartition(parts, part).sortWithinPartitions(F.col(part), F.col(hashes).isNull())
+    # A partition holds several parts where there are very many.
+    rows = rows.repartition(min(parts, MOST_PARTITIONS), part).sortWithinPartitions(F.col(part), F.col(hashes).isNull())
     text_at, part_at = docs.columns.index(text_col), len(docs.columns)
     kept_at = [i for i in range(len(docs.columns)) if not (digest and i == text_at)]
     more = [fresh(docs, x) for x in ["_n_lines", "_n_dropped", *["_kept_sha256"] * digest]]

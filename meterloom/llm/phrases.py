@@ -26,6 +26,8 @@ from .shingles import mixed, word_hashes
 _LEAST, _EVERY, _MOST = 8, 8, 512
 #: Bytes of chunks that a task holds before it hands them on.
 _HELD = 4 << 20
+#: Bytes of chunks that are counted together.
+_TOGETHER = 3 << 20
 #: Bits of a filter of frequent phrases for each of them, and all bits at most.
 _BITS_EACH, _MOST_BITS = 16, 1 << 27
 _PIECE_ENDS = b".,;:!?\x0b\x0c\r"
@@ -106,6 +108,18 @@ def _passes(h: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
     return (table[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about size bytes each, so that more of equal phrases meet before they are shuffled."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def phrase_counts(chunks: DataFrame, n: int, shorter: tuple[int, bytes] | None = None) -> DataFrame:
     """lang, phrase, h, n: the phrases of n words and how often they occur; h is a hash of a phrase in its language.
 
@@ -119,7 +133,7 @@ def phrase_counts(chunks: DataFrame, n: int, shorter: tuple[int, bytes] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(sent.value, np.uint8) if sent else None
-        for batch in batches:
+        for batch in _together(batches, _TOGETHER):
             if batch.num_rows:
                 yield _count(batch, n, bits, table)
 

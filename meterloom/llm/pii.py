@@ -99,17 +99,18 @@ def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     # Places of one instance in one context are alike, so scoring sees them once, with their number.
     known = written(located.groupBy("context", "instance", "seed").agg(F.count("*").alias("n"), F.first("places").alias("places")), "pii-graph")
     scores = known.groupBy("instance").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("score"), F.max(F.col("seed").isNotNull()).alias("is_seed"), _most(F.col("seed")).alias("own"))
+    # Sums of fractions hang on the order of rows, so they are rounded before they are compared.
     for _ in range(ROUNDS):
         believed = known.join(scores, "instance")
         strong = F.when(F.col("score") >= TRUST, F.col("instance"))
         # A context without a seed has the kind of its believed instances.
         kind = F.coalesce(_most(F.col("seed")), _most(F.when(F.col("score") >= TRUST, F.col("own"))))
-        patterns = believed.groupBy("context").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.first("places").alias("places"), F.count_distinct(strong).alias("support"), kind.alias("kind"))
+        patterns = believed.groupBy("context").agg(F.round(F.sum(F.col("score") * F.col("n")), 6).alias("mass"), F.first("places").alias("places"), F.count_distinct(strong).alias("support"), kind.alias("kind"))
         patterns = written(patterns.where(F.col("support") >= SUPPORT).select("context", "kind", F.least(F.col("mass") / F.col("places"), F.lit(1.0)).alias("confidence")).where(F.col("confidence") >= TRUST), "pii-trusted")
         # Belief of an instance: one less the chance that all of its patterns are wrong, place by place.
         doubt = F.exp(F.sum(F.col("n") * F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))
         scores = believed.join(patterns, "context", "left").groupBy("instance").agg(F.max("is_seed").alias("is_seed"), F.max("own").alias("own"), F.max(F.struct("confidence", "kind"))["kind"].alias("kind"), doubt.alias("doubt"))
-        scores = scores.select("instance", "is_seed", F.when(F.col("is_seed"), F.col("own")).otherwise(F.col("kind")).alias("own"), F.when(F.col("is_seed"), F.lit(1.0)).otherwise(1 - F.col("doubt")).alias("score"))
+        scores = scores.select("instance", "is_seed", F.when(F.col("is_seed"), F.col("own")).otherwise(F.col("kind")).alias("own"), F.when(F.col("is_seed"), F.lit(1.0)).otherwise(F.round(1 - F.col("doubt"), 6)).alias("score"))
     added = located.where(~F.col("covered")).join(scores.where(F.col("score") >= TRUST), "instance").join(patterns.where("kind IS NOT NULL"), "context")
     return added.select("id", "h", "kind", "start", "end").distinct()
 

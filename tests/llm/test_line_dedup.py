@@ -84,3 +84,14 @@ def test_edge_cases(spark, monkeypatch):
     kept = {(r.doc_id, r.text) for r in out.collect()}
     assert {(1, None), (None, "own"), (7, ""), (10, ""), (9, "a b\u00a0"), (3, "\n\n")} <= kept
     assert line_dedup.drop_frequent_lines(docs.limit(0)).count() == 0
+
+
+def test_many_parts_share_a_shard_and_a_partition(spark, monkeypatch):
+    """More parts than meet a shard in one task, and than there are partitions."""
+    monkeypatch.setattr(line_dedup, "PART_LINES", 1)
+    monkeypatch.setattr(line_dedup, "ASKERS", 4)
+    monkeypatch.setattr(line_dedup, "MOST_PARTITIONS", 3)
+    texts = [f"common\nonly {i}\npair {i // 2}\n\nCOMMON " for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = line_dedup.drop_frequent_lines(docs, min_docs=3, digest=True)
+    assert sorted((r[1], r[2], r[3]) for r in out.collect()) == sorted(brute(texts, 3))
