@@ -32,7 +32,7 @@ LANGUAGES = 1000
 #: Length classes: texts of 2**k letters and more, up to the last k.
 CLASSES = 13
 #: This share of the low quantile of cosines still lies inside; a quantile is taken of so many cosines at least.
-LOW, INSIDE, LEAST = 0.05, 0.6, 10
+LOW, INSIDE, LEAST = 0.05, 0.5, 10
 UNKNOWN = "und"
 
 

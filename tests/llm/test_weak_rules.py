@@ -90,7 +90,7 @@ def test_op12_like_brute_force(spark, sf):
 
 def test_rules_as_stated(spark, sf):
     """Votes of texts that each break one rule."""
-    good = "\n".join(f"This line number{i} has some words in it, and it ends here." for i in range(8))
+    good = "\n".join(f"This{i} line{i} has{i} some{i} words{i} in{i} it, and{i} then{i} it{i} ends{i} here{i}." for i in range(8))
     bad = {
         "length": "Only a few words.",
         "symbols": good.replace(" ", " $$ "),
@@ -98,7 +98,7 @@ def test_rules_as_stated(spark, sf):
         "commonest": " ".join(["same"] * 30 + ["other"] * 9),
         "dup_lines": good + "\n" + good,
         "capitals": good.upper(),
-        "letters": good.replace(" has", " 12 34"),
+        "letters": good.replace(" has", " 12 34 56 78 "),
         "sentences": good.replace(".", ""),
         "word_length": " ".join(["x" * 40] * 9 + ["y"]),
     }
