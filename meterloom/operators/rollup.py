@@ -1,4 +1,9 @@
-"""Rollups of priced records. All share one set of aggregates, partial before the shuffle and final after it."""
+"""Rollups of priced records.
+
+Records are added up by session first, with one set of aggregates that can be
+added up again; every rollup is made of those rows, so none counts distinct
+sessions, and each kind of sum is stated once.
+"""
 
 from __future__ import annotations
 
@@ -21,12 +26,10 @@ def session_key() -> Column:
     return F.struct(F.col("provider"), F.coalesce("session_id", "source_path", F.lit("")).alias("session"), F.coalesce("model", F.lit(UNKNOWN)).alias("model"))
 
 
-def usage_aggs(sessions: bool = True) -> list[Column]:
+def usage_aggs() -> list[Column]:
     """The aggregates that every rollup shares; finish_costs() turns the last seven into the cost's columns."""
-    counted = [F.count_distinct(session_key()).alias("sessions")] if sessions else []
     return [
         F.count("*").alias("records"),
-        *counted,
         *[F.sum(f"tokens.{t}").alias(t) for t in TOKENS],
         F.count("cost.amount").alias("_costs"),
         F.min("cost.currency").alias("_c0"),
@@ -47,7 +50,13 @@ def partial_rollup(records: DataFrame, *keys: Column) -> DataFrame:
     rows = records.select("*", key["session"].alias("_session"), key["model"].alias("_name"), *keys)
     by = ["provider", "_session", "_name", *rows.columns[len(records.columns) + 2 :]]
     times = [F.min("started_at").alias("started_at"), F.max(F.coalesce("ended_at", "observed_at")).alias("ended_at"), F.max("model").alias("_model")]
-    return rows.groupBy(*by).agg(*usage_aggs(sessions=False), *times)
+    return rows.groupBy(*by).agg(*usage_aggs(), *times)
+
+
+def by_session(partials: DataFrame) -> DataFrame:
+    """Rows of partial_rollup() of several keys, one a session."""
+    times = [F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.max("_model").alias("_model")]
+    return partials.groupBy("provider", "_session", "_name").agg(*added_up(sessions=False), *times)
 
 
 def added_up(sessions: bool = True) -> list[Column]:
@@ -86,7 +95,13 @@ def _named(model: Column) -> Column:
 
 def totals(records: DataFrame) -> DataFrame:
     """One row, of zeros and nulls for no record."""
-    return finish_costs(records.agg(*usage_aggs(), F.count_distinct(_named(F.col("model"))).alias("active_models")))
+    return totals_of(partial_rollup(records))
+
+
+def totals_of(found: DataFrame) -> DataFrame:
+    """totals() from rows by session."""
+    active = F.count_distinct(_named(F.col("_model"))).alias("active_models")
+    return finish_costs(found.agg(*added_up(), active).withColumn("records", F.coalesce("records", F.lit(0))))
 
 
 def all_providers(found: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
@@ -98,13 +113,23 @@ def all_providers(found: DataFrame, providers: Sequence[str] = PROVIDERS) -> Dat
 
 def provider_split(records: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
     """All providers in their order, those without records with zeros."""
-    return all_providers(finish_costs(records.groupBy("provider").agg(*usage_aggs())), providers)
+    return provider_split_of(partial_rollup(records), providers)
+
+
+def provider_split_of(found: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
+    """provider_split() from rows by session."""
+    return all_providers(finish_costs(found.groupBy("provider").agg(*added_up())), providers)
 
 
 def model_split(records: DataFrame) -> DataFrame:
     """By provider and model, most records first, then by name."""
-    by = records.withColumn("model", F.coalesce("model", F.lit(UNKNOWN)))
-    return finish_costs(by.groupBy("provider", "model").agg(*usage_aggs())).orderBy(F.desc("records"), "provider", "model")
+    return model_split_of(partial_rollup(records))
+
+
+def model_split_of(found: DataFrame) -> DataFrame:
+    """model_split() from rows by session."""
+    named = found.withColumn("model", F.col("_name"))
+    return finish_costs(named.groupBy("provider", "model").agg(*added_up())).orderBy(F.desc("records"), "provider", "model")
 
 
 def buckets_of(kind: str, zone: str, ts: Column | None = None) -> list[Column]:
@@ -121,17 +146,23 @@ def buckets(span: TimeRange, granularity: str | None = None) -> list[Column]:
 
 def trend(records: DataFrame, span: TimeRange, granularity: str | None = None) -> DataFrame:
     """By local hour or day, buckets with records only, in order of time."""
-    rows = records.select("*", *buckets(span, granularity))
-    return finish_costs(rows.groupBy("bucket", "bucket_start").agg(*usage_aggs())).orderBy("bucket_start")
+    return trend_of(partial_rollup(records, *buckets(span, granularity)))
+
+
+def trend_of(found: DataFrame) -> DataFrame:
+    """trend() from rows by session and bucket."""
+    return finish_costs(found.groupBy("bucket", "bucket_start").agg(*added_up())).orderBy("bucket_start")
 
 
 def sessions(records: DataFrame) -> DataFrame:
     """By session, newest first, those without a start last."""
-    key = session_key()
-    rows = records.select("*", key["session"].alias("session"), key["model"].alias("_model"))
-    last = F.coalesce("ended_at", "observed_at")
-    found = rows.groupBy("provider", "session", "_model").agg(*usage_aggs(sessions=False), F.min("started_at").alias("started_at"), F.max(last).alias("ended_at"))
-    return finish_costs(found).withColumnRenamed("_model", "model").orderBy(F.desc_nulls_last("started_at"), "provider", "session", "model")
+    return sessions_of(partial_rollup(records))
+
+
+def sessions_of(found: DataFrame) -> DataFrame:
+    """sessions() from rows by session."""
+    named = found.drop("_model").withColumnsRenamed({"_session": "session", "_name": "model"})
+    return finish_costs(named).orderBy(F.desc_nulls_last("started_at"), "provider", "session", "model")
 
 
 def cost_by_currency(split: DataFrame) -> DataFrame:

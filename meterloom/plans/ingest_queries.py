@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, quality
 from ..schema import TOKENS
 from ..sources import store
+from ..sources.shared import new_path
 from ..streaming import deltas
 from . import demo, usage_queries
 
@@ -165,14 +164,7 @@ def pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store_path(spark: SparkSession) -> str:
-    """A new place in the folder that driver and executors share; a temporary one where all run on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return new_path(spark, "store")
 
 
 def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:

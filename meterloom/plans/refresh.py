@@ -31,11 +31,12 @@ ACTIONS_SCHEMA = "path string, name string, size bigint, modified_at timestamp,
 
 @dataclass(frozen=True)
 class Root:
-    """A folder with logs of one provider. Names are matched by name_filter, else by the provider's rule."""
+    """A folder with logs of one provider. Names are matched by name_filter, else by the provider's rule. With by_tasks its folders are listed by tasks."""
 
     provider: str
     path: str
     name_filter: str | None = None
+    by_tasks: bool = False
 
 
 @dataclass
@@ -88,9 +89,10 @@ def list_root(spark: SparkSession, root: Root) -> DataFrame:
     Of turn logs these are without those of child sessions, whose usage their
     parents count, and of a folder that holds an event table that table alone.
     """
+    listing = files.list_tree if root.by_tasks else files.list_files
     if root.provider != "grok" or root.name_filter:
-        return files.list_files(spark, root.path, root.name_filter or files.NAME_RULES[root.provider])
-    every = files.list_files(spark, root.path, "")
+        return listing(spark, root.path, root.name_filter or files.NAME_RULES[root.provider])
+    every = listing(spark, root.path, "")
     logs = files.turn_log_files(every)
     folders = files.child_folders(every, logs)
     told = ingest.child_sessions(lines.whole_texts(spark, every.join(folders.where("meta IS NOT NULL").select(F.col("meta").alias("path")), "path", "left_semi")))

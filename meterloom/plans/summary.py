@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.timez import TimeRange
 from ..operators import filters, pricing, quality, rollup
@@ -48,13 +47,5 @@ def rollups_of(partials: DataFrame, priced: DataFrame | None = None, issues: Dat
     Rows of by_session are sessions, so no rollup counts distinct ones.
     """
     by_bucket = partials.persist(StorageLevel.MEMORY_AND_DISK)
-    times = [F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.max("_model").alias("_model")]
-    by_session = by_bucket.groupBy("provider", "_session", "_name").agg(*rollup.added_up(sessions=False), *times).persist(StorageLevel.MEMORY_AND_DISK)
-    trend = rollup.finish_costs(by_bucket.groupBy("bucket", "bucket_start").agg(*rollup.added_up())).orderBy("bucket_start")
-    named = by_session.withColumnRenamed("_session", "session").withColumnRenamed("_name", "model")
-    models = rollup.finish_costs(named.groupBy("provider", "model").agg(*rollup.added_up())).orderBy(F.desc("records"), "provider", "model")
-    providers = rollup.all_providers(rollup.finish_costs(named.groupBy("provider").agg(*rollup.added_up())))
-    active = F.count_distinct(F.when(F.trim("_model") != "", F.col("_model"))).alias("active_models")
-    totals = rollup.finish_costs(by_session.agg(*rollup.added_up(), active)).withColumn("records", F.coalesce("records", F.lit(0)))
-    sessions = rollup.finish_costs(named.drop("_model")).orderBy(F.desc_nulls_last("started_at"), "provider", "session", "model")
-    return Summary(priced, by_bucket, by_session, totals, providers, models, trend, sessions, issues)
+    by_session = rollup.by_session(by_bucket).persist(StorageLevel.MEMORY_AND_DISK)
+    return Summary(priced, by_bucket, by_session, rollup.totals_of(by_session), rollup.provider_split_of(by_session), rollup.model_split_of(by_session), rollup.trend_of(by_bucket), rollup.sessions_of(by_session), issues)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import folders_above
 from ..functions.timez import TimeRange, literal
 from ..operators.filters import spans_overlap
+from .shared import new_path, opened
 
 FILES_SCHEMA = "path string, name string, size bigint, modified_at timestamp"
 #: Files of an event table: a folder of Parquet files called session.db.
@@ -37,6 +40,42 @@ def list_files(spark: SparkSession, root: str, name_filter: str = NAME_RULES["cl
     return files.where(F.col("name").rlike(name_filter)).select("path", "name", "size", F.timestamp_millis("ms").alias("modified_at"))
 
 
+_LISTED = "path string, name string, size bigint, ms bigint, folder boolean"
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands in folders; one that is missing or can't be read holds nothing."""
+    import pyarrow.fs as pafs
+
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            fs, local = opened(folder)
+            try:
+                found = fs.get_file_info(pafs.FileSelector(local, allow_not_found=True))
+            except OSError:
+                continue
+            rows = [{"path": f"{folder}/{f.base_name}", "name": f.base_name, "size": f.size, "ms": f.mtime_ns and f.mtime_ns // 1_000_000, "folder": f.type == pafs.FileType.Directory} for f in found]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("ms", pa.int64()), ("folder", pa.bool_())]))
+
+
+def list_tree(spark: SparkSession, root: str, name_filter: str = NAME_RULES["claude"]) -> DataFrame:
+    """What list_files() gives, listed by tasks, level by level of folders, for roots of very many files.
+
+    Each level is a table in the shared folder, so no list comes to the driver.
+    root must be of a file system that pyarrow reaches from the tasks.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, level, depth = new_path(spark, "listing"), spark.createDataFrame([(fs.makeQualified(path).toString(),)], "path string"), 0
+    while not level.isEmpty():
+        # Folders are dealt anew, as one may hold most of a level's.
+        level.repartition("path").mapInArrow(_listed, _LISTED).write.parquet(f"{base}/{depth}")
+        level = spark.read.schema(_LISTED).parquet(f"{base}/{depth}").where("folder").select("path")
+        depth += 1
+    rows = spark.read.schema(_LISTED).parquet(*[f"{base}/{i}" for i in range(depth)]).where("NOT folder")
+    return rows.where(F.col("name").rlike(name_filter)).select("path", "name", "size", F.timestamp_millis("ms").alias("modified_at"))
+
+
 def of_event_table() -> Column:
     """Whether a file is an event table or a part of one; neither is text."""
     return F.col("path").rlike(EVENT_PART) | (F.col("name") == "session.db")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.variants import is_object
+from .shared import opened
 
 LINES_SCHEMA = "source_path string, line_no bigint, value string"
 #: Bytes of a part of a hidden file, which one task reads; lines that are handed on at once.
@@ -28,16 +29,10 @@ def _parts(files: DataFrame, range_bytes: int) -> DataFrame:
     return parts.repartition("path", "start")
 
 
-def _opened(path: str):
-    import pyarrow.fs as pafs
-
-    return pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
-
-
 def _lines_in(path: str, start: int, end: int, whole: bool) -> Iterator[str]:
     """The lines that begin in a part of a file, as far as they go. A file that can't be read gives none."""
     try:
-        fs, local = _opened(path)
+        fs, local = opened(path)
         with fs.open_input_stream(local) if whole else fs.open_input_file(local) as raw, io.BufferedReader(raw, 1 << 20) as f:
             if start:
                 f.seek(start - 1)
@@ -116,7 +111,7 @@ def whole_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 try:
-                    fs, local = _opened(path)
+                    fs, local = opened(path)
                     with fs.open_input_stream(local) as f:
                         text = f.read().decode("utf-8", "replace")
                 except (OSError, EOFError, ValueError):

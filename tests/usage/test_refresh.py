@@ -62,6 +62,39 @@ def test_refreshes(spark, tmp_path):
     assert refresh(spark, roots, path, other, version="2").records.count() == 0
 
 
+def test_turn_roots(spark, tmp_path):
+    """Child sessions go, an event table's folder is read alone, and nothing is left behind."""
+    sessions, table, path = tmp_path / "sessions", tmp_path / "table", f"file://{tmp_path}/store"
+    turn = lambda n: {"timestamp": 1777600000, "params": {"update": {"sessionUpdate": "turn_completed", "usage": {"modelUsage": {"grok-core": {"inputTokens": n, "outputTokens": 1, "totalTokens": n + 1}}}}}}
+    for name, n in (("p", 10), ("named", 20), ("bare", 30), ("other", 40)):
+        log(sessions / f"cwd/{name}/updates.jsonl", turn(n))
+    (sessions / "cwd/p/subagents/x").mkdir(parents=True)
+    (sessions / "cwd/p/subagents/x/meta.json").write_text(json.dumps({"child_session_id": "named"}, indent=2))
+    log(sessions / "cwd/p/subagents/bare/notes.txt", {})
+    log(table / "updates.jsonl", turn(50))
+    events = [("e1", "s", "grok-core", "2026-05-01T00:00:00Z", None, 60, 1, 0, 0), ("e2", "s", "grok-core", "soon", None, 70, 1, 0, 0)]
+    columns = ", ".join(f"{c} {'bigint' if c.endswith('tokens') else 'string'}" for c in ingest.EVENT_COLUMNS)
+    spark.createDataFrame(events, columns).coalesce(1).write.parquet(f"file://{table}/session.db")
+    roots = [Root("grok", f"file://{sessions}"), Root("grok", f"file://{table}", by_tasks=True)]
+    for _ in range(2):
+        done = refresh(spark, roots, path, SPAN)
+        assert inputs(done) == [10, 40, 60]
+    assert done.status.first().status == "warm"
+    assert {p.name for p in (tmp_path / "store").iterdir()} == {"records", "manifest", "actions", "issues"}
+    # A database file of that name is no text: its rows are not read, and it is tried again.
+    for f in (table / "session.db").iterdir():
+        f.unlink()
+    (table / "session.db").rmdir()
+    (table / "session.db").write_bytes(b"SQLite format 3\0")
+    done = refresh(spark, roots, path, SPAN)
+    assert inputs(done) == [10, 40] and [r.code for r in done.issues.collect()] == ["file_unreadable"]
+
+
+def test_no_roots(spark, tmp_path):
+    done = refresh(spark, [], f"file://{tmp_path}/store", SPAN)
+    assert done.records.count() == done.actions.count() == done.issues.count() == 0 and done.status.count() == 1
+
+
 def test_unreadable_files_keep_their_rows(spark, tmp_path):
     import gzip
 

@@ -111,6 +111,15 @@ def test_hidden_files_by_parts(spark, tmp_path):
     assert lines._parts(found, 1000).count() > 100
 
 
+def test_listing_by_tasks(spark, tmp_path):
+    for name in ("a.jsonl", "x/b.jsonl", "x/y/_c.jsonl", "x/y/.d/e f%20.jsonl", "x/n.txt", "é/g.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    for root, rule in ((f"file://{tmp_path}", files.NAME_RULES["claude"]), (f"file://{tmp_path}/", ""), (f"file://{tmp_path}/none", "")):
+        one, other = (sorted(map(tuple, f(spark, root, rule).collect())) for f in (files.list_files, files.list_tree))
+        assert one == other and len(one) == {files.NAME_RULES["claude"]: 5, "": 6 if "none" not in root else 0}[rule]
+
+
 def test_hidden_documents(spark, tmp_path):
     (tmp_path / "_x.json").write_text(json.dumps({"records": [{"model": "m", "tokens": {"input": 3}}]}, indent=1))
     (tmp_path / ".y.json").write_text("no json")
