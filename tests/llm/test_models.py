@@ -279,3 +279,20 @@ def test_langid_is_the_same_however_rows_are_dealt(spark):
     (a, first), (b, second) = got
     assert a.languages == b.languages and (a.centroids == b.centroids).all() and (a.radii == b.radii).all()
     assert first == second
+
+
+def test_op10_like_the_trees_one_by_one(spark, sf):
+    """Findings are the candidates for which the trees' own shares, asked one by one and averaged here, reach the threshold."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    rows = secrets._candidates(docs, "text", "source")
+    scanner = secrets.train(secrets.labelled_findings(spark), secrets.count_words(docs))
+    asked = secrets.with_features(rows, scanner.corpus).select("row.doc_id", "start", "end", "features").collect()
+    trees, shares = scanner.model.trees, {}
+    want = set()
+    for r in asked:
+        if r.features not in shares:
+            shares[r.features] = float(np.mean([tree.predictProbability(r.features)[1] for tree in trees]))
+        if round(shares[r.features], 6) >= secrets.THRESHOLD:
+            want.add((r.doc_id, r.start, r.end))
+    got = {(r.doc_id, r.start, r.end) for r in queries.op10_secrets(spark, sf).collect()}
+    assert len(asked) > len(want) and got == want and want
