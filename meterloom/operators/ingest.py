@@ -8,6 +8,8 @@ slots before by a carry of each slot. So one huge file is the work of many tasks
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,7 @@ def in_slots(rows: DataFrame, lasts: dict[str, tuple[str, bool]], wholes: dict[s
     counts has conditions, whose rows are counted up to each row and with it.
     A slot folds into one row of its last values; these are gone through file
     by file and given to the slots that follow. Rows are dealt by slot once.
+    Rows without a path or number have nothing before them but in their slot.
     """
     wholes, counts = wholes or {}, counts or {}
     slot = F.floor(F.col("line_no") / slot_lines).cast("bigint")
@@ -98,7 +101,8 @@ def in_slots(rows: DataFrame, lasts: dict[str, tuple[str, bool]], wholes: dict[s
     here = Window.partitionBy("source_path", "_slot").orderBy("line_no")
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     found = dealt.withColumns({n: F.last(c, ignorenulls=True).over(upto if own else here.rowsBetween(Window.unboundedPreceding, -1)) for n, (c, own) in lasts.items()} | {n: F.count_if(c).over(upto) for n, c in counts.items()})
-    met = found.join(carries, F.col("source_path").eqNullSafe(F.col("_file")) & F.col("_slot").eqNullSafe(F.col("_part")))
+    # By the keys that rows are dealt by, so they stay where they are.
+    met = found.join(carries, (F.col("source_path") == F.col("_file")) & (F.col("_slot") == F.col("_part")), "left")
     out = met.withColumns({n: F.coalesce(F.col(n), F.col(f"_from_{n}")) for n in lasts} | {n: F.col(n) + F.coalesce(F.col(f"_from_{n}"), F.lit(0)) for n in counts})
     return out.drop("_slot", "_file", "_part", *[f"_from_{n}" for n in (*lasts, *counts)])
 
@@ -212,15 +216,19 @@ def _session_context(r: Column) -> Column:
     return F.coalesce(header, V.first_string(r, ALIASES["context"]))
 
 
-def ingest_generic(rows: DataFrame, provider: str, read_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records and issues of parsed rows that carry their own usage."""
+def ingest_generic(rows: DataFrame, provider: str, read_at: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Records and issues of parsed rows that carry their own usage.
+
+    cut gets the rows once they are parsed and reduced to a few columns; a caller
+    may write them there, so that nothing is parsed again for what follows.
+    """
     r = F.col("r")
     flat = held(
         rows.select("*", token_source(r).alias("_source")),
         "source_path", "line_no", normalise_tokens(F.col("_source")).alias("tokens"), imported_cost(r, F.col("r2")).alias("imported_cost"), V.first_string(r, ALIASES["model"]).alias("_model"),
         V.first_string(r, ALIASES["session"]).alias("_session"), _session_context(r).alias("_context"), V.string(r["provider"]).alias("_provider"), *[c.alias(k) for k, c in normalise_times(r).items()],
     )
-    flat = _with_times(flat, read_at if read_at is not None else F.current_timestamp())
+    flat = cut(_with_times(flat, read_at if read_at is not None else F.current_timestamp()))
     used = has_usage(F.col("tokens"), F.col("imported_cost"))
     kept = fill_from_file(flat, counts={"_records": used}).where(used)
     kept = kept.withColumns({"provider": F.lit(provider), "seq": F.col("_records") - 1})
@@ -290,10 +298,10 @@ def counter_usage(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.when(used.isNotNull(), split_cached_input(used))).drop("_before")
 
 
-def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records and issues of logs whose counters run up."""
+def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Records and issues of logs whose counters run up. cut is as in ingest_generic()."""
     parsed, issues = parse_rows(skip_bulk(lines), recover=True)
-    rows = counter_usage(fill_from_file(counter_rows(parsed), TOTALS_BEFORE))
+    rows = counter_usage(fill_from_file(cut(counter_rows(parsed)), TOTALS_BEFORE))
     missing = rows.where("_empty").select(F.lit("warning").alias("severity"), F.lit("missing_tokens").alias("code"), F.lit("token count without usage").alias("message"), "source_path", "line_no", F.lit(provider).alias("provider"))
     kept = rows.where(F.col("tokens").isNotNull() & has_usage(F.col("tokens"), F.lit(None)))
     kept = kept.withColumn("provider", F.lit(provider)).withColumn("observed_at", F.coalesce("observed_at", read_at if read_at is not None else F.current_timestamp()))
@@ -371,7 +379,7 @@ def session_events_to_records(table: DataFrame, provider: str = "grok") -> tuple
 
 
 def numbered_in_slots(rows: DataFrame, key: str, slot: Column, order: list[str]) -> DataFrame:
-    """seq: each row's ordinal, from 0, among those of its key; slot rises with the order.
+    """seq: each row's ordinal, from 0, among those of its key; slot rises with the order. Neither may be null.
 
     One key may hold most rows, so rows are numbered within slots, and moved on
     by the counts of the slots before, of which there are few.
@@ -381,8 +389,8 @@ def numbered_in_slots(rows: DataFrame, key: str, slot: Column, order: list[str])
     before = Window.partitionBy("_key").orderBy("_other").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(F.col(key).alias("_key"), F.col("_slot").alias("_other")).agg(F.count("*").alias("_n"))
     counts = counts.select("_key", "_other", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    found = dealt.withColumn("_own", own).join(counts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_other")))
-    return found.withColumn("seq", (F.col("_own") + F.col("_before") - 1).cast("bigint")).drop("_slot", "_own", "_key", "_other", "_before")
+    found = dealt.withColumn("_own", own).join(counts, (F.col(key) == F.col("_key")) & (F.col("_slot") == F.col("_other")), "left")
+    return found.withColumn("seq", (F.col("_own") + F.coalesce("_before", F.lit(0)) - 1).cast("bigint")).drop("_slot", "_own", "_key", "_other", "_before")
 
 
 def source_issues(files: DataFrame, lines: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:

@@ -101,25 +101,29 @@ def list_root(spark: SparkSession, root: Root) -> DataFrame:
     return logs.withColumn("_session", F.element_at(F.split("path", "/"), -2)).join(children, F.col("_session") == F.col("session_id"), "left_anti").drop("_session")
 
 
-def ingest_files(spark: SparkSession, provider: str, found: DataFrame, read_at: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records, issues and the paths that gave a line or a document, of files of one provider, each by its family."""
+def ingest_files(spark: SparkSession, provider: str, found: DataFrame, read_at: Column | None = None, scratch: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, issues and the paths that gave a line or a document, of files of one provider, each by its family.
+
+    With scratch, a path, rows are written there once they are parsed.
+    """
+    cut = lambda name: (lambda df: df if scratch is None else _kept(df, f"{scratch}-{name}"))
     documents = found.where(F.col("name").rlike(r"(?i)\.json$"))
     logs = found.where(~F.col("name").rlike(r"(?i)\.json$") & ~files.of_event_table())
     text, tables = lines.scan_lines(spark, logs), None
     if provider == "codex":
-        records, issues = ingest.ingest_counter_log(text, provider, read_at)
+        records, issues = ingest.ingest_counter_log(text, provider, read_at, cut("lines"))
     elif provider == "grok":
         records, issues = ingest.ingest_turn_log(text, provider)
         more_records, more, tables = _event_tables(spark, found, provider)
         records, issues = records.unionByName(more_records), issues.unionByName(more)
     else:
         rows, bad = ingest.parse_rows(text)
-        records, more = ingest.ingest_generic(rows, provider, read_at)
+        records, more = ingest.ingest_generic(rows, provider, read_at, cut("lines"))
         issues = bad.unionByName(more)
     read = text.select("source_path") if tables is None else text.select("source_path").union(tables)
     if not documents.isEmpty():
         rows, broken = lines.scan_json_docs(spark, documents)
-        whole, more = ingest.ingest_generic(ingest.rows_of(rows), provider, read_at)
+        whole, more = ingest.ingest_generic(ingest.rows_of(rows), provider, read_at, cut("documents"))
         no_json = broken.select("source_path", F.lit("error").alias("severity"), F.lit("malformed_json").alias("code"), F.lit("document is not valid JSON").alias("message"))
         records, issues, read = records.unionByName(whole), quality.all_issues(issues, more, no_json), read.union(rows.select("source_path")).union(broken)
     return records, issues.withColumn("provider", F.coalesce("provider", F.lit(provider))), read.distinct()
@@ -166,7 +170,7 @@ def refresh(spark: SparkSession, roots: Iterable[Root], path: str, span: TimeRan
         todo = _kept(files.files_to_ingest(waiting, mine, span, root.provider, version, force), f"{here}-actions")
         ids = {"provider": F.lit(root.provider), "root_id": store.hashed_id(F.lit(root.provider), F.lit(root.path)), "file_id": store.hashed_id(F.lit(root.provider), F.lit(root.path), F.col("path"))}
         wanted = todo.where("action = 'ingest'").withColumns(ids)
-        records, found, read = ingest_files(spark, root.provider, wanted, read_at)
+        records, found, read = ingest_files(spark, root.provider, wanted, read_at, f"{here}-parsed")
         records, found, read = (_kept(x, f"{here}-{name}") for name, x in (("records", store.pseudonymise(records, root.path)), ("issues", found), ("read", read)))
         failed = quality.failed_files(wanted, read)
         gone = store.removed_files(mine, listed)

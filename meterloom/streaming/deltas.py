@@ -107,7 +107,11 @@ def upsert(path: str, provider: str, root: str, after: Callable[[Days], None] |
         store.recover(spark, table)
         tidy_states(spark, states_path, number)
         states = read_states(spark, states_path, STATE_SCHEMA, before=number)
-        rows = batch_rows(batch).persist()
+        # Written, so that lines are parsed once and a lost machine costs no more than its part.
+        scratch = f"{path}/batch-{number}"
+        parsed = batch_rows(batch)
+        parsed.write.mode("overwrite").parquet(scratch)
+        rows = spark.read.schema(parsed.schema).parquet(scratch)
         records, now = batch_records(rows, states)
         write_states(now, states_path, STATE_SCHEMA, number)
         now = read_states(spark, states_path, STATE_SCHEMA, only=number)
@@ -125,7 +129,8 @@ def upsert(path: str, provider: str, root: str, after: Callable[[Days], None] |
             model = F.when(F.col("_changed") & F.col("own_model").isNull(), F.col("_only")).otherwise(F.col("model"))
             store.overwrite_days(spark, old.withColumn("model", model).drop("_only", "_changed").unionByName(new.select(*store.COLUMNS), allowMissingColumns=True), days, table)
         new.unpersist()
-        rows.unpersist()
+        fs, used = store.file_system(spark, scratch)
+        fs.delete(used, True)
         if after and days:
             after(days)
 
