@@ -332,12 +332,13 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def decode_ids(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id and text of each row's ids; a null list counts as empty."""
+    """id and text of each row's ids; a null list counts as empty. Null ids and those that no token has are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
+        size = len(bpe.decimals)
         for batch in batches:
-            texts = [bpe.decode(np.asarray(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+            texts = [bpe.decode(np.array([i for i in x or [] if i is not None and 0 <= i < size], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = rows.schema[id_col].dataType.simpleString()

@@ -529,12 +529,15 @@ def decode_media(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What is read back from the files of encode_texts(): digests of payload and file, and the picture's feature."""
+    """What is read back from the files of encode_texts(): digests of payload and file, and the picture's feature; nulls for null media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for stored in batch.column(2).to_pylist():
+                if stored is None:
+                    out.append((None,) * 6)
+                    continue
                 decoder = Decoder(stored)
                 payload = decoder.payload()
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK_BYTES:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(decoder.rgb())))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meterloom.llm import media, queries
 from meterloom.llm.media import Decoder, bytes_to_jpeg
@@ -96,6 +97,8 @@ def test_media_edge_cases(spark):
     stored = media.encode_texts(docs)
     rows = media.media_digests(stored).collect()
     assert sorted((r.n_bytes, r.payload_bytes) for r in rows) == [(0, 64), (0, 64), (64, 64), (80000, 80000)]
+    none = stored.limit(1).select("doc_id", "n_bytes", F.lit(None).cast("binary").alias("media"))
+    assert [r.media_sha256 for r in media.media_digests(none).collect()] == [None]
     tensors = media.decode_media(stored).collect()
     assert all(len(r._rgb) == r._height * r._width * 3 for r in tensors)
     assert media.media_digests(media.encode_texts(docs.limit(0))).count() == 0

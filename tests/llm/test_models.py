@@ -262,6 +262,8 @@ def test_op5_equals_library(spark, sf):
     docs = spark.createDataFrame([(None, None, 1), (1, "a b", 2), (1, "a b", 2)], "doc_id bigint, text string, n_tokens int")
     assert sorted((r.doc_id is None, r.n_tokens) for r in bpe.round_trip_digests(docs, BYTE).collect()) == [(False, 2), (False, 2), (True, 0)]
     back = bpe.decode_ids(bpe.encode_texts(docs, BYTE), BYTE).collect()
+    odd = spark.createDataFrame([(1, None), (2, [-1, 64, None, 10**6, 65])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode_ids(odd, BYTE).collect()} == {1: "", 2: t.decode([64, 65], skip_special_tokens=False)}
     assert sorted(r.text for r in back) == ["", "a b", "a b"] and bpe.round_trip_digests(docs.limit(0), BYTE).count() == 0
 
 
