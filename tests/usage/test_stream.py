@@ -48,8 +48,8 @@ def in_one_go(spark, rows):
 
 
 def drawn_batches():
-    """Lines of five files over days, dealt to four batches; models come late, change, or never come; totals fall at times."""
-    rng, out, no, total = random.Random(3), [[], [], [], []], {}, {}
+    """Lines of five files over days, dealt to three batches; models come late, change, or never come; totals fall at times."""
+    rng, out, no, total = random.Random(3), [[], [], []], {}, {}
     for k in range(160):
         f = f"/logs/f{rng.randrange(5)}.jsonl"
         at = DAY + timedelta(hours=k * 2 + (int(f[-7]) * 100 if f[-7].isdigit() else 0))
@@ -61,7 +61,7 @@ def drawn_batches():
         else:
             total[f] = 5 if rng.random() < 0.05 else total.get(f, 0) + rng.randrange(50)
             row = token_count(total[f], at)
-        out[k // 40].append((f, no[f], row))
+        out[k // 54].append((f, no[f], row))
     return out
 
 
