@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import token_total
-from ..schema import COST_TYPE, RATES_TYPE, TOKENS
+from ..schema import COST_TYPE, RATE_TYPE, RATES_TYPE, TOKENS
 
 RULE_SCHEMA = (
     f"provider string, model string, aliases array<string>, currency string, price_unit string, source_url string, checked_at timestamp, "
@@ -44,7 +44,7 @@ def load_rates(spark: SparkSession, path: str) -> DataFrame:
     rows = _documents(spark, path).select(F.posexplode("rules").alias("ord", "r"))
 
     def of(column: str) -> Column:
-        return F.when(F.col(column).isNotNull(), F.struct(*[F.col(f"{column}.{n}").cast("decimal(14,8)").alias(t) for t, n in _NAMES.items()]))
+        return F.when(F.col(column).isNotNull(), F.struct(*[F.col(f"{column}.{n}").cast(RATE_TYPE).alias(t) for t, n in _NAMES.items()]))
 
     when = lambda c: F.try_to_timestamp(F.col(c))
     return rows.select(
@@ -115,7 +115,7 @@ def rate_book(rules: DataFrame) -> DataFrame:
     """
     begin, end = (F.lit(x).cast("timestamp") for x in _ALWAYS)
     names = with_fallback(named(rules)).withColumns({"_from": F.coalesce("effective_from", begin), "_to": F.coalesce("effective_to", end)})
-    kept = names.select("provider", "name", "_from", "_to", *_RULE[1:])
+    kept = names.select("provider", "name", "_from", "_to", *[F.col(c).cast(_SLICE_TYPES[c]).alias(c) for c in _RULE[1:]])
     return kept.groupBy("provider", "name").applyInArrow(_swept, _SLICES)
 
 
@@ -221,7 +221,7 @@ def catalog_is_valid(rules: DataFrame, catalogs: DataFrame | None = None) -> boo
 
 def _amount(tokens: dict[str, Column], rates: Column) -> Column:
     """Micro-units of currency: rates are for a million tokens. Decimal throughout, rounded half up once."""
-    parts = [F.coalesce(tokens[t].cast("decimal(16,0)") * rates[t], F.lit(Decimal(0)).cast("decimal(31,8)")) for t in TOKENS]
+    parts = [F.coalesce(tokens[t].cast("decimal(16,0)") * rates[t], F.lit(Decimal(0)).cast("decimal(35,8)")) for t in TOKENS]
     total = parts[0]
     for p in parts[1:]:
         total = (total + p).cast("decimal(37,8)")

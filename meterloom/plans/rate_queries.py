@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timez import add_days, day_bucket, resolve_range, resolve_zone
 from ..operators import currency, filters, pricing, rollup
-from ..schema import PROVIDERS, TOKENS
+from ..schema import PROVIDERS, RATE_TYPE, TOKENS
 from ..sources import store
 from ..streaming import deltas
 from . import demo, usage_queries
@@ -24,7 +24,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     g, j = F.floor(k / 3), k % 3
     day = lambda text: F.lit(text).cast("timestamp")
-    rates = lambda times, odd: F.struct(*[{"input": k * 0.25 * times, "output": F.when(odd, F.lit(None)).otherwise(F.when(k % 13 == 0, -1).otherwise(k) * times)}.get(t, F.lit(None)).cast("decimal(14,8)").alias(t) for t in TOKENS])
+    rates = lambda times, odd: F.struct(*[{"input": k * 0.25 * times, "output": F.when(odd, F.lit(None)).otherwise(F.when(k % 13 == 0, -1).otherwise(k) * times)}.get(t, F.lit(None)).cast(RATE_TYPE).alias(t) for t in TOKENS])
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")).select(
         F.get(F.array(*map(F.lit, PROVIDERS)), (g % 4).cast("int")).alias("provider"), _text("M", g).alias("model"), F.array(F.when((j == 2) & (g % 11 == 0), _text("b", g)).otherwise(_text("a", g))).alias("aliases"),
         F.lit("USD").alias("currency"), F.lit("1M tokens").alias("price_unit"), F.when(k % 19 == 0, " ").otherwise(_text("https://rates.example.com/", k)).alias("source_url"), F.when(k % 17 != 0, day("2024-01-31")).alias("checked_at"),

@@ -10,7 +10,9 @@ PROVIDERS = ("claude", "codex", "pi", "grok")
 TOKENS = ("input", "output", "cached_input", "cache_read", "cache_write_5m", "cache_write_1h")
 
 TOKENS_TYPE = f"struct<{', '.join(f'{t}: bigint' for t in TOKENS)}>"
-RATES_TYPE = f"struct<{', '.join(f'{t}: decimal(14,8)' for t in TOKENS)}>"
+#: Ten digits before the point: rates stand in any currency, and a decimal of 18 digits is a long inside.
+RATE_TYPE = "decimal(18,8)"
+RATES_TYPE = f"struct<{', '.join(f'{t}: {RATE_TYPE}' for t in TOKENS)}>"
 COST_TYPE = "struct<amount: decimal(38,10), currency: string, source: string, source_url: string, checked_at: timestamp, note: string>"
 RECORD_TYPES = {
     "provider": "string",

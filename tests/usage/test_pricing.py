@@ -232,3 +232,25 @@ def test_catalogs_as_a_whole(spark, tmp_path):
         assert pricing.catalog_is_valid(pricing.load_rates(spark, path), catalogs) == (name == "good")
     assert not pricing.catalog_is_valid(rules(spark))
     assert priced(spark, [], {"input": 1}, valid=pricing.catalog_is_valid(rules(spark))) == ["missing_pricing_metadata"]
+
+
+def test_rates_of_seven_digits_and_more(spark, tmp_path):
+    """Rates in small units of currency are large numbers; they are loaded, converted and priced like others."""
+    import json
+
+    large = 4_800_000_000.25
+    rule = {"provider": "codex", "model": "m", "currency": "USD", "priceUnit": "1M", "sourceUrl": "https://a.example.com", "checkedAt": "2026-01-01", "rates": {"input": large}}
+    (tmp_path / "large.json").write_text(json.dumps({"rules": [rule]}))
+    found = pricing.load_rates(spark, f"file://{tmp_path}/large.json")
+    assert found.select(F.col("rates.input").cast("double")).first()[0] == large and not pricing.validate_rates(found).count()
+    out = pricing.price(records(spark, {"input": MILLION}), pricing.rate_book(found)).first()
+    assert out.cost.amount == Decimal("4800000000.25")
+
+
+def test_queries_over_rates_of_large_keys(spark, tmp_path):
+    from meterloom.plans import rate_queries
+
+    spark.range(1_200_000, 1_200_010).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("loaded_rates", "rate_problems", "rate_sheet", "converted_rates"):
+        assert getattr(rate_queries, name)(spark, str(tmp_path)).count() >= 1
+    assert rate_queries.loaded_rates(spark, str(tmp_path)).agg(F.max("long_input")).first()[0] == 1_200_008 * 0.5
