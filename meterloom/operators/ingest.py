@@ -233,7 +233,8 @@ def ingest_generic(rows: DataFrame, provider: str, read_at: Column | None = None
     kept = fill_from_file(flat, counts={"_records": used}).where(used)
     kept = kept.withColumns({"provider": F.lit(provider), "seq": F.col("_records") - 1})
     other = F.col("_provider").isin("claude", "codex", "pi", "grok") & (F.col("_provider") != provider)
-    bare = F.greatest(*[F.coalesce(F.col(f"tokens.{t}"), F.lit(0)) for t in TOKENS]) == 0
+    # A count of 0 is a count; what is missing is a record that names none.
+    bare = F.coalesce(*[F.col(f"tokens.{t}") for t in TOKENS]).isNull()
     found = F.array_compact(F.array(F.when(other, F.lit("provider_mismatch")), F.when(bare, F.lit("missing_tokens"))))
     issues = kept.select(F.lit("warning").alias("severity"), F.explode(found).alias("code"), "source_path", "line_no", "provider")
     return as_records(kept), as_issues(issues.withColumn("message", F.col("code")))

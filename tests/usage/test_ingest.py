@@ -181,3 +181,13 @@ def test_quality(spark):
     doubt = spark.createDataFrame([("warning", "file_transient", "pi")], "severity string, code string, provider string")
     assert quality.stale_sources(cover, doubt, other).count() == 0
     assert quality.load_status(actions).first().status == "cold" and quality.load_status(actions.where("action <> 'ingest'")).first().status == "partial"
+
+
+def test_counts_of_zero_are_no_missing_tokens(spark):
+    """A billed row that names counts of 0 has counts; one that names none has not."""
+    billed = {"timestamp": "2024-01-01T00:00:00Z", "costUsd": 1}
+    texts = [json.dumps(billed | {"usage": {"input": 0}}), json.dumps(billed), json.dumps(billed | {"usage": {"input": 0, "output": 0, "cache_read": 0}})]
+    lines_ = spark.createDataFrame([("f.jsonl", i, t) for i, t in enumerate(texts)], "source_path string, line_no bigint, value string")
+    rows, _ = ingest.parse_rows(lines_)
+    records, issues = ingest.ingest_generic(rows, "claude")
+    assert records.count() == 3 and [(r.code, r.line_no) for r in issues.collect()] == [("missing_tokens", 1)]
