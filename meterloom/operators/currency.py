@@ -73,6 +73,14 @@ def convert_by_table(df: DataFrame, fx: DataFrame, to: str, amount: str = "cost_
     return rows.withColumns({amount: F.when(done, value * F.col("_rate")).otherwise(value), currency: F.when(done, F.lit(to)).otherwise(F.col(currency))}).drop("_usd", "_rate")
 
 
+def shown(amount: F.Column) -> F.Column:
+    """An amount rounded to six digits in binary fractions throughout, as SQL engines do: whole millionths, half away from zero.
+
+    round() to six digits goes by a double's shortest decimal text instead, which is a tie more or less often.
+    """
+    return F.round(amount * 1e6) / 1e6
+
+
 def convert_rates(rules: DataFrame, to: Display) -> DataFrame:
     """Rules in USD, long-context rates too, in the display currency."""
     usd = F.col("currency") == "USD"

@@ -88,7 +88,7 @@ def display_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     manual = spark.createDataFrame([(d.code, d.rate) for d in shown if d.source == "manual"], "code string, rate double")
     table = fx.select("code", "rate").where(~F.col("code").isin([d.code for d in shown if d.source == "manual"])).unionByName(manual)
     parts = [currency.convert_by_table(split, table, d.code).withColumn("asked", F.lit(d.requested)) for d in shown]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("asked", "provider", "session", "model", F.round("cost_amount", 6).alias("cost_amount"), "cost_currency")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("asked", "provider", "session", "model", currency.shown(F.col("cost_amount")).alias("cost_amount"), "cost_currency")
 
 
 def currency_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

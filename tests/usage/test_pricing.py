@@ -254,3 +254,13 @@ def test_queries_over_rates_of_large_keys(spark, tmp_path):
     for name in ("loaded_rates", "rate_problems", "rate_sheet", "converted_rates"):
         assert getattr(rate_queries, name)(spark, str(tmp_path)).count() >= 1
     assert rate_queries.loaded_rates(spark, str(tmp_path)).agg(F.max("long_input")).first()[0] == 1_200_008 * 0.5
+
+
+def test_shown_amounts_round_in_binary_fractions(spark):
+    """1.460373 and 3.925769 times 7.5 are ties in decimals; in binary fractions each goes its own way, as here and in SQL."""
+    amounts = ["1.460373", "3.925769", "-1.460373", "0.000001"]
+    rows = spark.createDataFrame([(a, "USD") for a in amounts], "a string, cost_currency string").select(F.col("a").cast("decimal(38,10)").alias("cost_amount"), "cost_currency")
+    table = spark.createDataFrame([("QFX", 7.5)], "code string, rate double")
+    found = currency.convert_by_table(rows, table, "QFX").select(currency.shown(F.col("cost_amount"))).collect()
+    away = lambda x: float(int(abs(x) * 1e6 + 0.5)) / 1e6 * (1 if x > 0 else -1)
+    assert [r[0] for r in found] == [away(float(a) * 7.5) for a in amounts] and found[0][0] == 10.952798
