@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
-from urllib.parse import unquote
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timez import resolve_range
 from ..operators import filters, ingest, quality, rollup
 from ..sources import files, lines, store
+from ..sources.shared import opened
 from . import demo, usage_queries
 from .ingest_queries import _events, _iso, _numbers, _store_path, _text, generic_issues
 from .refresh import Refreshed, Root, refresh
@@ -21,20 +24,25 @@ _NAMES = {"gz": r"(?i)\.jsonl(?:\.gz)?$"}
 
 
 def write_named(rows: DataFrame, base: str, compression: str | None = None) -> None:
-    """Writes rows (file, n, value) as one text file for each name in column file, with folders in it or not, lines in order of n."""
-    spark, staged = rows.sparkSession, f"{base}.staged"
+    """Writes rows (file, n, value) as one text file for each name in column file, with folders in it or not, lines in order of n.
+
+    Tasks write the files under their names, since there may be very many; the driver touches none.
+    """
+    fs, folder = store.file_system(rows.sparkSession, base)
+    fs.mkdirs(folder)
+    target = fs.makeQualified(folder).toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, group in groupby(((r["file"], r["value"]) for b in batches for r in b.to_pylist()), key=lambda x: x[0]):
+            reached, path = opened(f"{target}/{name}")
+            reached.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with reached.open_output_stream(path, compression=compression) as out, io.BufferedWriter(out, 1 << 20) as lines_:
+                for _, value in group:
+                    lines_.write(f"{value or ''}\n".encode())
+        yield from ()
+
     dealt = rows.repartition("file").sortWithinPartitions("file", "n").select("file", "value")
-    dealt.write.mode("overwrite").option("compression", compression or "none").partitionBy("file").text(staged)
-    fs, folder = store.file_system(spark, staged)
-    fs.mkdirs(store.file_system(spark, base)[1])
-    for d in fs.listStatus(folder):
-        if d.isDirectory():
-            (part,) = [p for p in fs.listStatus(d.getPath()) if p.getPath().getName().startswith("part-")]
-            target = store.file_system(spark, f"{base}/{unquote(d.getPath().getName().split('=', 1)[1])}")[1]
-            fs.mkdirs(target.getParent())
-            fs.delete(target, False)
-            fs.rename(part.getPath(), target)
-    fs.delete(folder, True)
+    dealt.mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
 
 
 def _plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +78,7 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         value = value.when(u == k, _text(f'{{"{name}":[', F.col("rows"), "]}"))
     base = f"{_store_path(spark)}/docs"
     write_named(whole.select(_text("u", F.col("user_id"), ".json").alias("file"), F.lit(0).alias("n"), value.alias("value")), base)
-    rows, _ = lines.scan_json_docs(spark, files.list_files(spark, base))
+    rows, _ = lines.scan_json_docs(spark, files.list_tree(spark, base))
     records, _ = ingest.ingest_generic(ingest.rows_of(rows), "claude")
     return records.select(F.element_at(F.split("source_path", "/"), -1).alias("name"), "line_no", "session_id", F.col("tokens.input").alias("input"), F.col("tokens.output").alias("output"))
 

@@ -100,12 +100,10 @@ def _batch(part: dict, first: int, lines: list[str]) -> pa.RecordBatch:
 
 
 def whole_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """source_path and value of whole files, hidden ones too; a file that can't be read gives no row. A file is a task's unit of work."""
-    paths = [r.path for r in files.where((F.col("size") > 0) & ~F.col("name").rlike(_HIDDEN)).select("path").toLocalIterator()]
-    schema = "source_path string, value string"
-    plain = spark.createDataFrame([], schema)
-    if paths:
-        plain = spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), "value")
+    """source_path and value of whole files, hidden ones too; a file that can't be read gives no row. A file is a task's unit of work.
+
+    Tasks read them from the table of paths, so no list comes to the driver, however many there are.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,8 +116,7 @@ def whole_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["source_path", "value"])
 
-    hidden = files.where(F.col("name").rlike(_HIDDEN) & (F.col("size") > 0)).select("path").repartition("path")
-    return plain.unionByName(hidden.mapInArrow(read, schema))
+    return files.where(F.col("size") > 0).select("path").repartition("path").mapInArrow(read, "source_path string, value string")
 
 
 def scan_json_docs(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:

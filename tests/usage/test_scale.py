@@ -140,3 +140,34 @@ def test_no_nested_loops(spark):
     assert sorted((r.source_path, r.code) for r in issues.collect()) == [("/q", "missing_path"), ("/r/b", "empty_directory")]
     for df in (found, issues):
         assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_named_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver's calls don't grow with the files, and files hold their lines in order, packed or not."""
+    from meterloom.plans import source_queries
+
+    calls, asked = [], store.file_system
+    monkeypatch.setattr(store, "file_system", lambda *a: calls.append(a) or asked(*a))
+    n = F.col("id")
+    rows = spark.range(300).select(F.concat(F.lit("d/f "), (n % 60).cast("string"), F.lit(".txt")).alias("file"), n.alias("n"), F.when(n % 7 != 0, n.cast("string")).alias("value"))
+    source_queries.write_named(rows, f"file://{tmp_path}/plain")
+    source_queries.write_named(rows.where("id % 60 = 1"), f"file://{tmp_path}/packed", "gzip")
+    assert len(calls) < 10
+    assert (tmp_path / "plain/d/f 7.txt").read_text() == "\n67\n127\n187\n247\n" and len(list((tmp_path / "plain/d").iterdir())) == 60
+    assert gzip.decompress((tmp_path / "packed/d/f 1.txt").read_bytes()) == b"1\n61\n121\n181\n241\n"
+
+
+def test_whole_texts_are_read_by_tasks(spark, tmp_path):
+    """A text's path is that of the listing, with a blank in it too, and no path comes to the driver."""
+    for i in range(3):
+        (tmp_path / f"a {i}.json").write_text(f'{{"records":[{i}]}}')
+    listed = files.list_tree(spark, f"file://{tmp_path}", r"\.json$")
+    assert {r.path for r in listed.collect()} == {r.source_path for r in lines.whole_texts(spark, listed).collect()}
+
+
+def test_counter_log_is_parsed_once(spark, sf):
+    from meterloom.plans import ingest_queries
+
+    plan = ingest_queries.counter_log(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "JsonToStructs" not in plan
+    assert len(ingest.COUNTER_PLACES) < len(ingest.PLACES) / 2 and set(ingest.COUNTER_PLACES) <= set(ingest.PLACES)
