@@ -62,8 +62,7 @@ def string(v: Column) -> Column:
 
 
 def number(v: Column) -> Column:
-    said = kind(v)
-    return F.when(said.isin("BIGINT", "DOUBLE", "FLOAT") | said.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+    return F.when(kind(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
 
 
 def first_string(row: Column, paths: Iterable[str]) -> Column:

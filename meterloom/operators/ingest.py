@@ -61,6 +61,15 @@ PLACES = list(
         ]
     )
 )
+#: Of these, the places that counter logs are read at. Every field of the parsed struct is copied with each row, so there are no others.
+COUNTER_PLACES = list(
+    dict.fromkeys(
+        [
+            *[f"{at}.{p}" for at in (*ALIASES["usage"], _TOTALS) for found in COUNTERS.values() for p in found],
+            *[p for k in ("model", "context", "start", "end", "observed") for p in ALIASES[k]], "type", "payload.type",
+        ]
+    )
+)
 
 
 def held(df: DataFrame, *columns: str | Column) -> DataFrame:
@@ -266,9 +275,13 @@ def split_cached_input(tokens: Column) -> Column:
 
 
 def _counter(source: Column) -> Column:
-    """The three counters of an object; null if it has none of them."""
-    counts = {t: V.count(V.first_present_number(source, p)) for t, p in COUNTERS.items()}
-    return F.when(F.coalesce(*counts.values()).isNotNull(), F.struct(*[c.alias(t) for t, c in counts.items()]))
+    """The three counters of an object."""
+    return F.struct(*[V.count(V.first_present_number(source, p)).alias(t) for t, p in COUNTERS.items()])
+
+
+def _any_counter(counters: Column) -> Column:
+    """A column of _counter(); null if it has none of them. Asked of the computed column, so that lookups aren't done twice."""
+    return F.when(F.coalesce(*[counters[t] for t in COUNTERS]).isNotNull(), counters)
 
 
 def counter_rows(rows: DataFrame) -> DataFrame:
@@ -282,6 +295,7 @@ def counter_rows(rows: DataFrame) -> DataFrame:
         rows, "source_path", "line_no", "_asked", _counter(F.col("_t")).alias("_totals"), _counter(F.col("_p")).alias("_plain"),
         V.first_string(r, ALIASES["model"]).alias("_model"), V.first_string(r, ALIASES["context"]).alias("_context"), *[c.alias(k) for k, c in normalise_times(r).items()],
     )
+    rows = rows.withColumns({c: _any_counter(F.col(c)) for c in ("_totals", "_plain")})
     empty = F.col("_asked") & F.col("_totals").isNull() & F.col("_plain").isNull()
     return _with_times(rows.withColumns({"_session": F.col("_context"), "_empty": empty}).drop("_asked"), F.lit(None).cast("timestamp"))
 
@@ -301,7 +315,7 @@ def counter_usage(rows: DataFrame) -> DataFrame:
 
 def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Records and issues of logs whose counters run up. cut is as in ingest_generic()."""
-    parsed, issues = parse_rows(skip_bulk(lines), recover=True)
+    parsed, issues = parse_rows(skip_bulk(lines), recover=True, places=COUNTER_PLACES)
     rows = counter_usage(fill_from_file(cut(counter_rows(parsed)), TOTALS_BEFORE))
     missing = rows.where("_empty").select(F.lit("warning").alias("severity"), F.lit("missing_tokens").alias("code"), F.lit("token count without usage").alias("message"), "source_path", "line_no", F.lit(provider).alias("provider"))
     kept = rows.where(F.col("tokens").isNotNull() & has_usage(F.col("tokens"), F.lit(None)))

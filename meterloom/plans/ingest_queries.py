@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, quality
 from ..schema import TOKENS
 from ..sources import store
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from ..streaming import deltas
 from . import demo, usage_queries
 
@@ -106,7 +106,7 @@ def cumulative_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, _ = ingest.ingest_counter_log(counter_lines(spark, sf_dir))
+    records, _ = ingest.ingest_counter_log(counter_lines(spark, sf_dir), cut=lambda rows: written(rows, "counter-rows"))
     return records.select("source_path", "line_no", "seq", "model", "own_model", "session_id", *[F.col(f"tokens.{t}").alias(t) for t in _DELTA_COLUMNS])
 
 

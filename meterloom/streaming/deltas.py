@@ -46,7 +46,7 @@ def only_model(models: F.Column) -> F.Column:
 
 def batch_rows(lines: DataFrame) -> DataFrame:
     """Lines of counter logs, parsed and reduced to what records and states are made of."""
-    parsed, _ = ingest.parse_rows(ingest.skip_bulk(lines), recover=True)
+    parsed, _ = ingest.parse_rows(ingest.skip_bulk(lines), recover=True, places=ingest.COUNTER_PLACES)
     return ingest.counter_rows(parsed)
 
 
