@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ordered, releasing
-from .word_encoder import word_encoder
+from .word_encoder import ROWS, word_encoder
 
 #: What a cut costs, in ids of padding.
 SENTENCE_CUT, WORD_CUT = 8, 64
@@ -161,8 +161,8 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], _NAMES)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            rows = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
             for doc, ids in zip(rows.column(0).to_pylist(), encoder.encode_many(rows.column(1))):
                 ids = np.concatenate([ids, end])
                 stream.add(doc, ids, table[ids])

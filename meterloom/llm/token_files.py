@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ordered, releasing
-from .word_encoder import word_encoder
+from .word_encoder import ROWS, word_encoder
 
 BLOCK = 4096
 #: A segment is closed once it has so many ids; a longer document is a segment of its own.
@@ -96,8 +96,8 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) ->
         return pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "first": first, "width": width, "n_ids": n, "block_offsets": offsets, "packed": packed, "doc_ids": docs, "doc_ends": ends}], schema)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            rows = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
             for doc, ids in zip(rows.column(0).to_pylist(), encoder.encode_many(rows.column(1))):
                 held += [ids, end]
                 n += len(ids) + 1

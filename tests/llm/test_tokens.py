@@ -25,6 +25,18 @@ def test_encoder_equals_library(spark, sf):
     assert [x.tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_looks_words_up_without_their_marks_and_keeps_few():
+    e, t = WordEncoder(PATH, max_entries=50), Tokenizer.from_file(PATH)
+    text = "Word word, word. word! Éa; éa a.b ... a.. 's. x's, 12. word?!"
+    assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert {x for x in e._chunks if "word" in x} == {"word", "word?!"}
+    for i in range(40):
+        texts = [f"common {chr(97 + i % 26)}{'xyz'[i // 26]}{chr(97 + k)}." for k in range(26)]
+        assert [x.tolist() for x in e.encode_many(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    # Before, 2^18 entries were kept in each worker and all went at once; "common" is asked for each time and stays.
+    assert len(e._chunks) + len(e._older) < 2 * 50 + 2 * 30 and "common" in e._chunks
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 31, 32])
 def test_bits_round_trip(width):
     ids = np.random.default_rng(0).integers(0, 1 << width, 9001)
