@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, fresh, releasing, written
+from .shared import discard, fresh, releasing, trimmed, written
 from .shingles import mixed, shingle_sets, short_set, word_hashes
 
 #: Buckets of word counts; rows they are shipped in.
@@ -372,6 +372,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     sets = texts.mapInArrow(tokens_of, "d bigint, e bigint, tokens binary").join(needed.select("d", "e"), ["d", "e"], "left_semi").groupBy("d", "e").agg(F.first("tokens").alias("tokens"))
     asking = dealt.join(needed, "node")
 
+    @trimmed
     def compare(table: pa.Table) -> pa.Table:
         node, found = table.column("node").to_pylist(), []
         for x in table.column("tokens").to_pylist():

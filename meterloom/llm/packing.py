@@ -184,4 +184,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, id_col:
     how Spark has dealt the documents to partitions; every cut is valid.
     """
     rows = ordered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    return rows.mapInArrow(releasing(lambda batches: _packed(batches, tokenizer, end_id, window)), _TYPE)
+    return rows.mapInArrow(releasing(lambda batches: _packed(batches, tokenizer, end_id, window), lambda: word_encoder(tokenizer).forget()), _TYPE)

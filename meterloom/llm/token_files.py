@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     columns, whatever their names, are not read. An empty table gives no segment.
     """
     rows = ordered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    rows.mapInArrow(releasing(lambda batches: _segments(batches, tokenizer, end_id)), _SEGMENT_TYPE).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(releasing(lambda batches: _segments(batches, tokenizer, end_id), lambda: word_encoder(tokenizer).forget()), _SEGMENT_TYPE).write.option("compression", "none").parquet(path)
 
 
 def _bases(spark: SparkSession, path: str) -> dict[int, int]:

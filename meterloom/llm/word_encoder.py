@@ -5,7 +5,8 @@ ends a word there and is dropped, so the ids of a text are the ids of its
 white-space separated chunks, one after the other. A mark at a word's end is a
 piece of its own, so a word and its mark are looked up apart. Each worker keeps
 the ids of what it has seen lately in a bounded cache; only new ones go to the
-library. Workers live on between stages with their caches, so these are small.
+library. Workers live on and serve later stages, and Spark asks one after the
+other, so many of them have an encoder; a task's end empties the caches.
 """
 
 from __future__ import annotations
@@ -88,6 +89,10 @@ class WordEncoder:
             return False
         return all(not x["lstrip"] and not x["rstrip"] and "<|" in x["content"] for x in said["added_tokens"])
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self._chunks, self._older, self._odd_chunks = {}, {}, {}
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many(pa.array([text], pa.string()))[0]
 

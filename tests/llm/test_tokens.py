@@ -37,6 +37,14 @@ def test_encoder_looks_words_up_without_their_marks_and_keeps_few():
     assert len(e._chunks) + len(e._older) < 2 * 50 + 2 * 30 and "common" in e._chunks
 
 
+def test_a_task_end_empties_the_caches():
+    from meterloom.llm.shared import releasing
+
+    e = WordEncoder(PATH)
+    list(releasing(lambda batches: (e.encode(x) for x in batches), e.forget)(iter(["word, 日本"])))
+    assert not e._chunks and not e._older and not e._odd_chunks
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 31, 32])
 def test_bits_round_trip(width):
     ids = np.random.default_rng(0).integers(0, 1 << width, 9001)
