@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,15 @@ YEAR = resolve_range("custom", datetime(2024, 1, 17, tzinfo=timezone.utc), "UTC"
 _NAMES = {"gz": r"(?i)\.jsonl(?:\.gz)?$"}
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Names that follow each other in a batch, and their values, joined."""
+    codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    bounds = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+    for a, b in zip(bounds, bounds[1:]):
+        if a < b:
+            yield batch.column(0)[a].as_py(), "".join(batch.column(1).slice(a, b - a).to_pylist()).encode()
+
+
 def write_named(rows: DataFrame, base: str, compression: str | None = None) -> None:
     """Writes rows (file, n, value) as one text file for each name in column file, with folders in it or not, lines in order of n.
 
@@ -33,15 +43,16 @@ def write_named(rows: DataFrame, base: str, compression: str | None = None) -> N
     target = fs.makeQualified(folder).toString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, group in groupby(((r["file"], r["value"]) for b in batches for r in b.to_pylist()), key=lambda x: x[0]):
+        for name, group in groupby((run for b in batches for run in _runs(b)), key=lambda x: x[0]):
             reached, path = opened(f"{target}/{name}")
             reached.create_dir(path.rsplit("/", 1)[0], recursive=True)
             with reached.open_output_stream(path, compression=compression) as out, io.BufferedWriter(out, 1 << 20) as lines_:
-                for _, value in group:
-                    lines_.write(f"{value or ''}\n".encode())
+                for _, text in group:
+                    lines_.write(text)
         yield from ()
 
-    dealt = rows.repartition("file").sortWithinPartitions("file", "n").select("file", "value")
+    line = F.concat(F.coalesce(F.col("value").cast("string"), F.lit("")), F.lit("\n"))
+    dealt = rows.select("file", "n", line.alias("value")).repartition("file").sortWithinPartitions("file", "n").select("file", "value")
     dealt.mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
 
 

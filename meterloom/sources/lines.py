@@ -15,6 +15,8 @@ from .shared import opened
 LINES_SCHEMA = "source_path string, line_no bigint, value string"
 #: Bytes of a part of a hidden file, which one task reads; lines that are handed on at once.
 RANGE_BYTES, _ROWS = 32 << 20, 5000
+#: Lines of a packed file that stay together when they are dealt to tasks.
+DEALT_LINES = 10_000
 _PACKED = r"(?i)\.(?:gz|bz2|lz4|zst)$"
 #: Names that Spark's readers leave out.
 _HIDDEN = r"^[_.]"
@@ -54,24 +56,37 @@ def scan_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     without an end counts. Splits of a large file are read in parallel; a line's
     number is its place in its split and the lines of the splits before, so texts
     are neither sorted nor shuffled, but the files are read twice, first to count.
-    A file that can't be read gives no line.
+    A packed file is one split: its lines are dealt to many tasks once they are
+    numbered. A file that can't be read gives no line.
+    """
+    shown = files.where(~F.col("name").rlike(_HIDDEN) & (F.col("size") > 0)).select("path", F.col("name").rlike(_PACKED).alias("packed"))
+    paths: dict[bool, list[str]] = {False: [], True: []}
+    for r in shown.toLocalIterator():
+        paths[r.packed].append(r.path)
+    out = hidden_lines(files)
+    if paths[False]:
+        out = out.unionByName(_shown_lines(spark, paths[False]))
+    if paths[True]:
+        out = out.unionByName(_shown_lines(spark, paths[True]).repartition("source_path", F.floor(F.col("line_no") / DEALT_LINES)))
+    return out.withColumn("value", F.regexp_replace("value", "\r$", ""))
+
+
+def _shown_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    raw = spark.read.options(lineSep="\n", ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths)
+    # A split's rows follow each other in one partition, so their ids do.
+    rows = raw.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    return _numbered(rows, few=True)
+
+
+def _numbered(rows: DataFrame, few: bool = False) -> DataFrame:
+    """Lines in LINES_SCHEMA from rows with source_path, _block and _id, which rises by one in a block.
+
+    With few, where the driver holds the list of files anyway, counts of splits go to every task and texts stay where they are read.
     """
-    paths = [r.path for r in files.where(~F.col("name").rlike(_HIDDEN) & (F.col("size") > 0)).select("path").toLocalIterator()]
-    if paths:
-        raw = spark.read.options(lineSep="\n", ignoreCorruptFiles=True, ignoreMissingFiles=True).text(paths)
-        # A split's rows follow each other in one partition, so their ids do.
-        rows = raw.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
-        plain = _numbered(rows)
-    else:
-        plain = spark.createDataFrame([], LINES_SCHEMA)
-    return plain.unionByName(hidden_lines(files)).withColumn("value", F.regexp_replace("value", "\r$", ""))
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Lines in LINES_SCHEMA from rows with source_path, _block and _id, which rises by one in a block."""
     splits = rows.groupBy("source_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    splits = F.broadcast(splits) if few else splits
     return rows.join(splits, ["source_path", "_block"]).select("source_path", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
 
 

@@ -166,8 +166,32 @@ def test_whole_texts_are_read_by_tasks(spark, tmp_path):
 
 
 def test_counter_log_is_parsed_once(spark, sf):
-    from meterloom.plans import ingest_queries
-
+    
     plan = ingest_queries.counter_log(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "JsonToStructs" not in plan
     assert len(ingest.COUNTER_PLACES) < len(ingest.PLACES) / 2 and set(ingest.COUNTER_PLACES) <= set(ingest.PLACES)
+
+
+def test_lines_of_a_packed_file_are_dealt(spark, tmp_path, monkeypatch):
+    """A packed file is read by one task, but its lines go on to several, with their numbers; plain text stays where it is read."""
+    text = [f"line {i}" for i in range(30000)]
+    with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
+        f.write("\n".join(text))
+    (tmp_path / "b.jsonl").write_text("\n".join(text))
+    found = files.list_files(spark, f"file://{tmp_path}", r"\.jsonl")
+    monkeypatch.setattr(lines, "DEALT_LINES", 500)
+    confs = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        got = lines.scan_lines(spark, found).withColumn("task", F.spark_partition_id()).collect()
+        plain = lines.scan_lines(spark, found.where("name = 'b.jsonl'"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name in ("a.jsonl.gz", "b.jsonl"):
+        mine = [r for r in got if r.source_path.endswith(name)]
+        assert {r.line_no: r.value for r in mine} == dict(enumerate(text, 1)) and len(mine) == len(text)
+        assert len({r.task for r in mine}) > 1
+    assert "strategy=broadcast" in plain
