@@ -323,8 +323,8 @@ def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Colum
     return as_records(numbered(kept)), issues.unionByName(as_issues(missing))
 
 
-def ingest_turn_log(lines: DataFrame, provider: str = "grok") -> tuple[DataFrame, DataFrame]:
-    """Records and issues of logs of finished turns: one record for each model of a turn."""
+def ingest_turn_log(lines: DataFrame, provider: str = "grok", cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Records and issues of logs of finished turns: one record for each model of a turn. cut is as in ingest_generic()."""
     parsed, issues = parse_rows(lines, places=["timestamp", "params.update.sessionUpdate", "params.update.usage.modelUsage"])
     issues = issues.where("code = 'malformed_jsonl'")
     update = F.col("r.params.update")
@@ -333,6 +333,7 @@ def ingest_turn_log(lines: DataFrame, provider: str = "grok") -> tuple[DataFrame
     rows = done.where("at IS NOT NULL").select("source_path", "line_no", F.timestamp_seconds(F.col("at").cast("bigint")).alias("at"), F.explode("usage").alias("model", "u"))
     n = lambda k: V.number(F.try_variant_get("u", F.lit(f"$.{k}"), "variant"))
     rows = held(rows, "source_path", "line_no", "at", "model", *[V.count(n(k)).alias(c) for k, c in (("inputTokens", "i"), ("outputTokens", "o"), ("totalTokens", "t"), ("cachedReadTokens", "c"))], n("costUsdTicks").cast("decimal(28,0)").alias("ticks"))
+    rows = cut(rows)
     # Cached reads are part of the input only where the total says so.
     inclusive = F.coalesce(F.col("t") == F.col("i") + F.col("o"), F.lit(False))
     split = F.when(inclusive & F.col("i").isNotNull(), F.greatest(F.lit(0), F.col("i") - F.coalesce("c", F.lit(0)))).otherwise(F.col("i"))

@@ -113,7 +113,7 @@ def ingest_files(spark: SparkSession, provider: str, found: DataFrame, read_at:
     if provider == "codex":
         records, issues = ingest.ingest_counter_log(text, provider, read_at, cut("lines"))
     elif provider == "grok":
-        records, issues = ingest.ingest_turn_log(text, provider)
+        records, issues = ingest.ingest_turn_log(text, provider, cut("lines"))
         more_records, more, tables = _event_tables(spark, found, provider)
         records, issues = records.unionByName(more_records), issues.unionByName(more)
     else:

@@ -195,3 +195,19 @@ def test_lines_of_a_packed_file_are_dealt(spark, tmp_path, monkeypatch):
         assert {r.line_no: r.value for r in mine} == dict(enumerate(text, 1)) and len(mine) == len(text)
         assert len({r.task for r in mine}) > 1
     assert "strategy=broadcast" in plain
+
+
+def test_turn_logs_are_parsed_once_for_their_records(spark):
+    """What records and their warnings are made of passes cut, so a refresh writes it before it is looked at again."""
+    turn = {"timestamp": 1777600000, "params": {"update": {"sessionUpdate": "turn_completed", "usage": {"modelUsage": {"m": {"inputTokens": 3, "outputTokens": 1, "totalTokens": 9}}}}}}
+    text = spark.createDataFrame([("r/s/updates.jsonl", 1, json.dumps(turn))], "source_path string, line_no bigint, value string")
+    seen = []
+
+    def cut(df):
+        seen.append(df)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    records, issues = ingest.ingest_turn_log(text, cut=cut)
+    assert len(seen) == 1 and seen[0].count() == 1
+    assert [r.tokens.input for r in records.collect()] == [3] and [i.code for i in issues.collect()] == ["token_convention_changed"]
+    assert "from_json" not in records._jdf.queryExecution().optimizedPlan().toString()
