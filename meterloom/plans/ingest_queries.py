@@ -89,10 +89,18 @@ def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select(_text("2024/01/01/o", F.col("l_orderkey"), ".jsonl").alias("source_path"), F.explode(lines).alias("l")).select("source_path", F.col("l.line_no").cast("bigint").alias("line_no"), F.col("l.value").alias("value"))
 
 
+#: Lines that one task sorts, about.
+TASK_LINES = 500_000
+
+
 def _counters(li: DataFrame) -> DataFrame:
-    """Running sums over each order's lines; every fifth line starts over."""
+    """Running sums over each order's lines; every fifth line starts over.
+
+    Orders are dealt to tasks by the number of lines, which the files' footers tell, so that a task's memory doesn't grow with the table.
+    """
     from pyspark.sql import Window
 
+    li = li.repartition(max(li.sparkSession.sparkContext.defaultParallelism, li.count() // TASK_LINES + 1), "l_orderkey")
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rows = li.withColumn("line", F.row_number().over(by)).withColumn("part", F.floor((F.col("line") - 1) / 5))
     run = Window.partitionBy("l_orderkey", "part").orderBy("line")

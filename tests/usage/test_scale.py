@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterloom.operators import ingest
+from meterloom.plans import ingest_queries
 from meterloom.sources import files, lines, store
 
 SCHEMA = "source_path string, line_no bigint, _model string, _context string, _session string, _totals struct<input: bigint, cached_input: bigint, output: bigint>"
@@ -166,7 +167,8 @@ def test_whole_texts_are_read_by_tasks(spark, tmp_path):
 
 
 def test_counter_log_is_parsed_once(spark, sf):
-    
+    from meterloom.plans import ingest_queries
+
     plan = ingest_queries.counter_log(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "JsonToStructs" not in plan
     assert len(ingest.COUNTER_PLACES) < len(ingest.PLACES) / 2 and set(ingest.COUNTER_PLACES) <= set(ingest.PLACES)
@@ -211,3 +213,11 @@ def test_turn_logs_are_parsed_once_for_their_records(spark):
     assert len(seen) == 1 and seen[0].count() == 1
     assert [r.tokens.input for r in records.collect()] == [3] and [i.code for i in issues.collect()] == ["token_convention_changed"]
     assert "from_json" not in records._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_are_dealt_by_the_number_of_lines(spark, sf, monkeypatch):
+    """Tasks of cumulative_delta get more in number, not larger, as the table grows."""
+    monkeypatch.setattr(ingest_queries, "TASK_LINES", 200)
+    got = ingest_queries.cumulative_delta(spark, sf).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in got) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert max(r["count"] for r in got) < 600
