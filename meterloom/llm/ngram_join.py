@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -332,9 +332,10 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     described = written(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(describe, f"id {kind}, n bigint, d bigint, e bigint, sigs array<bigint>"), "sets")
     # Different sets are numbered; the written numbers stay as they are.
     nodes = written(described.where("n > 0").groupBy("d", "e").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    postings = described.where("sigs IS NOT NULL").join(nodes.select("d", "e", "node"), ["d", "e"]).select(F.explode("sigs").alias("sig"), "node", "n")
+    signed = described.where("sigs IS NOT NULL")
+    postings = signed.join(nodes.select("d", "e", "node"), ["d", "e"]).select(F.explode("sigs").alias("sig"), "node", "n")
     # A node that several tasks have signed may count twice here; its leader is then itself, and goes below.
-    shared = postings.groupBy("sig").count().where("count > 1").select("sig")
+    shared = signed.select(F.explode("sigs").alias("sig")).groupBy("sig").count().where("count > 1").select("sig")
     held = written(postings.join(shared, "sig"), "postings")
     # Where sorted sizes jump by more than similar sets can differ, no pair crosses. The windows see each size of a signature once.
     sized = held.groupBy("sig", "n").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -410,12 +411,25 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     components of their own kind only, or all of them where one does. All
     columns stay as they are.
     """
-    d, c, h = (fresh(docs, x) for x in ("_id", "_component", "_hash"))
+    d, c, h, g = (fresh(docs, x) for x in ("_id", "_component", "_hash", "_goes"))
     groups = similar_groups(docs, n, num, den, id_col, text_col).where("n_shingles > 0").select(F.col(id_col).alias(d), F.col("component_id").alias(c))
-    # Written, so that its size is known: Spark sends it to all tasks if it is small, and shuffles documents only if it is not.
-    kept = written(groups.where(F.col(d).eqNullSafe(F.col(c))).select(d).distinct(), "kept")
+    # Ids that go, and those of several rows, which may differ.
+    ids = groups.groupBy(d).agg(F.count("*").alias(h), (~F.max(F.col(d).eqNullSafe(F.col(c)))).alias(g))
+    asked = written(ids.where(F.col(g) | (F.col(h) > 1)).select(d, g, h), "asked")
     empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    winners = docs.where(~empty).join(kept, F.col(id_col).eqNullSafe(F.col(d)), "left_semi")
-    if groups.groupBy(d).count().where("count > 1").limit(1).count():
-        winners = winners.withColumn(h, F.xxhash64(text_col)).dropDuplicates([id_col, h]).drop(h)
-    return winners.unionByName(docs.where(empty))
+    here = _held_by(docs.sparkSession, asked.select(F.xxhash64(d)))(F.xxhash64(id_col))
+    # Only documents whose ids may be asked for are shuffled; all others stay where they are read.
+    met = docs.where(~empty & here).join(asked.where(g).select(d), F.col(id_col).eqNullSafe(F.col(d)), "left_anti")
+    if asked.where((F.col(h) > 1) & ~F.col(g)).limit(1).count():
+        met = met.withColumn(h, F.xxhash64(text_col)).dropDuplicates([id_col, h]).drop(h)
+    return met.unionByName(docs.where(empty | ~here))
+
+
+def _held_by(spark: SparkSession, digests: DataFrame) -> Callable[[Column], Column]:
+    """Tells of digests whether they may be among these; of most others it says no."""
+    held = spark.sparkContext.broadcast(_asked_map(digests))
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(_late(column.to_numpy(zero_copy_only=False).view(np.uint64), held.value))
+
+    return F.arrow_udf(run, "boolean")

@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meterloom.llm import ngram_join, queries
 from meterloom.llm.components import connected_components
@@ -139,3 +140,22 @@ def test_keep_one(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id string")
     got = keep_one(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [2, 4, 5, 9]
+
+
+def test_keep_one_shuffles_only_what_is_asked_for(spark):
+    """Documents without a near copy stay in the partition that they were read in, whatever the number of ids that are kept."""
+    words = lambda i: F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.concat(F.lit("w"), i * 1000 + k)))
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), words(F.when(F.col("id") == 307, 7).otherwise(F.col("id"))).alias("text"), F.floor(F.col("id") / 100).alias("part"))
+    docs = docs.union(docs.where("doc_id = 11")).union(docs.where("doc_id = 12").withColumn("text", words(F.lit(5000))))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = keep_one(docs).withColumn("now", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in got) == sorted([*set(range(400)) - {307}, 12])
+    parts = {}
+    for r in got:
+        if r.doc_id not in (11, 12):
+            parts.setdefault(r.now, set()).add(r.part)
+    assert sorted(parts.values(), key=min) == [{0}, {1}, {2}, {3}]
