@@ -145,7 +145,8 @@ def _count(batch: pa.RecordBatch, n: int, bits: int, table: np.ndarray | None) -
     langs, own, times = (batch.column(c) for c in ("lang", "own", "n"))
     raw = batch.column("chunk").to_pylist()
     whole = " ".join(raw)
-    words, again = word_hashes([whole])[0], word_hashes([whole], 1)[0]
+    words = word_hashes([whole])[0]
+    again = mixed(words, 1)
     names = langs.dictionary_encode()
     seeds = np.array([crc32(x.encode()) for x in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy(zero_copy_only=False)]
     counts = np.array([x.count(" ") + 1 for x in raw])
@@ -154,6 +155,12 @@ def _count(batch: pa.RecordBatch, n: int, bits: int, table: np.ndarray | None) -
     place = np.arange(len(words)) - starts[chunk]
     seed = mixed(seeds, 7)[chunk]
 
+    def joined_at(h: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+        out = seed[at]
+        for i in range(k):
+            out = mixed(out + h[at + i] * np.uint64(2 * i + 1), i + 1)
+        return out
+
     def joined(h: np.ndarray, k: int) -> np.ndarray:
         """Hashes of the k words from each place on; those that go over a chunk's end mean nothing."""
         out = seed.copy()
@@ -167,7 +174,7 @@ def _count(batch: pa.RecordBatch, n: int, bits: int, table: np.ndarray | None) -
         ok[:-1] &= short[1:]
         ok &= short
     at = np.flatnonzero(ok)
-    first, second = joined(words, n)[at], joined(again, n)[at]
+    first, second = joined_at(words, n, at), joined_at(again, n, at)
     order = np.argsort(first, kind="stable")
     first, second, at = first[order], second[order], at[order]
     # Two hashes tell phrases apart; where they are the same phrase all the same, later sums are by its text.

@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from meterloom.llm import phrases
@@ -88,3 +89,11 @@ def test_full_filter_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_MOST_BITS", 1 << 15)
     rows = [(i, " ".join(f"a{j * (i + 1) % 300}" for j in range(900)), "en", "", 0) for i in range(8)]
     assert got(spark, rows, 3, 2000) == brute(rows, 3, 2000)
+
+
+def test_words_are_hashed_once_for_a_count(monkeypatch):
+    calls, real = [], phrases.word_hashes
+    monkeypatch.setattr(phrases, "word_hashes", lambda *a: calls.append(a) or real(*a))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "chunk": ["a b a b", "a b"], "own": [4, 2], "n": [2, 1]})
+    found = phrases._count(batch, 2, 0, None).to_pylist()
+    assert {(r["lang"], r["phrase"]): r["n"] for r in found} == {("en", "a b"): 4, ("en", "b a"): 2, ("de", "a b"): 1} and len(calls) == 1
