@@ -13,10 +13,14 @@ within a class are signatures of both. Such combinations are rarer than their
 tokens, and their number stays in proportion to the prefix.
 
 Documents with equal sets have one digest of 128 bits and are one node. All
-signatures that share their smallest node make one group, whose sets are compared
-exactly, in blocks of bounded size if it is large; each block gives a forest of
-links, and the number of links of each of its nodes. Two nodes may meet in
-several groups; the one with the smallest leader counts their link.
+signatures that share their smallest node make one group. Its nodes are first
+compared by sketches, about one bit for each token, that tell exactly how much two
+sets differ at least; those that are too different from all others leave the group,
+so that few sets are sent to groups, however many share a signature by chance. Sets
+that stay are compared exactly, in blocks of bounded size if the group is large;
+each block gives a forest of links, and the number of links of each of its nodes.
+Two nodes may meet in several groups; the one with the smallest leader counts their
+link.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ _ADDERS = 64
 _LATE = 1 << 20
 #: Documents of a block, and parts of a group at most, as long as a part's tokens stay below the third.
 _BLOCK, _PARTS, _TOKENS = 128, 32, 4_000_000
+#: Sketches of a block, and bits of a sketch at least and at most.
+_SKETCHES, _SKETCH_BITS = 2048, (64, 1 << 16)
 _STEP = 256
 
 
@@ -237,6 +243,52 @@ def signatures(tokens: np.ndarray, scores: np.ndarray, frequent_from: float, num
     return np.unique(np.concatenate(found))
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """For each of about as many bits as there are tokens, whether an odd number of these fall on it: two sets differ in as many tokens as their bits, at least."""
+    bits = min(max(_SKETCH_BITS[0], 1 << (len(tokens) - 1).bit_length()), _SKETCH_BITS[1])
+    at = (mixed(tokens, 41) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of the same tokens with half as many bits, or less: bits that fall together are odd if one of them alone is."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def may_link(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, num: int, den: int, groups: list[np.ndarray]) -> np.ndarray:
+    """Which sets may be similar to another one by their sketches; side and groups are as in links_within(), and two sets of the same other group are not compared."""
+    keep, cross, holders = np.zeros(len(sizes), bool), bool(side.any()), _holders(groups)
+    lengths = np.array([len(x) for x in sketches])
+    for size in np.unique(lengths).tolist():
+        # Similar sets are not twice as large as one another, so their sketches aren't more than twice as long.
+        near_size = np.flatnonzero((lengths == size) | (lengths == 2 * size))
+        table = np.stack([_folded(sketches[i], size) for i in near_size.tolist()])
+        for at in np.flatnonzero(lengths[near_size] == size).tolist():
+            i = int(near_size[at])
+            near = np.zeros(len(sizes), bool)
+            near[near_size] = (den + num) * np.bitwise_count(table ^ table[at]).sum(axis=1, dtype=np.int64) <= (den - num) * (sizes[i] + sizes[near_size])
+            near[i] = False
+            if cross:
+                near &= side != side[i]
+            if near.any() and (met := [holders[g] for g in groups[i].tolist() if g in holders]):
+                near[np.concatenate(met)] = False
+            if near.any():
+                keep |= near
+                keep[i] = True
+    return keep
+
+
+def _holders(groups: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """The sets of each group; groups that one set alone is in say nothing here."""
+    if not groups:
+        return {}
+    number, holder = np.concatenate(groups), np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    names, of = np.unique(number, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    parts = np.split(holder[order], np.cumsum(np.bincount(of, minlength=len(names)))[:-1])
+    return {g: x for g, x in zip(names.tolist(), parts) if len(x) > 1}
+
+
 def links_within(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, copies: np.ndarray | None = None, groups: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """A forest with the components of the similar pairs, and how many copies each set is linked with; side 0 is compared with itself, or with side 1 if there is one.
 
@@ -253,14 +305,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, c
     parent = list(range(len(sets)))
     copies = np.ones(len(sets), np.int64) if copies is None else copies
     linked = np.zeros(len(sets), np.int64)
-    # Sets of the same other group; groups that one set alone is in say nothing here.
-    holders: dict[int, np.ndarray] = {}
-    if groups:
-        number, holder = np.concatenate(groups), np.repeat(np.arange(len(sets)), [len(g) for g in groups])
-        names, of = np.unique(number, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        parts = np.split(holder[order], np.cumsum(np.bincount(of, minlength=len(names)))[:-1])
-        holders = {g: x for g, x in zip(names.tolist(), parts) if len(x) > 1}
+    holders = _holders(groups or [])
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -293,6 +338,38 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, c
     return out, linked
 
 
+def _blocks(members: DataFrame, parts: Column) -> DataFrame:
+    """Members of groups dealt to pairs of parts (a, b), of which side tells the second; parts is made of a group's nodes m and their tokens t."""
+    sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = members.join(sizes.select("leader", parts.cast("int").alias("parts")), "leader").withColumn("i", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("node", "leader", "n", "parts", F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b"), (F.col("i") > F.col("k")).cast("tinyint").alias("side"))
+
+
+def _with_partners(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The members (leader, node, n) that may_link() within their group, by sketches (node, sketch). A pair counts in the group of its smallest leader alone."""
+
+    @trimmed
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("leader")
+        leaders, node, n, side = (table.column(k).combine_chunks().to_numpy() for k in ("leader", "node", "n", "side"))
+        sketch, groups = table.column("sketch").to_pylist(), table.column("groups").to_pylist()
+        keep = np.zeros(len(leaders), bool)
+        ends = [*(np.flatnonzero(np.diff(leaders)) + 1).tolist(), len(leaders)]
+        for a, b in zip([0, *ends], ends):
+            smaller = [g[g < leaders[a]] for g in (np.array(x, np.int64) for x in groups[a:b])]
+            keep[a:b] = may_link(n[a:b], sketch[a:b], side[a:b], num, den, smaller)
+        return pa.table({"leader": leaders[keep], "node": node[keep], "n": n[keep]})
+
+    dealt = _blocks(members, F.ceil(F.col("m") / _SKETCHES))
+    # Groups of one part go together, about as many nodes at a time as a part has.
+    together = members.count() // _SKETCHES + 1
+    bundle = F.when(F.col("parts") == 1, -1 - F.pmod(F.xxhash64("leader"), F.lit(together))).otherwise(F.col("leader"))
+    known = members.groupBy("node").agg(F.collect_set("leader").alias("groups")).join(sketches, "node")
+    asking = dealt.withColumn("bundle", bundle).drop("parts").join(known, "node")
+    return asking.groupBy("bundle", "a", "b").applyInArrow(compare, "leader bigint, node bigint, n bigint").distinct()
+
+
 def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, n_links and set_id of each row.
 
@@ -314,22 +391,24 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
 
     @releasing
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Size and digest of each row's set, and the signatures of the first of equal sets in the task."""
+        """Size and digest of each row's set, and the signatures and sketch of the first of equal sets in the task."""
         seen: set[tuple[int, int]] = set()
         for rows in _steps(batches):
             out = []
             for tokens, own in _sets_with_scores(rows.column(1).to_pylist(), n, scores):
-                d, sigs = digest_of(tokens), None
+                d, sigs, sketch = digest_of(tokens), None, None
                 if len(tokens) and d not in seen:
                     seen.add(d)
                     sigs = signatures(tokens, own + _LATE * _late(tokens, seen_map.value), frequent_from, num, den).view(np.int64)
-                out.append((len(tokens), *d, sigs))
+                    sketch = sketch_of(tokens)
+                out.append((len(tokens), *d, sigs, sketch))
             if out:
-                ns, ds, es, sigs = zip(*out)
-                yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(x, pa.int64()) for x in (ns, ds, es)], pa.array(sigs, pa.list_(pa.int64()))], ["id", "n", "d", "e", "sigs"])
+                ns, ds, es, sigs, sketches = zip(*out)
+                columns = [*[pa.array(x, pa.int64()) for x in (ns, ds, es)], pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *columns], ["id", "n", "d", "e", "sigs", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    described = written(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(describe, f"id {kind}, n bigint, d bigint, e bigint, sigs array<bigint>"), "sets")
+    described = written(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(describe, f"id {kind}, n bigint, d bigint, e bigint, sigs array<bigint>, sketch binary"), "sets")
     # Different sets are numbered; the written numbers stay as they are.
     nodes = written(described.where("n > 0").groupBy("d", "e").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     signed = described.where("sigs IS NOT NULL")
@@ -344,12 +423,12 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     run = Window.partitionBy("sig", "run")
     runs = sized.withColumn("jump", jump).withColumn("run", F.sum("jump").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     led = runs.withColumns({"leader": F.min("lo").over(run), "last": F.max("hi").over(run)}).where("leader <> last").select("sig", "n", "leader")
-    members = written(held.join(led, ["sig", "n"]).select("leader", "node", "n").distinct(), "groups")
-    sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
-    parts = sizes.select("leader", F.greatest(F.least(F.ceil(F.col("m") / _BLOCK), F.lit(_PARTS)), F.ceil(F.col("t") / _TOKENS)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = members.join(parts, "leader").withColumn("i", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("node", "leader", F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b"), (F.col("i") > F.col("k")).cast("tinyint").alias("side"))
+    met = written(held.join(led, ["sig", "n"]).select("leader", "node", "n").distinct(), "groups")
+    discard(held)
+    sketches = signed.select("d", "e", "sketch").join(nodes.select("d", "e", "node"), ["d", "e"]).join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    members = written(_with_partners(met, sketches, num, den), "partners")
+    discard(met)
+    dealt = _blocks(members, F.greatest(F.least(F.ceil(F.col("m") / _BLOCK), F.lit(_PARTS)), F.ceil(F.col("t") / _TOKENS))).drop("n", "parts")
 
     @releasing
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +467,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
         return pa.table([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], ["a", "b", "n"])
 
     links = written(asking.join(sets, ["d", "e"]).drop("d", "e").groupBy("leader", "a", "b").applyInArrow(compare, "a bigint, b bigint, n bigint"), "similar")
-    discard(held, members, needed)
+    discard(members, needed)
     seen_map.destroy()
     asked.destroy()
     roots = connected_components(links.where("b IS NOT NULL").select("a", "b"))
@@ -398,7 +477,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, i
     named = rooted.join(names, "root").join(counts, "node", "left")
     named = written(named.select("d", "e", "node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     discard(links, nodes)
-    out = described.drop("sigs").join(named, ["d", "e"], "left")
+    out = described.drop("sigs", "sketch").join(named, ["d", "e"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("node").alias("set_id"))
 

@@ -159,3 +159,37 @@ def test_keep_one_shuffles_only_what_is_asked_for(spark):
         if r.doc_id not in (11, 12):
             parts.setdefault(r.now, set()).add(r.part)
     assert sorted(parts.values(), key=min) == [{0}, {1}, {2}, {3}]
+
+
+def test_sketches_lose_no_similar_sets():
+    """Sets that are similar keep each other, whatever their sizes and the parts they stand in; most others go."""
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 2**62, int(k)).astype(np.uint64)) for k in (1, 5, 60, 64, 127, 129, 500, 1030, 3000, 70000)]
+    sets += [np.unique(np.concatenate([s[: len(s) - len(s) // 16], rng.integers(0, 2**62, len(s) // 16).astype(np.uint64)])) for s in sets]
+    sets += [s[: -(-len(s) * 86 // 100)] for s in sets[:10]] + [np.unique(rng.integers(0, 2**62, 200).astype(np.uint64)) for _ in range(30)]
+    sizes, sketches = np.array([len(s) for s in sets]), [ngram_join.sketch_of(s) for s in sets]
+    none = [np.zeros(0, np.int64)] * len(sets)
+    for side in (np.zeros(len(sets), np.int8), (np.arange(len(sets)) // 10 % 2).astype(np.int8)):
+        links, _ = links_within(sets, side, 85, 100)
+        similar = {x for pair in links for x in pair}
+        kept = set(np.flatnonzero(ngram_join.may_link(sizes, sketches, side, 85, 100, none)).tolist())
+        assert similar and similar <= kept and len(kept) <= len(similar) + 2
+    # Two sets that share another group are compared there.
+    one = [np.array([7])] * len(sets)
+    assert not ngram_join.may_link(sizes, sketches, np.zeros(len(sets), np.int8), 85, 100, one).any()
+
+
+def test_sets_that_only_share_a_signature_are_not_sent(spark, monkeypatch):
+    """With a full map, texts with a common passage meet in groups; the sets of those that are too different are not sent there."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(12)]
+    texts = {i: " ".join([f"w{x}" for x in rng.integers(0, 20, 60)] + passage) for i in range(200)}
+    texts[300] = texts[7] + " and one more"
+    sent = {}
+    writing = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: sent.setdefault(name, writing(df, name).cache()))
+    monkeypatch.setattr(ngram_join, "prefix_map", lambda *_: np.full(ngram_join._SEEN // 8, 255, np.uint8))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in similar_groups(docs).collect()}
+    assert got == brute(texts, 4, 85)
+    assert sent["nodes"].count() == 201 and sent["members"].count() <= 10
