@@ -62,7 +62,8 @@ def string(v: Column) -> Column:
 
 
 def number(v: Column) -> Column:
-    return F.when(kind(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    # BIGINT, DOUBLE, FLOAT and DECIMAL(p,s); no other kind begins like these.
+    return F.when(F.substring(kind(v), 1, 3).isin("BIG", "DOU", "FLO", "DEC"), F.try_variant_get(v, "$", "double"))
 
 
 def first_string(row: Column, paths: Iterable[str]) -> Column:

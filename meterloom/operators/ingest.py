@@ -9,6 +9,7 @@ slots before by a carry of each slot. So one huge file is the work of many tasks
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,28 +100,47 @@ def in_slots(rows: DataFrame, lasts: dict[str, tuple[str, bool]], wholes: dict[s
     wholes, counts = wholes or {}, counts or {}
     slot = F.floor(F.col("line_no") / slot_lines).cast("bigint")
     dealt = rows.withColumn("_slot", slot).repartition("source_path", "_slot")
+    found_in = F.col("source_path").isNotNull() & F.col("_slot").isNotNull()
     ends = {f"_end_{n}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))) for n, (c, _) in lasts.items()}
     folded = dealt.groupBy("source_path", "_slot").agg(*[c.alias(n) for n, c in ends.items()], *[c.alias(n) for n, c in wholes.items()], *[F.count_if(c).alias(f"_end_{n}") for n, c in counts.items()])
     file = Window.partitionBy("source_path")
     before = file.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_from_{n}") for n in lasts] + [F.sum(f"_end_{n}").over(before).alias(f"_from_{n}") for n in counts]
     # A whole is a minimum or maximum, and so is one of those of slots.
-    whole = [(F.min if n.startswith("_min") else F.max)(n).over(file).alias(n) for n in wholes]
-    carries = folded.select(F.col("source_path").alias("_file"), F.col("_slot").alias("_part"), *carried, *whole)
+    whole = [(F.min if n.startswith("_min") else F.max)(n).over(file) for n in wholes]
+    # A file of one slot has nothing to carry, so what meets the rows is as small as the long files are few.
+    carries = folded.select(F.col("source_path").alias("_file"), F.col("_slot").alias("_part"), *carried, *[c.alias(f"_from_{n}") for n, c in zip(wholes, whole)], F.count("*").over(file).alias("_slots")).where("_slots > 1").drop("_slots")
     here = Window.partitionBy("source_path", "_slot").orderBy("line_no")
-    upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    found = dealt.withColumns({n: F.last(c, ignorenulls=True).over(upto if own else here.rowsBetween(Window.unboundedPreceding, -1)) for n, (c, own) in lasts.items()} | {n: F.count_if(c).over(upto) for n, c in counts.items()})
+    upto, entire = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = dealt.withColumns({n: F.last(c, ignorenulls=True).over(upto if own else here.rowsBetween(Window.unboundedPreceding, -1)) for n, (c, own) in lasts.items()} | {n: F.count_if(c).over(upto) for n, c in counts.items()} | {n: F.when(found_in, c.over(entire)) for n, c in wholes.items()})
     # By the keys that rows are dealt by, so they stay where they are.
     met = found.join(carries, (F.col("source_path") == F.col("_file")) & (F.col("_slot") == F.col("_part")), "left")
-    out = met.withColumns({n: F.coalesce(F.col(n), F.col(f"_from_{n}")) for n in lasts} | {n: F.col(n) + F.coalesce(F.col(f"_from_{n}"), F.lit(0)) for n in counts})
-    return out.drop("_slot", "_file", "_part", *[f"_from_{n}" for n in (*lasts, *counts)])
+    out = met.withColumns({n: F.coalesce(F.col(n), F.col(f"_from_{n}")) for n in lasts} | {n: F.coalesce(F.col(f"_from_{n}"), F.col(n)) for n in wholes} | {n: F.col(n) + F.coalesce(F.col(f"_from_{n}"), F.lit(0)) for n in counts})
+    return out.drop("_slot", "_file", "_part", *[f"_from_{n}" for n in (*lasts, *wholes, *counts)])
 
 
 def skip_bulk(lines: DataFrame) -> DataFrame:
     """Leaves out lines whose type, named near their begin, carries bulk text, unless a context key occurs in them. Done on the text, before any parsing."""
     kind = F.regexp_extract(F.substring("value", 1, 120), r'^.{0,80}?"type":"([^"]*)"', 1)
     context = F.col("value").rlike(rf'"(?:{"|".join(CONTEXT_KEYS)})"\s*:')
-    return lines.where(~kind.isin(*BULK_TYPES) | context)
+    # A plain search tells most lines apart from bulk ones before the patterns are tried.
+    named = _any_of("value", [f'"type":"{k}"' for k in BULK_TYPES])
+    return lines.where(~named | ~kind.isin(*BULK_TYPES) | context)
+
+
+def _any_of(column: str, texts: list[str]) -> Column:
+    return reduce(Column.__or__, [F.col(column).contains(x) for x in texts])
+
+
+#: Names of which a line of a counter log holds one if a record, a state or an issue can be made of it. A name may also stand there in escapes.
+_TELLING = sorted({p.split(".")[-1] for k in ("model", "context", "usage") for p in ALIASES[k]} | {_TOTALS.split(".")[-1]})
+
+
+def telling(lines: DataFrame) -> DataFrame:
+    """Leaves out lines of counter logs that hold none of the names that rows are made of. Done on the text, before any parsing; such lines may still be broken."""
+    # An object of info says something even without these; heartbeats, of which there are many, have null there.
+    info = F.replace("value", F.lit('"info":null'), F.lit("")).contains('"info"')
+    return lines.where(_any_of("value", [*[f'"{n}"' for n in _TELLING], "\\"]) | info)
 
 
 def _looked_up(text: Column, places: list[str], twice: list[str]) -> list[Column]:
@@ -141,10 +161,12 @@ def parse_rows(lines: DataFrame, recover: bool = False, places: list[str] | None
         text = F.when(text.startswith("\\{"), F.substr(text, F.lit(2))).otherwise(text)
     # The parser accepts text after a complete value; an object's line must end with its brace.
     whole = F.when(~text.startswith("{") | text.endswith("}"), text)
-    read = held(lines.where(F.trim("value") != ""), "source_path", "line_no", whole.alias("t"), *_looked_up(whole, places or PLACES, [] if places else _TWICE))
+    texts = lines.where(F.trim("value") != "").select("source_path", "line_no", whole.alias("t"))
+    read = held(texts, "source_path", "line_no", "t", *_looked_up(F.col("t"), places or PLACES, [] if places else _TWICE))
     # Texts without a fault are not looked at again.
     v = F.try_parse_json("t")
     fault = F.when(F.col("t").isNull(), "error").when(F.col(f"r.{V.ODD}").isNotNull(), F.when(v.isNull(), "error").when(~V.is_object(v), "warning"))
+    rows = None if keep else read.where(fault.isNull()).select("source_path", "line_no", "r", "r2")
     read = held(read, "source_path", "line_no", "r", "r2", fault.alias("fault"))
     read = read.persist() if keep else read
     broken = F.col("fault") == "error"
@@ -154,7 +176,8 @@ def parse_rows(lines: DataFrame, recover: bool = False, places: list[str] | None
         F.when(broken, "line is not valid JSON").otherwise("line is not an object").alias("message"),
         "source_path", "line_no",
     )
-    return read.where("fault IS NULL").drop("fault"), as_issues(issues)
+    # Rows alone need no other copy of what was parsed.
+    return read.where("fault IS NULL").drop("fault") if keep else rows, as_issues(issues)
 
 
 def rows_of(documents: DataFrame) -> DataFrame:
@@ -290,11 +313,13 @@ def counter_rows(rows: DataFrame) -> DataFrame:
     event = F.coalesce(V.string(r["type"]) == "event_msg", F.lit(False))
     plain = F.when(event, V.leaf(r, ALIASES["usage"][0])).otherwise(F.coalesce(*[V.leaf(r, p) for p in ALIASES["usage"][1:]]))
     asked = event & (V.string(r["payload"]["type"]) == "token_count") & r["payload"]["info"].isNotNull()
-    rows = held(rows, "source_path", "line_no", "r", F.when(event, V.leaf(r, _TOTALS)).alias("_t"), plain.alias("_p"), F.coalesce(asked, F.lit(False)).alias("_asked"))
-    rows = held(
-        rows, "source_path", "line_no", "_asked", _counter(F.col("_t")).alias("_totals"), _counter(F.col("_p")).alias("_plain"),
+    # Plain projections, not held(): they are compiled in small parts, and no filter stands between them and what is written or dealt next.
+    rows = rows.select(
+        "source_path", "line_no", F.when(event, V.leaf(r, _TOTALS)).alias("_t"), plain.alias("_p"), F.coalesce(asked, F.lit(False)).alias("_asked"),
         V.first_string(r, ALIASES["model"]).alias("_model"), V.first_string(r, ALIASES["context"]).alias("_context"), *[c.alias(k) for k, c in normalise_times(r).items()],
     )
+    counters = {n: F.when(F.col(k).isNotNull(), _counter(F.col(k))) for n, k in (("_totals", "_t"), ("_plain", "_p"))}
+    rows = rows.withColumns(counters).drop("_t", "_p")
     rows = rows.withColumns({c: _any_counter(F.col(c)) for c in ("_totals", "_plain")})
     empty = F.col("_asked") & F.col("_totals").isNull() & F.col("_plain").isNull()
     return _with_times(rows.withColumns({"_session": F.col("_context"), "_empty": empty}).drop("_asked"), F.lit(None).cast("timestamp"))
@@ -313,13 +338,15 @@ def counter_usage(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.when(used.isNotNull(), split_cached_input(used))).drop("_before")
 
 
-def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """Records and issues of logs whose counters run up. cut is as in ingest_generic()."""
-    parsed, issues = parse_rows(skip_bulk(lines), recover=True, places=COUNTER_PLACES)
+def ingest_counter_log(lines: DataFrame, provider: str = "codex", read_at: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df, cut_used: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Records and issues of logs whose counters run up. cut is as in ingest_generic(); cut_used gets the rows with usage, which are read twice to be numbered."""
+    _, issues = parse_rows(skip_bulk(lines), recover=True, places=COUNTER_PLACES)
+    parsed, _ = parse_rows(skip_bulk(telling(lines)), recover=True, places=COUNTER_PLACES)
     rows = counter_usage(fill_from_file(cut(counter_rows(parsed)), TOTALS_BEFORE))
     missing = rows.where("_empty").select(F.lit("warning").alias("severity"), F.lit("missing_tokens").alias("code"), F.lit("token count without usage").alias("message"), "source_path", "line_no", F.lit(provider).alias("provider"))
     kept = rows.where(F.col("tokens").isNotNull() & has_usage(F.col("tokens"), F.lit(None)))
-    kept = kept.withColumn("provider", F.lit(provider)).withColumn("observed_at", F.coalesce("observed_at", read_at if read_at is not None else F.current_timestamp()))
+    kept = kept.withColumn("observed_at", F.coalesce("observed_at", read_at if read_at is not None else F.current_timestamp()))
+    kept = cut_used(kept.select("source_path", "line_no", "model", "own_model", "session_id", "started_at", "ended_at", "observed_at", "tokens")).withColumn("provider", F.lit(provider))
     return as_records(numbered(kept)), issues.unionByName(as_issues(missing))
 
 
@@ -404,7 +431,7 @@ def numbered_in_slots(rows: DataFrame, key: str, slot: Column, order: list[str])
     own = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(*order))
     before = Window.partitionBy("_key").orderBy("_other").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(F.col(key).alias("_key"), F.col("_slot").alias("_other")).agg(F.count("*").alias("_n"))
-    counts = counts.select("_key", "_other", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = counts.select("_key", "_other", F.sum("_n").over(before).alias("_before")).where("_before > 0")
     found = dealt.withColumn("_own", own).join(counts, (F.col(key) == F.col("_key")) & (F.col("_slot") == F.col("_other")), "left")
     return found.withColumn("seq", (F.col("_own") + F.coalesce("_before", F.lit(0)) - 1).cast("bigint")).drop("_slot", "_own", "_key", "_other", "_before")
 

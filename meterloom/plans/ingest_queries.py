@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, quality
 from ..schema import TOKENS
 from ..sources import store
-from ..sources.shared import new_path, written
+from ..sources.shared import new_path, small_methods, written
 from ..streaming import deltas
 from . import demo, usage_queries
 
@@ -114,7 +114,9 @@ def cumulative_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, _ = ingest.ingest_counter_log(counter_lines(spark, sf_dir), cut=lambda rows: written(rows, "counter-rows"))
+    small_methods(spark)
+    cut = lambda rows: written(rows, "counter-rows")
+    records, _ = ingest.ingest_counter_log(counter_lines(spark, sf_dir), cut=cut, cut_used=cut)
     return records.select("source_path", "line_no", "seq", "model", "own_model", "session_id", *[F.col(f"tokens.{t}").alias(t) for t in _DELTA_COLUMNS])
 
 
@@ -195,9 +197,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_deltas(spark: SparkSession, sf_dir: str, base: str, after: Callable[[set], None] | None = None) -> None:
     """The counter log as a stream of line segments, stored under base batch by batch."""
+    small_methods(spark)
     lines = counter_lines(spark, sf_dir).where(F.col("source_path").isNotNull())
-    for k in range(2):  # two segments, one after the other
-        lines.where(F.col("line_no") <= 8 if k == 0 else F.col("line_no") > 8).write.mode("append").parquet(f"{base}/lines")
+    # Two segments of each file, in one pass.
+    lines.withColumn("segment", (F.col("line_no") > 8).cast("int")).write.partitionBy("segment").parquet(f"{base}/lines")
     source = spark.readStream.schema("source_path string, line_no bigint, value string").parquet(f"{base}/lines")
     query = source.writeStream.foreachBatch(deltas.upsert(base, "codex", "root", after)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -191,3 +191,26 @@ def test_counts_of_zero_are_no_missing_tokens(spark):
     rows, _ = ingest.parse_rows(lines_)
     records, issues = ingest.ingest_generic(rows, "claude")
     assert records.count() == 3 and [(r.code, r.line_no) for r in issues.collect()] == [("missing_tokens", 1)]
+
+
+def test_lines_that_say_nothing_are_not_parsed(spark, monkeypatch):
+    """Heartbeats and lines without a telling name go before any parsing; the records are those of all lines, and issues are found in all of them."""
+    usage = '{"input_tokens":%d,"output_tokens":3}'
+    event = '{"type":"event_msg","payload":{"type":"token_count","info":%s}}'
+    rows = [
+        event % '{"total_token_usage":%s}' % (usage % 5), event % "null", '{"type":"other","text":"long"}', '{"type":"event_msg"', event % '{"x":1}', event % '{"total_token_usage":%s}' % (usage % 9),
+        '{"type":"turn_context","payload":{"mod\\u0065l":"m"}}', '{"\\u0075sage":%s}' % (usage % 7), '{ "usage" : %s }' % (usage % 8), '{"type":"response_item","payload":{"text":"x"}}', '{"type":"response_item", "usage":%s}' % (usage % 4), "\\" + event % '{"last_token_usage":%s}' % (usage % 6),
+    ]
+    df = spark.createDataFrame([("log", i, x) for i, x in enumerate(rows, 1)], "source_path string, line_no bigint, value string")
+    assert sorted(r.line_no for r in ingest.telling(df).collect()) == [1, 5, 6, 7, 8, 9, 11, 12]
+    found = lambda records: sorted((r.line_no, r.seq, r.own_model, r.model, r.session_id, r.tokens.input, r.tokens.output) for r in records.collect())
+    parsed = []
+    real = ingest.parse_rows
+    monkeypatch.setattr(ingest, "parse_rows", lambda lines, **k: (parsed.append(lines), real(lines, **k))[1])
+    records, issues = ingest.ingest_counter_log(df)
+    assert min(x.count() for x in parsed) == 8
+    got = found(records)
+    assert [x[0] for x in got] == [1, 6, 8, 9, 11, 12] and {x[3] for x in got} == {"m"}
+    assert sorted((r.code, r.line_no) for r in issues.collect()) == [("malformed_jsonl", 4), ("missing_tokens", 5)]
+    monkeypatch.setattr(ingest, "telling", lambda lines: lines)
+    assert found(ingest.ingest_counter_log(df)[0]) == got
