@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timez import TimeRange, literal
 from ..schema import RECORD_TYPES
+from .shared import no_rows
 
 STORED_TYPES = RECORD_TYPES | {"file_id": "string", "event_ts": "timestamp", "utc_date": "date"}
 COLUMNS = [c for c in STORED_TYPES if c not in ("provider", "utc_date")] + ["provider", "utc_date"]
@@ -66,7 +67,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
-        return spark.createDataFrame([], STORED_SCHEMA)
+        return no_rows(spark, STORED_SCHEMA)
     return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 

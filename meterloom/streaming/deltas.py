@@ -9,6 +9,7 @@ days a file has rows, so a batch reads and writes those days alone.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..sources import store
 from .states import read_states, tidy_states, write_states
 
 _TOTALS = f"struct<{', '.join(f'{c}: bigint' for c in COUNTERS)}>"
-#: What is known of a file: its last line, totals, model and session, all its models, the number of its records, and the days of those and of the ones that name no model.
+#: What is known of a file: its last telling line, totals, model and session, all its models, the number of its records, and the days of those and of the ones that name no model.
 STATE_SCHEMA = f"source_path string, line_no bigint, totals {_TOTALS}, model string, session string, models array<string>, seq bigint, days array<date>, unnamed_days array<date>"
 REFRESH_SECONDS = (30, 86400)
 Days = set[tuple]
@@ -46,15 +47,16 @@ def only_model(models: F.Column) -> F.Column:
 
 def batch_rows(lines: DataFrame) -> DataFrame:
     """Lines of counter logs, parsed and reduced to what records and states are made of."""
-    parsed, _ = ingest.parse_rows(ingest.skip_bulk(lines), recover=True, places=ingest.COUNTER_PLACES)
+    parsed, _ = ingest.parse_rows(ingest.skip_bulk(ingest.telling(lines)), recover=True, places=ingest.COUNTER_PLACES)
     return ingest.counter_rows(parsed)
 
 
-def batch_records(rows: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+def batch_records(rows: DataFrame, states: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Records (source_path, line_no, seq, own_model, session_id, times, tokens) of new batch_rows(), and the states of their files after them.
 
     Lines up to a file's last one have been seen and say nothing. states may hold
-    other files' rows too.
+    other files' rows too. cut gets the records before they are numbered and the
+    numbered ones; a caller may write them there, since each is read several times.
     """
     known = states.join(rows.select("source_path").distinct(), "source_path", "left_semi")
     fresh = rows.join(known.select("source_path", F.col("line_no").alias("_seen")), "source_path", "left").where(F.col("_seen").isNull() | (F.col("line_no") > F.col("_seen"))).drop("_seen")
@@ -63,9 +65,10 @@ def batch_records(rows: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFr
     whole = fresh.withColumn("_new", F.lit(True)).unionByName(before.withColumn("_new", F.lit(False)))
     used = ingest.counter_usage(ingest.fill_from_file(whole, ingest.TOTALS_BEFORE))
     kept = used.where(F.col("_new") & F.col("tokens").isNotNull() & ingest.has_usage(F.col("tokens"), F.lit(None)))
-    kept = ingest.numbered(kept.drop("model")).withColumn("observed_at", F.coalesce("observed_at", F.current_timestamp()))
+    kept = kept.withColumn("observed_at", F.coalesce("observed_at", F.current_timestamp()))
+    kept = ingest.numbered(cut(kept.select("source_path", "line_no", "own_model", "session_id", "started_at", "observed_at", "tokens")))
     records = kept.join(known.select("source_path", F.col("seq").alias("_had")), "source_path", "left").withColumn("seq", F.col("seq") + F.coalesce("_had", F.lit(0)))
-    records = records.select("source_path", "line_no", "seq", "own_model", "session_id", "started_at", "observed_at", "tokens")
+    records = cut(records.select("source_path", "line_no", "seq", "own_model", "session_id", "started_at", "observed_at", "tokens"))
 
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
     seen = whole.groupBy("source_path").agg(F.max("line_no").alias("line_no"), last("_totals").alias("totals"), last("_model").alias("model"), last("_context").alias("session"), F.collect_set("_model").alias("_models"))
@@ -107,12 +110,15 @@ def upsert(path: str, provider: str, root: str, after: Callable[[Days], None] |
         store.recover(spark, table)
         tidy_states(spark, states_path, number)
         states = read_states(spark, states_path, STATE_SCHEMA, before=number)
-        # Written, so that lines are parsed once and a lost machine costs no more than its part.
-        scratch = f"{path}/batch-{number}"
-        parsed = batch_rows(batch)
-        parsed.write.mode("overwrite").parquet(scratch)
-        rows = spark.read.schema(parsed.schema).parquet(scratch)
-        records, now = batch_records(rows, states)
+        # Written, so that lines are parsed once, windows run once, and a lost machine costs no more than its part.
+        scratch, steps = f"{path}/batch-{number}", itertools.count()
+
+        def cut(df: DataFrame) -> DataFrame:
+            at = f"{scratch}/step-{next(steps)}"
+            df.write.mode("overwrite").parquet(at)
+            return spark.read.schema(df.schema).parquet(at)
+
+        records, now = batch_records(cut(batch_rows(batch)), states, cut)
         write_states(now, states_path, STATE_SCHEMA, number)
         now = read_states(spark, states_path, STATE_SCHEMA, only=number)
         file_id = store.hashed_id(F.lit(provider), F.lit(root), F.col("source_path"))
@@ -120,7 +126,7 @@ def upsert(path: str, provider: str, root: str, after: Callable[[Days], None] |
         before = states.select("source_path", only_model(F.col("models")).alias("_was"), "unnamed_days")
         changed = before.join(models, "source_path").where((F.size("unnamed_days") > 0) & ~F.col("_was").eqNullSafe(F.col("_only")))
         new = as_records(records.join(models, "source_path", "left").withColumns({"provider": F.lit(provider), "model": F.coalesce("own_model", "_only"), "session_id": F.coalesce("session_id", ingest.base_name(F.col("source_path")))}))
-        new = store.pseudonymise(new, root).persist()
+        new = store.pseudonymise(new, root)
         renamed = changed.select(F.lit(provider).alias("provider"), F.explode("unnamed_days").alias("utc_date"))
         days = store.days_of(new, renamed)
         if days:
@@ -128,7 +134,6 @@ def upsert(path: str, provider: str, root: str, after: Callable[[Days], None] |
             old = store.read_records(spark, table).where(store.in_days(days)).join(new.select("file_id", "seq"), ["file_id", "seq"], "left_anti").join(told, "file_id", "left")
             model = F.when(F.col("_changed") & F.col("own_model").isNull(), F.col("_only")).otherwise(F.col("model"))
             store.overwrite_days(spark, old.withColumn("model", model).drop("_only", "_changed").unionByName(new.select(*store.COLUMNS), allowMissingColumns=True), days, table)
-        new.unpersist()
         fs, used = store.file_system(spark, scratch)
         fs.delete(used, True)
         if after and days:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import store
+from ..sources.shared import no_rows
 
 #: Parts that are read beside the whole one before they are put together.
 _MOST_PARTS = 16
@@ -38,7 +39,7 @@ def read_states(spark: SparkSession, path: str, schema: str, before: int | None
     later = sorted(n for n in parts["batch"] if (whole is None or n > whole) and (before is None or n < before))
     names = [f"{path}/whole-{whole}"] * (whole is not None) + [f"{path}/batch-{n}" for n in later]
     if not names:
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
     rows = spark.read.schema(schema).parquet(*names)
     if len(names) == 1:
         return rows

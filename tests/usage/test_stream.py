@@ -141,3 +141,16 @@ def test_summaries_follow_the_stream(spark, tmp_path):
             got.close()
             want.close()
     assert deltas.trigger_seconds(1) == 30
+
+
+def test_a_first_batch_has_nothing_to_meet(spark, tmp_path):
+    """Where there are no states and no table yet, no join or union with them is planned, and a batch's files leave no scratch."""
+    base = f"file://{tmp_path}"
+    rows = deltas.batch_rows(frame(spark, [("a", 1, token_count(10)), ("a", 2, model("m"))]))
+    records, now = deltas.batch_records(rows, states.read_states(spark, f"{base}/states", deltas.STATE_SCHEMA, before=0))
+    for df in (records, now):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" not in plan and "Union" not in plan
+    assert "LocalRelation <empty>" in store.read_records(spark, f"{base}/none")._jdf.queryExecution().optimizedPlan().toString()
+    deltas.upsert(base, "codex", "root")(frame(spark, [("a", 1, token_count(10))]), 0)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["records", "states"]
