@@ -193,3 +193,19 @@ def test_sets_that_only_share_a_signature_are_not_sent(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in similar_groups(docs).collect()}
     assert got == brute(texts, 4, 85)
     assert sent["nodes"].count() == 201 and sent["members"].count() <= 10
+
+
+def test_keep_one_sends_few_sets_with_a_full_map(spark, monkeypatch):
+    """As in the pipeline's third stage: texts that share a passage meet in groups, and only near copies are sent there."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(14)]
+    texts = {i: " ".join([f"w{x}" for x in rng.integers(0, 20, 50)] + passage) for i in range(150)}
+    texts[200], texts[201] = texts[9] + " one", texts[9] + " two"
+    sent = {}
+    writing = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: sent.setdefault(name, writing(df, name).cache()))
+    monkeypatch.setattr(ngram_join, "prefix_map", lambda *_: np.full(ngram_join._SEEN // 8, 255, np.uint8))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in keep_one(docs).collect())
+    assert got == sorted({c for _, c, _ in brute(texts, 5, 80).values()}) == list(range(150))
+    assert sent["members"].count() <= 10
